@@ -60,18 +60,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bisect_column(key: Column, bounds: list[int]) -> Column:
-    """How many of the ascending ``bounds`` are <= ``key``, by binary search within an expression."""
+    """How many of the ascending ``bounds`` are <= ``key`` (a long), by binary search within an expression."""
     if not bounds:
         return F.lit(0)
-    steps = max(1, len(bounds).bit_length())
-    padded = bounds + [None] * ((1 << steps) - len(bounds))
-    array = F.lit(padded[: 1 << steps]) if all(b is not None for b in padded) else F.array(*[F.lit(b).cast("long") for b in padded])
-    start = F.lit(0)
-    return F.aggregate(
-        F.array(*[F.lit(1 << k) for k in reversed(range(steps))]),
-        start,
-        lambda at, step: F.when(F.coalesce(F.get(array, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at),
-    )
-
-
-LONG_ARRAY = T.ArrayType(T.LongType())
+    bits = len(bounds).bit_length()
+    padded = bounds + [(1 << 63) - 1] * ((1 << bits) - len(bounds))
+    array = F.from_json(F.lit(str(padded)), "array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(array, at + step - 1) <= key, at + step).otherwise(at))
