@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup, fingerprint, line_dedup
+from touchline.llm import exact_dedup, fingerprint, line_dedup, piece_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_piece_codec(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    """``model_file`` is a SentencePiece model; by default the installed public one."""
+    if model_file is None:
+        import public_tokenizers
+
+        model_file = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = piece_codec.encode_documents(_table(spark, sf_dir, "documents"), model_file)
+    decoded = piece_codec.decode_documents(encoded, model_file)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_report(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +48,7 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_piece_codec": op4_piece_codec,
     "op8_fingerprint": op8_fingerprint,
 }
 
