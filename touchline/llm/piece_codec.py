@@ -26,7 +26,9 @@ from touchline.llm.common import text_of
 
 MARK = "▁"
 #: Stretches that a worker remembers; some 200 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Documents that a worker holds as Python objects.
+ROWS_AT_ONCE = 128
 
 
 class PieceCodec:
@@ -166,7 +168,7 @@ class PieceCodec:
         pair = (left, token)
         fits = self.pairs.get(pair)
         if fits is None:
-            if len(self.pairs) > 2 * REMEMBERED:
+            if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
             fits = self.pairs[pair] = self._stay_apart(left, token)
         return fits
@@ -271,6 +273,12 @@ def codec(model_file: str) -> PieceCodec:
     return PieceCodec(model_file)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ids (array of int), as the sentencepiece library encodes the text
     without begin or end ids.
@@ -283,7 +291,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
-        for batch in batches:
+        for batch in _small(batches):
             packed = [own.encode_packed(t) for t in batch.column(1).to_pylist()]
             offsets = [0]
             for p in packed:
@@ -302,8 +310,9 @@ def decode_documents(encoded: DataFrame, model_file: str, id_col: str = "doc_id"
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
-        for batch in batches:
-            texts = [own.decode(ids) for ids in batch.column(1).to_pylist()]
+        for batch in _small(batches):
+            # One text's ids at a time: as Python objects they take ten times their room.
+            texts = [own.decode(ids.values.to_numpy().tolist()) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, "ids", "text"])
 
     kind = dict(rows.dtypes)[id_col]
