@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup, fingerprint, line_dedup, near_dedup, piece_codec, substring_dedup
+from touchline.llm import exact_dedup, fingerprint, line_dedup, mixing, near_dedup, piece_codec, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Domains of the documents table: the sources' numbers by threes, and their weights and the languages'.
+DOMAIN = F.concat(F.lit("domain"), F.pmod(F.expr("try_cast(substring(source, 4) as int)"), F.lit(3)))
+MIX_WEIGHTS = {"domain": {"domain0": 5, "domain1": 3, "domain2": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.document_chain(docs, labels))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", "is_toxic")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), DOMAIN, 60, MIX_WEIGHTS, max_epochs=4, seed=7)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -55,9 +70,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_piece_codec": op4_piece_codec,
+    "op7_mixing": op7_mixing,
     "op8_fingerprint": op8_fingerprint,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
@@ -85,4 +102,48 @@ from c group by doc_id""",
 select doc_id, max(doc_id) over t as keep_id, count(*) over t as group_size, doc_id = max(doc_id) over t as kept,
        sha256(coalesce(text, '')) as text_sha256
 from documents window t as (partition by coalesce(text, ''))""",
+    "op7_mixing": """
+with r as (
+  select doc_id, 'domain' || (cast(substr(source, 4) as int) % 3) as domain, lang, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n_tokens
+  from documents),
+leaf as (
+  select domain, lang, source, cast(sum(n_tokens) as bigint) as tokens, cast(sum(n_tokens) * 4 as bigint) as cap
+  from r group by all),
+n1 as (
+  select domain, cast(sum(cap) as bigint) as cap, case domain when 'domain0' then 5 when 'domain1' then 3 when 'domain2' then 2 else 1 end as weight,
+         (select cast(sum(tokens) as bigint) * 60 // 100 from leaf) as budget
+  from leaf group by domain),
+r1 as (
+  select *, (budget - coalesce(sum(cap) over (order by cap / weight, domain rows between unbounded preceding and 1 preceding), 0))
+         / sum(weight) over (order by cap / weight, domain rows between current row and unbounded following) as rate
+  from n1),
+a1 as (
+  select domain, cast(case when cap <= rate * weight then cap else floor(max(case when cap > rate * weight then rate end) over () * weight) end as bigint) as alloc
+  from r1),
+n2 as (
+  select domain, lang, cast(sum(cap) as bigint) as cap, case lang when 'en' then 4 when 'de' then 2 when 'fr' then 2 when 'es' then 2 else 1 end as weight, any_value(alloc) as budget
+  from leaf join a1 using (domain) group by domain, lang),
+r2 as (
+  select *, (budget - coalesce(sum(cap) over (partition by domain order by cap / weight, lang rows between unbounded preceding and 1 preceding), 0))
+         / sum(weight) over (partition by domain order by cap / weight, lang rows between current row and unbounded following) as rate
+  from n2),
+a2 as (
+  select domain, lang, cast(case when cap <= rate * weight then cap else floor(max(case when cap > rate * weight then rate end) over (partition by domain) * weight) end as bigint) as alloc
+  from r2),
+n3 as (
+  select leaf.*, 1 as weight, alloc as budget from leaf join a2 using (domain, lang)),
+r3 as (
+  select *, (budget - coalesce(sum(cap) over (partition by domain, lang order by cap / weight, source rows between unbounded preceding and 1 preceding), 0))
+         / sum(weight) over (partition by domain, lang order by cap / weight, source rows between current row and unbounded following) as rate
+  from n3),
+a3 as (
+  select domain, lang, source, tokens, cast(case when cap <= rate * weight then cap else floor(max(case when cap > rate * weight then rate end) over (partition by domain, lang) * weight) end as bigint) as alloc
+  from r3),
+o as (
+  select r.*, alloc, alloc // tokens as epochs, alloc % tokens as rest, md5('7:' || (alloc // tokens + 1) || ':' || doc_id) as h
+  from r join a3 using (domain, lang, source))
+select doc_id, domain, lang, source, n_tokens, alloc,
+       cast(epochs + case when rest > 0 and sum(n_tokens) over (partition by domain, lang, source order by h) <= rest then 1 else 0 end as bigint) as copies
+from o""",
 }
