@@ -1,6 +1,7 @@
 """Toxicity by a classifier chain.
 
-The categories are predicted one after another by linear models over the words of a document. Each later
+The categories are predicted one after another by linear models over the shares that the stems have in a
+document. Each later
 model also sees the probabilities of the categories before it. While it is trained, those probabilities come
 from models that have not seen the document (out of fold), so that the chain learns from what it will be
 given in use.
@@ -14,7 +15,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ from touchline.llm.common import stored, text_of
 #: Most labelled documents that the chain is fitted on: those of the least hash of their id.
 SAMPLE = 10_000
 FOLDS = 3
-VOCABULARY = 1 << 15
+VOCABULARY = 1 << 16
+#: Lengths of the beginnings that stand for the stem of a word.
+STEMS = (3, 4, 5)
 #: A document is toxic from this probability of the chain's last category on.
 THRESHOLD = 0.5
 
@@ -39,8 +42,18 @@ class Chain:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    """Words in lower case and single signs."""
-    return RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"\p{L}+|[^\p{L}\d\s]", gaps=False, toLowercase=True).transform(docs)
+    """The beginnings of words in lower case, which stand for their stems, and single signs."""
+    words = RegexTokenizer(inputCol="text", outputCol="__words", pattern=r"\p{L}+|[^\p{L}\d\s]", gaps=False, toLowercase=True).transform(docs)
+    parts = [F.filter("__words", lambda w: F.length(w) < min(STEMS))]
+    for n in STEMS:
+        longer = F.filter("__words", lambda w: F.length(w) >= n)  # noqa: B023
+        parts.append(F.transform(longer, lambda w: F.concat(F.lit("^"), F.substring(w, 1, n))))  # noqa: B023
+    return words.withColumn("tokens", F.concat(*parts)).drop("__words")
+
+
+def _counted(rows: DataFrame, vectorizer: CountVectorizerModel) -> DataFrame:
+    """Adds ``words``: the share of each known token among a document's, whatever its length."""
+    return Normalizer(p=1.0, inputCol="__counts", outputCol="words").transform(vectorizer.transform(rows)).drop("__counts")
 
 
 def _fit(rows: DataFrame, category: str) -> LogisticRegressionModel | float:
@@ -49,7 +62,7 @@ def _fit(rows: DataFrame, category: str) -> LogisticRegressionModel | float:
     if len(values) < 2:
         return float(values[0]) if values else 0.0
     # An L1 penalty: the few words that tell, out of very many.
-    return LogisticRegression(featuresCol="features", labelCol=category, regParam=0.002, elasticNetParam=1.0, maxIter=40, tol=1e-5, aggregationDepth=2).fit(rows)
+    return LogisticRegression(featuresCol="features", labelCol=category, regParam=0.001, elasticNetParam=1.0, maxIter=40, tol=1e-5, aggregationDepth=2).fit(rows)
 
 
 def _predicted(rows: DataFrame, model: LogisticRegressionModel | float, column: str) -> DataFrame:
@@ -82,8 +95,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     if rows.isEmpty():
         chain.models = [0.0 for _ in categories]
         return chain
-    chain.vectorizer = CountVectorizer(inputCol="tokens", outputCol="words", vocabSize=VOCABULARY, minDF=2.0, binary=True).fit(rows)
-    rows = stored(chain.vectorizer.transform(rows).withColumn("fold", F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(folds))).select("words", "fold", *categories), "labelled-words")
+    chain.vectorizer = CountVectorizer(inputCol="tokens", outputCol="__counts", vocabSize=VOCABULARY, minDF=5.0).fit(rows)
+    rows = stored(_counted(rows, chain.vectorizer).withColumn("fold", F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(folds))).select("words", "fold", *categories), "labelled-words")
     before: list[str] = []
     for category in categories:
         rows = _with_features(rows.drop("features"), before)
@@ -107,7 +120,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: floa
     kept = [c for c in docs.columns if c not in (*names, "is_toxic")]
     rows = docs.select(F.struct(*kept).alias("__row"), text_of(text_col).alias("text"))
     if chain.vectorizer is not None:
-        rows = chain.vectorizer.transform(_tokens(rows))
+        rows = _counted(_tokens(rows), chain.vectorizer)
     before: list[str] = []
     for category, model in zip(chain.categories, chain.models):
         if not isinstance(model, float):
