@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup
+from touchline.llm import exact_dedup, mixing, near_dedup, piece_codec, toxicity
 from touchline.llm.common import stored
+from touchline.llm.queries import DOMAIN, MIX_WEIGHTS
+
+#: Tokens that the mix may hold, as a share of those that reach it, and how often a document may be taken.
+MIX_PERCENT, MIX_EPOCHS = 100, 4
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier chain does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.document_chain(docs, labels))
+    return scored.where("not is_toxic").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +26,34 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(docs, DOMAIN, MIX_PERCENT, MIX_WEIGHTS, MIX_EPOCHS, seed=7)
+    taken = mixed.select("doc_id", "copies").where("copies > 0")
+    return docs.join(taken, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col")
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, with digests of them and of the text they decode to."""
+    model_file = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = piece_codec.decode_documents(piece_codec.encode_documents(docs, model_file), model_file)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_stage),
+    ("near-duplicates", near_stage),
+    ("mixing", mix_stage),
+    ("encoding", encode_stage),
+]
 
-#: The near-duplicate and encoding stages have no SQL form; tests hold the run against brute force.
+#: The toxicity, near-duplicate and encoding stages have no SQL form; tests hold the run against brute force.
 ORACLE_SQL = None
 
 

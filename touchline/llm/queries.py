@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup, fingerprint, line_dedup, mixing, near_dedup, piece_codec, substring_dedup, toxicity
+from touchline.llm import exact_dedup, fingerprint, line_dedup, mixing, near_dedup, page_text, piece_codec, substring_dedup, toxicity, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,14 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str, model_file: str | None = N
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_report(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +82,8 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_piece_codec": op4_piece_codec,
+    "op5_warc": op5_warc,
+    "op6_page_text": op6_page_text,
     "op7_mixing": op7_mixing,
     "op8_fingerprint": op8_fingerprint,
     "op9_substring_dedup": op9_substring_dedup,
