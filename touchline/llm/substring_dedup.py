@@ -10,8 +10,9 @@ it fixes by itself. Equal windows fix the same symbols at the same places.
 1. Each window takes as its anchor, at the highest level that has one, the fixed symbol of least hash; a
    window that fixes none takes its own hash. Neighbouring windows share anchors, some 6 each.
 2. Spark counts the anchors' names. Windows whose anchor has no other place have no other place either.
-3. The remaining windows are verified by 128-bit hashes of their 20 words; the smallest place of each hash
-   is its first, the others are repeats.
+3. The remaining stretches of windows with one anchor are told apart by 128-bit hashes of all their words: in
+   all but the first place of a stretch, its windows are repeats. The windows of first places are verified
+   by hashes of their 20 words; the smallest place of each is its first, the others are repeats.
 
 Exact copies of a whole document need no windows: but for the smallest id, all of their windows are repeats.
 """
@@ -30,6 +31,8 @@ from touchline.llm.words import chunks, mixed, powers, word_hashes
 
 WINDOW = 20
 ROUNDS = 4
+#: Bases of the two halves of a 128-bit hash.
+_BASES = 0x9FB21C651E98DF25, 0xA0761D6478BD642F
 _PAIR_A, _PAIR_B, _RUN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
 
 
@@ -96,6 +99,18 @@ def _grams(words: np.ndarray, base: int) -> np.ndarray:
     return mixed(total)
 
 
+def _spans(words: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hash of the words begin..end - 1 of each span. Spans have some dozens of words, so they are summed up
+    word by word, all spans at once."""
+    total = np.zeros(len(begin), np.uint64)
+    at, live = begin.copy(), np.arange(len(begin))
+    while len(live):
+        total[live] = mixed(total[live] * np.uint64(base) + words[at[live]])
+        at[live] += 1
+        live = live[at[live] < end[live]]
+    return total
+
+
 def anchors(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(name, first window, last window, document) of each stretch of windows with one anchor, in order.
     Windows are named by the number of their first word."""
@@ -125,19 +140,19 @@ def anchors(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             break
     if len(open_at):
         chosen[open_at] = passed + open_at
-        chosen_name[open_at] = _grams(words, 0x9FB21C651E98DF25)[place[open_at]]
+        chosen_name[open_at] = _grams(words, _BASES[0])[place[open_at]]
     change = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (document[1:] != document[:-1])]))
     until = np.append(change[1:], len(place)) - 1
     return chosen_name[change], place[change], place[until], document[change]
 
 
 def _anchored(rows: DataFrame) -> DataFrame:
-    """From (k, t, text) one row per document of 20 words or more: k, t, places (array of name, twice:
+    """From (k, t, h, text) one row per document of 20 words or more: k, t, h, places (array of name, twice:
     whether the document has the name again, first, last window)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, raws in chunks(batch.column(2).to_pylist(), lower=False):
+            for at, raws in chunks(batch.column(3).to_pylist(), lower=False):
                 words, offsets = word_hashes(raws)
                 name, first, last, document = anchors(words, offsets)
                 if not len(name):
@@ -153,33 +168,41 @@ def _anchored(rows: DataFrame) -> DataFrame:
                 held, counts = np.unique(document, return_counts=True)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), items)
                 take = pa.array(held + at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists], ["k", "t", "places"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), lists], ["k", "t", "h", "places"])
+
+    return rows.mapInArrow(found, "k bigint, t bigint, h bigint, places array<struct<name:bigint,twice:boolean,first:int,last:int>>")
 
-    return rows.mapInArrow(found, "k bigint, t bigint, places array<struct<name:bigint,twice:boolean,first:int,last:int>>")
 
+def _bounds(ranges: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of packed ranges."""
+    packed = ranges.values.to_numpy()
+    return packed >> 32, packed & 0xFFFFFFFF
 
-def _windows(rows: DataFrame) -> DataFrame:
-    """From (k, t, text, ranges) the windows within the ranges: a, b (hash), k, t, at."""
+
+def _hashed(rows: DataFrame, by_window: bool) -> DataFrame:
+    """From (k, t, text, ranges) the hash (a, b) of each range's words, or of each window in them: a, b, k,
+    t, r (the packed range or the window's first word)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            batch = whole.filter(whole.column(3).is_valid())
+        for batch in batches:
             for at, raws in chunks(batch.column(2).to_pylist(), lower=False):
                 words, offsets = word_hashes(raws)
-                if len(words) < WINDOW:
-                    continue
-                places, owners = [], []
-                for i in range(len(raws)):
-                    ranges = batch.column(3)[at + i].values
-                    for first, last in zip(ranges.field(0).to_numpy(), ranges.field(1).to_numpy()):
-                        places.append(np.arange(first, last + 1) + offsets[i])
-                        owners.append(np.full(last - first + 1, i))
-                place, owner = np.concatenate(places), np.concatenate(owners)
-                a, b = (_grams(words, base)[place].view(np.int64) for base in (0x9FB21C651E98DF25, 0xA0761D6478BD642F))
+                found = [_bounds(batch.column(3)[at + i]) for i in range(len(raws))]
+                owner = np.repeat(np.arange(len(raws)), [len(f) for f, _ in found])
+                first, last = np.concatenate([f for f, _ in found]), np.concatenate([x for _, x in found])
+                size = last - first + 1
+                if by_window:
+                    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first - offsets[owner], size)
+                    owner = np.repeat(owner, size)
+                    r = place - offsets[owner]
+                    keys = [_grams(words, base)[place] for base in _BASES]
+                else:
+                    begin, r = first + offsets[owner], first << 32 | last
+                    keys = [_spans(words, begin, begin + size + WINDOW - 1, base) for base in _BASES]
                 take = pa.array(owner + at)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column(0).take(take), batch.column(1).take(take), pa.array((place - offsets[owner]).astype(np.int32))], ["a", "b", "k", "t", "at"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in keys), batch.column(0).take(take), batch.column(1).take(take), pa.array(r)], ["a", "b", "k", "t", "r"])
 
-    return rows.mapInArrow(hashed, "a bigint, b bigint, k bigint, t bigint, at int")
+    return rows.mapInArrow(hashed, "a bigint, b bigint, k bigint, t bigint, r bigint")
 
 
 def _cut(rows: DataFrame, id_type: str) -> DataFrame:
@@ -199,7 +222,7 @@ def _cut(rows: DataFrame, id_type: str) -> DataFrame:
                     elif ranges.is_valid:
                         steps = np.zeros(n + 1, np.int32)
                         repeats = np.zeros(n, bool)
-                        for first, last in zip(ranges.values.field(0).to_numpy(), ranges.values.field(1).to_numpy()):
+                        for first, last in zip(*_bounds(ranges)):
                             repeats[first : last + 1] = True
                         if firsts.is_valid:
                             repeats[firsts.values.to_numpy()] = False
@@ -229,20 +252,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("k"), text_of(text_col).alias("text"))
     a, b = wide_hash(F.col("text"))
-    rows = rows.withColumns({"t": a, "t2": b})
-    smallest = rows.groupBy("t", "t2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "t2", "rep")
-    copies = stored(rows.select("k", "t", "t2").join(smallest, ["t", "t2"]).where("k <> rep").select("k", "t").distinct(), "copies")
-
-    anchored = stored(_anchored(rows.select("k", "t", "text")), "anchors")
-    place = anchored.select("k", "t", F.explode("places").alias("p"))
-    names = place.select("p.name", "t", "p.twice").groupBy("name").agg(F.min("t").alias("least"), F.max("t").alias("most"), F.max("twice").alias("twice"))
+    rows = rows.withColumns({"h": a, "h2": b})
+    light = stored(rows.select("k", "h", "h2"), "text-hashes")
+    # Where no id stands on two texts, the texts' hashes are not needed to tell documents apart.
+    one_text = light.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").isEmpty()
+    rows, light = (df.withColumn("t", F.lit(0).cast("bigint") if one_text else F.col("h")) for df in (rows, light))
+    smallest = light.groupBy("h", "h2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "h2", "rep")
+    copies = stored(light.join(smallest, ["h", "h2"]).where("k <> rep").select("k", "t").distinct(), "copies")
+
+    anchored = stored(_anchored(rows.select("k", "t", "h", "text")), "anchors")
+    place = anchored.select("k", "t", "h", F.explode("places").alias("p"))
+    names = place.select("p.name", "h", "p.twice").groupBy("name").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.max("twice").alias("twice"))
     repeated = names.where("twice or least <> most").select("name")
-    ranges = place.select("k", "t", "p.name", F.struct("p.first", "p.last").alias("r")).join(repeated, "name", "left_semi").groupBy("k", "t").agg(F.collect_set("r").alias("ranges"))
+    packed = (F.shiftleft(F.col("p.first").cast("bigint"), 32) + F.col("p.last")).alias("r")
+    ranges = place.select("k", "t", "p.name", packed).join(repeated, "name", "left_semi").groupBy("k", "t").agg(F.collect_set("r").alias("ranges"))
     ranges = stored(ranges.join(copies, ["k", "t"], "left_anti"), "ranges")
 
-    windows = _windows(rows.select("k", "t", "text").join(ranges, ["k", "t"], "left"))
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("k", "t", "at")).alias("f")).select("f.k", "f.t", "f.at")
-    firsts = stored(first.groupBy("k", "t").agg(F.collect_list("at").alias("firsts")), "firsts")
+    # A stretch that is not the first of its words repeats all of its windows; only first stretches are
+    # looked at window by window. The first place of a window is always in such a stretch.
+    hashed = _hashed(rows.select("k", "t", "text").join(ranges, ["k", "t"]), by_window=False)
+    first_stretch = hashed.groupBy("a", "b").agg(F.min(F.struct("k", "t", "r")).alias("f")).select("f.k", "f.t", "f.r")
+    new = stored(first_stretch.groupBy("k", "t").agg(F.collect_list("r").alias("ranges")), "first-stretches")
+    windows = _hashed(rows.select("k", "t", "text").join(new, ["k", "t"]), by_window=True)
+    first = windows.groupBy("a", "b").agg(F.min(F.struct("k", "t", "r")).alias("f")).select("f.k", "f.t", "f.r")
+    firsts = stored(first.groupBy("k", "t").agg(F.collect_list(F.col("r").cast("int")).alias("firsts")), "firsts")
     verdict = ranges.join(firsts, ["k", "t"], "left")
     marked = rows.select("id", "k", "t", "text").join(verdict, ["k", "t"], "left").join(copies.withColumn("copy", F.lit(True)), ["k", "t"], "left")
     out = _cut(marked.select("id", "text", "ranges", "firsts", F.coalesce("copy", F.lit(False)).alias("copy")), dict(rows.dtypes)["id"])
