@@ -4,19 +4,17 @@
    set. Documents with equal sets form one class, represented by its smallest id.
 2. The minima are cut into 32 bands of 4. Two sets of similarity 0.75 agree in some band with a probability
    of more than 0.99999.
-3. The bands are taken in three rounds. In each bucket, one class of every component found so far is paired
-   with the bucket's smallest. Pairs are checked by their signatures, then confirmed on the full sets, and
-   linked classes merged into components. A group of near copies is one component after the first bands, and
-   so one row a bucket in the others.
+3. In each bucket of a band, every class is paired with the bucket's smallest. Pairs are checked by their
+   signatures, then confirmed on the full sets, and linked classes merged into components.
 4. Only where a bucket of three or more still spans several components can a link have been missed. There,
    classes outside the bucket's largest component meet all classes of other components, in blocks; the join
-   itself compares signatures, so no list of all pairs exists.
+   itself compares signatures and sets, so no list of all pairs exists.
 5. Components come from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +29,6 @@ from touchline.llm.words import chunks, shingle_sets
 SHINGLE = 5
 SIMILARITY = 75  # hundredths
 BANDS, ROWS = 32, 4
-#: The bands are taken in rounds: what the first has merged meets others as one.
-ROUNDS = (range(1), range(1, 8), range(8, BANDS))
 #: A pair whose signatures agree in fewer places is not looked at: at a similarity of 0.75, some 96 of 128
 #: agree, and fewer than 64 with a probability of less than 1e-9.
 LEAST_AGREEING = 64
@@ -94,27 +90,18 @@ def _similar_sizes(x: str, y: str):
     return 100 * F.least(x, y) >= SIMILARITY * F.greatest(x, y)
 
 
+def _similar_sets(x: str, y: str):
+    common = F.size(F.array_intersect(x, y))
+    return 100 * common >= SIMILARITY * (F.size(x) + F.size(y) - common)
+
+
 def _confirmed(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough. ``rows``: id, text."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = stored(_sets(rows.join(wanted, "id", "left_semi"), shingle).dropDuplicates(["id"]), "shingle-sets")
     one = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
     other = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
-    common = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(one, "v").join(other, "u").where(100 * common >= SIMILARITY * (F.size("su") + F.size("sv") - common)).select("u", "v")
-
-
-def _banded(reps: DataFrame, links: DataFrame | None, bands: Iterable[int]) -> DataFrame:
-    """Each class in each of ``bands``: id, c (its component so far), bucket."""
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.get("signature", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in bands])
-    known = reps.withColumn("component", F.lit(None).cast("bigint")) if links is None else reps.join(links, "id", "left")
-    return known.select("id", F.coalesce("component", "id").alias("c"), F.explode(keys).alias("bucket"))
-
-
-def _merged(links: DataFrame | None, more: DataFrame) -> DataFrame:
-    """Components of the links so far (id, component) and of ``more`` (u, v)."""
-    edges = more if links is None else more.union(links.where("id <> component").select("id", "component"))
-    return stored(connected_components(edges), "components")
+    return pairs.join(one, "v").join(other, "u").where(_similar_sets("su", "sv")).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -135,34 +122,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = classes.select(F.col("rep").alias("id"), "a", "b")
     reps = stored(signed.join(chosen, ["id", "a", "b"], "left_semi").dropDuplicates(["id"]).select("id", "n", "signature"), "representatives")
 
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("signature", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)])
+    banded = reps.select("id", F.explode(bands).alias("bucket"))
+    buckets = stored(banded.groupBy("bucket").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    members = stored(banded.join(buckets, "bucket").select("bucket", "size", "u", F.col("id").alias("v")), "bucket-members")
+
     sized = reps.select("id", "n", "signature")
+    pairs = members.where("u <> v").select("u", "v").distinct()
+    for side in ("v", "u"):
+        pairs = pairs.join(sized.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("signature").alias(f"s{side}")), side)
+    pairs = stored(pairs.where(_similar_sizes("nu", "nv") & _agreeing("su", "sv")).select("u", "v"), "candidates")
     representatives = rows.join(chosen.select("id"), "id", "left_semi")
-    links: DataFrame | None = None
-    for bands in ROUNDS:
-        # One class of each component in a bucket meets the bucket's smallest.
-        heads = _banded(reps, links, bands).groupBy("bucket", "c").agg(F.min("id").alias("v"))
-        hubs = heads.groupBy("bucket").agg(F.min("v").alias("u"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", "u")
-        pairs = heads.join(hubs, "bucket").where("u <> v").select("u", "v").distinct()
-        for side in ("v", "u"):
-            pairs = pairs.join(sized.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("signature").alias(f"s{side}")), side)
-        pairs = stored(pairs.where(_similar_sizes("nu", "nv") & _agreeing("su", "sv")).select("u", "v"), "candidates")
-        if not pairs.isEmpty():
-            links = _merged(links, _confirmed(pairs, representatives, shingle))
+    links = stored(_confirmed(pairs, representatives, shingle), "confirmed")
+    first = stored(connected_components(links), "components")
 
     # Buckets that still span components.
-    labelled = _banded(reps, links, range(BANDS)).withColumnRenamed("id", "v")
+    labelled = members.where("size > 2").join(first.withColumnRenamed("id", "v"), "v", "left").select("bucket", "size", "u", "v", F.coalesce("component", "v").alias("c"))
     counted = labelled.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-    spanning = stored(counted.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and size > 2").select("bucket", "main", "size"), "spanning")
+    spanning = stored(counted.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1"), "spanning")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    held = stored(labelled.join(spanning, "bucket").join(sized.select(F.col("id").alias("v"), "n", "signature"), "v").select("bucket", "main", "v", "c", "n", "signature", blocks.alias("blocks")), "spanning-members")
-    left = held.where("c <> main").select(F.col("bucket").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("kx"), F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("signature").alias("sx"))
-    right = held.select(F.col("bucket").alias("by"), F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("ky"), F.col("v").alias("y"), F.col("c").alias("cy"), F.col("main").alias("my"), F.col("n").alias("ny"), F.col("signature").alias("sy"))
+    open_rows = labelled.where("v <> u").join(spanning, "bucket").join(sized.select(F.col("id").alias("v"), "n", "signature"), "v").select("bucket", "main", "v", "c", "n", "signature", blocks.alias("blocks"))
+    open_rows = stored(open_rows, "spanning-members")
+    sets = stored(_sets(representatives.join(open_rows.select(F.col("v").alias("id")).distinct(), "id", "left_semi"), shingle).dropDuplicates(["id"]), "shingle-sets")
+    held = open_rows.join(sets.withColumnRenamed("id", "v"), "v")
+    side = lambda s: [F.col(c).alias(f"{c[0]}{s}") for c in ("c", "n")] + [F.col("v").alias(s), F.col("signature").alias(f"s{s}"), F.col("shingles").alias(f"w{s}")]
+    left = held.where("c <> main").select(F.col("bucket").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("kx"), *side("x"))
+    right = held.select(F.col("bucket").alias("by"), F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("ky"), F.col("main").alias("my"), *side("y"))
     once = (F.col("cy") == F.col("my")) | (F.col("x") < F.col("y"))
-    met = left.join(right, (F.col("bx") == F.col("by")) & (F.col("kx") == F.col("ky")) & (F.col("cx") != F.col("cy")) & once & _similar_sizes("nx", "ny") & _agreeing("sx", "sy"))
-    more = stored(met.select(F.greatest("x", "y").alias("v"), F.least("x", "y").alias("u")).distinct(), "late-candidates")
-    if not more.isEmpty():
-        links = _merged(links, _confirmed(more, representatives, shingle))
-    final = links if links is not None else reps.select("id", F.col("id").alias("component")).limit(0)
+    # Compared in full within the join, so that pairs which only look alike are never written.
+    alike = _similar_sizes("nx", "ny") & _agreeing("sx", "sy") & _similar_sets("wx", "wy")
+    met = left.join(right, (F.col("bx") == F.col("by")) & (F.col("kx") == F.col("ky")) & (F.col("cx") != F.col("cy")) & once & alike)
+    late = stored(met.select(F.greatest("x", "y").alias("v"), F.least("x", "y").alias("u")).distinct(), "late-links")
+    if late.isEmpty():
+        final = first
+    else:
+        final = stored(connected_components(late.select("u", "v").union(first.where("id <> component").select("id", "component"))), "components")
 
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or component is not null").select("a", "b", F.coalesce("component", "rep").alias("component"))
     component = F.coalesce("component", "id")
