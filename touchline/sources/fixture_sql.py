@@ -30,20 +30,20 @@ matches as (
          cast(o.o_orderkey * 47 % 6 as double) as away_yellows,
          cast(case when o.o_orderkey % 19 = 0 then 1 else 0 end as double) as home_reds,
          cast(case when o.o_orderkey % 22 = 0 then 1 else 0 end as double) as away_reds,
-         case when o.o_orderkey % 17 = 0 then null else cast(1.30 + (o.o_orderkey * 7919 % 400) / 100.0 as double) end as open_odds_home,
-         cast(2.80 + (o.o_orderkey * 104729 % 200) / 100.0 as double) as open_odds_draw,
-         cast(1.50 + (o.o_orderkey * 1299709 % 500) / 100.0 as double) as open_odds_away,
-         case when o.o_orderkey % 11 = 0 then null else cast(1.25 + (o.o_orderkey * 7907 % 410) / 100.0 as double) end as close_odds_home,
-         cast(2.75 + (o.o_orderkey * 104723 % 210) / 100.0 as double) as close_odds_draw,
-         case when o.o_orderkey % 31 = 0 then cast(1 as double) else cast(1.45 + (o.o_orderkey * 1299689 % 510) / 100.0 as double) end as close_odds_away,
-         cast(1.35 + (o.o_orderkey * 6151 % 390) / 100.0 as double) as odds_home,
-         cast(2.85 + (o.o_orderkey * 3079 % 190) / 100.0 as double) as odds_draw,
-         cast(1.55 + (o.o_orderkey * 1543 % 480) / 100.0 as double) as odds_away,
-         case when o.o_orderkey % 9 = 0 then null else cast(1.40 + (o.o_orderkey * 769 % 150) / 100.0 as double) end as over_odds,
-         case when o.o_orderkey % 14 = 0 then null else cast(1.50 + (o.o_orderkey * 389 % 130) / 100.0 as double) end as under_odds,
-         case when o.o_orderkey % 6 = 0 then null else cast((o.o_orderkey * 193 % 9 - 4) / 4.0 as double) end as ah_line,
-         case when o.o_orderkey % 7 = 0 then null else cast((o.o_orderkey * 97 % 350) / 100.0 as double) end as home_xg,
-         case when o.o_orderkey % 7 = 0 then null else cast((o.o_orderkey * 89 % 300) / 100.0 as double) end as away_xg
+         case when o.o_orderkey % 17 = 0 then null else cast(130 + (o.o_orderkey * 7919 % 400) as double) / 100 end as open_odds_home,
+         cast(280 + (o.o_orderkey * 104729 % 200) as double) / 100 as open_odds_draw,
+         cast(150 + (o.o_orderkey * 1299709 % 500) as double) / 100 as open_odds_away,
+         case when o.o_orderkey % 11 = 0 then null else cast(125 + (o.o_orderkey * 7907 % 410) as double) / 100 end as close_odds_home,
+         cast(275 + (o.o_orderkey * 104723 % 210) as double) / 100 as close_odds_draw,
+         case when o.o_orderkey % 31 = 0 then cast(1 as double) else cast(145 + (o.o_orderkey * 1299689 % 510) as double) / 100 end as close_odds_away,
+         cast(135 + (o.o_orderkey * 6151 % 390) as double) / 100 as odds_home,
+         cast(285 + (o.o_orderkey * 3079 % 190) as double) / 100 as odds_draw,
+         cast(155 + (o.o_orderkey * 1543 % 480) as double) / 100 as odds_away,
+         case when o.o_orderkey % 9 = 0 then null else cast(140 + (o.o_orderkey * 769 % 150) as double) / 100 end as over_odds,
+         case when o.o_orderkey % 14 = 0 then null else cast(150 + (o.o_orderkey * 389 % 130) as double) / 100 end as under_odds,
+         case when o.o_orderkey % 6 = 0 then null else cast((o.o_orderkey * 193 % 9 - 4) as double) / 4 end as ah_line,
+         case when o.o_orderkey % 7 = 0 then null else cast((o.o_orderkey * 97 % 350) as double) / 100 end as home_xg,
+         case when o.o_orderkey % 7 = 0 then null else cast((o.o_orderkey * 89 % 300) as double) / 100 end as away_xg
   from orders o join customer c on o.o_custkey = c.c_custkey
   join nation n on c.c_nationkey = n.n_nationkey join line_sums g on g.l_orderkey = o.o_orderkey)
 """.strip()
