@@ -34,22 +34,27 @@ def low_score_factor(h: Column, a: Column, home: Column, away: Column, rho: floa
 
 
 def scores(rates: DataFrame, rho: float = 0.0, most: int = MAX_GOALS) -> DataFrame:
-    """Per row of ``rates`` (home_rate, away_rate) its (most + 1)^2 scores: hg, ag, p. They sum to 1."""
+    """Per row of ``rates`` (home_rate, away_rate) its (most + 1)^2 scores: hg, ag and a weight p, which
+    must be divided by the sum of them all (not here, where it would be summed up anew for each cell)."""
     grid = F.array(*[F.struct(F.lit(h).alias("hg"), F.lit(a).alias("ag")) for h in range(most + 1) for a in range(most + 1)])
     home, away = F.col("home_rate"), F.col("away_rate")
     cells = F.transform(
         grid,
         lambda s: F.struct(s["hg"].alias("hg"), s["ag"].alias("ag"), F.greatest(F.lit(0.0), poisson(s["hg"], home) * poisson(s["ag"], away) * low_score_factor(s["hg"], s["ag"], home, away, rho)).alias("p")),
     )
-    total = F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["p"])
-    summed = rates.withColumn("cells", cells).withColumn("total", total)
-    return summed.withColumn("cells", F.transform("cells", lambda c: F.struct(c["hg"].alias("hg"), c["ag"].alias("ag"), (c["p"] / F.col("total")).alias("p")))).drop("total")
+    return rates.withColumn("cells", cells)
+
+
+def _total(test=None):
+    """Sum of the weights of the cells that pass ``test``."""
+    chosen = F.col("cells") if test is None else F.filter("cells", test)
+    return F.aggregate(chosen, F.lit(0.0), lambda acc, c: acc + c["p"])
 
 
 def outcome_probs(rates: DataFrame, rho: float = 0.0, most: int = MAX_GOALS) -> DataFrame:
     """``rates`` with p_home, p_draw, p_away."""
     celled = scores(rates, rho, most)
-    of = lambda test: F.aggregate(F.filter("cells", test), F.lit(0.0), lambda acc, c: acc + c["p"])
+    of = lambda test: _total(test) / _total()
     probs = {"p_home": of(lambda c: c["hg"] > c["ag"]), "p_draw": of(lambda c: c["hg"] == c["ag"]), "p_away": of(lambda c: c["hg"] < c["ag"])}
     return celled.withColumns(probs).drop("cells")
 
@@ -59,8 +64,8 @@ def top_scores(rates: DataFrame, k: int = 5, rho: float = 0.0, most: int = MAX_G
     ordered = F.array_sort(F.transform("cells", lambda c: F.struct((-c["p"]).alias("n"), c["hg"].alias("hg"), c["ag"].alias("ag"))))
     top = F.slice(ordered, 1, k)
     kept = [c for c in rates.columns if c not in ("home_rate", "away_rate")]
-    out = scores(rates, rho, most).select(*kept, F.posexplode(top).alias("pos", "c"))
-    return out.select(*kept, (F.col("pos") + 1).alias("rank"), F.col("c.hg").alias("hg"), F.col("c.ag").alias("ag"), (-F.col("c.n")).alias("p"))
+    out = scores(rates, rho, most).select(*kept, _total().alias("__total"), F.posexplode(top).alias("pos", "c"))
+    return out.select(*kept, (F.col("pos") + 1).alias("rank"), F.col("c.hg").alias("hg"), F.col("c.ag").alias("ag"), (-F.col("c.n") / F.col("__total")).alias("p"))
 
 
 def with_elo(home: Column, away: Column, diff: Column, beta: float) -> tuple[Column, Column]:
