@@ -148,3 +148,54 @@ def decayed_strengths_asof(matches: DataFrame, decay: float = 0.001, low: float
     ratio = (tg + guard) / (mean * tn + guard)
     bounded = F.least(F.greatest(ratio, F.lit(low)), F.lit(high))
     return teams.select("league", "team", F.date_add(F.lit("1990-01-01").cast("date"), F.col("day")).alias("date"), F.when(F.col("before").isNotNull() & (tn > 0), bounded).otherwise(1.0).alias("home_attack"))
+
+
+def split_strengths_asof(matches: DataFrame, decay: float = 0.001, low: float = 0.3, high: float = 3.0, guard: float = 1e-9, mean_home: float = 1.35, mean_away: float = 1.10) -> DataFrame:
+    """Home attack, home defence, away attack and away defence of each team before each day on which it has a
+    match, at home or away, played or not, with the league's means of goals then.
+
+    Weights are those of ``decayed_strengths_asof``. Before a league's first result the means are ``mean_home`` and
+    ``mean_away``; a team without matches on a side counts 1.0 there.
+    """
+    is_played = finite("home_goals").isNotNull() & finite("away_goals").isNotNull()
+    zero, base = F.lit(0.0), F.lit("1990-01-01").cast("date")
+    scored = matches.select("league", "home_team", "away_team", F.datediff("date", base).alias("day"), F.when(is_played, F.col("home_goals")).otherwise(zero).alias("hg"), F.when(is_played, F.col("away_goals")).otherwise(zero).alias("ag"), is_played.cast("double").alias("n"))
+    days = scored.groupBy("league", "day").agg(*[F.sum(c).alias(c) for c in ("hg", "ag", "n")])
+    earlier = Window.partitionBy("league").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    origin = F.min("day").over(Window.partitionBy("league"))
+    w = F.exp(decay * (F.col("day") - F.col("origin")))
+    before = F.max(F.when(F.col("n") > 0, F.col("day"))).over(earlier)
+    league = days.withColumn("origin", origin).select("league", "day", "origin", before.alias("before"), *[F.sum(w * F.col(c)).over(earlier).alias(f"l_{c}") for c in ("hg", "ag", "n")])
+    at_home, on_road = ("home_for", "home_against", "home_n"), ("away_for", "away_against", "away_n")
+    given = lambda names, columns: [F.col(c).alias(n) for n, c in zip(names, columns)]
+    none = lambda names: [zero.alias(n) for n in names]
+    home = scored.select("league", F.col("home_team").alias("team"), "day", *given(at_home, ("hg", "ag", "n")), *none(on_road))
+    away = scored.select("league", F.col("away_team").alias("team"), "day", *given(on_road, ("ag", "hg", "n")), *none(at_home))
+    sums = (*at_home, *on_road)
+    teams = home.unionByName(away).groupBy("league", "team", "day").agg(*[F.sum(c).alias(c) for c in sums]).join(league, ["league", "day"])
+    own = Window.partitionBy("league", "team").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    scale = F.exp(-decay * (F.col("before") - F.col("origin")))
+    run = teams.select("league", "team", "day", "before", F.try_divide("l_hg", "l_n").alias("mh"), F.try_divide("l_ag", "l_n").alias("ma"), *[(F.coalesce(F.sum(w * F.col(c)).over(own), zero) * scale).alias(c) for c in sums])
+    known = F.col("before").isNotNull()
+
+    def ratio(goals: str, mean: str, n: str) -> Column:
+        raw = (F.col(goals) + guard) / (F.col(mean) * F.col(n) + guard)
+        return F.when(known, F.least(F.greatest(raw, F.lit(low)), F.lit(high))).otherwise(1.0)
+
+    return run.select(
+        "league", "team", F.date_add(base, F.col("day")).alias("date"),
+        F.when(known, F.col("mh")).otherwise(mean_home).alias("mean_home"), F.when(known, F.col("ma")).otherwise(mean_away).alias("mean_away"),
+        ratio("home_for", "mh", "home_n").alias("home_attack"), ratio("home_against", "ma", "home_n").alias("home_defence"),
+        ratio("away_for", "ma", "away_n").alias("away_attack"), ratio("away_against", "mh", "away_n").alias("away_defence"),
+    )
+
+
+def rates_asof(matches: DataFrame, decay: float = 0.001, least: float = 0.05) -> DataFrame:
+    """Each match, played or not, with the goal rates of both sides from what was known before its day:
+    match_id, home_rate, away_rate."""
+    found = split_strengths_asof(matches, decay)
+    home = found.select("league", "date", F.col("team").alias("home_team"), "mean_home", "mean_away", "home_attack", "home_defence")
+    away = found.select("league", "date", F.col("team").alias("away_team"), "away_attack", "away_defence")
+    joined = matches.select("match_id", "league", "date", "home_team", "away_team").join(home, ["league", "date", "home_team"], "left").join(away, ["league", "date", "away_team"], "left")
+    rate = lambda *c: F.greatest(F.col(c[0]) * F.coalesce(c[1], F.lit(1.0)) * F.coalesce(c[2], F.lit(1.0)), F.lit(least))
+    return joined.select("match_id", rate("mean_home", "home_attack", "away_defence").alias("home_rate"), rate("mean_away", "away_attack", "home_defence").alias("away_rate"))

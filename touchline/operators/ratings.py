@@ -36,13 +36,14 @@ def _update(ratings: dict[int, float], home: int, away: int, hg: float, ag: floa
     ratings[away] -= step
 
 
-def elo(matches: DataFrame, k: float = 50.0, home_adv: float = 80.0, by_day: bool = True) -> DataFrame:
+def elo(matches: DataFrame, k: float = 50.0, home_adv: float = 80.0, by_day: bool = True, unplayed: bool = False) -> DataFrame:
     """Ratings before each played match: match_id, league, date, home_elo, away_elo, and after it
     home_post, away_post.
 
     ``by_day``: all matches of a day see the ratings before the day; otherwise each sees those before it.
+    ``unplayed``: matches without a result too, which change no rating and have none after them.
     """
-    played = matches.where("home_goals is not null and away_goals is not null").select("league", "date", "match_id", "home_team", "away_team", "home_goals", "away_goals")
+    played = matches.where("true" if unplayed else "home_goals is not null and away_goals is not null").select("league", "date", "match_id", "home_team", "away_team", "home_goals", "away_goals")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["date", "match_id"])
@@ -54,6 +55,9 @@ def elo(matches: DataFrame, k: float = 50.0, home_adv: float = 80.0, by_day: boo
                 seen = before if by_day else ratings
                 entry = _entry(seen)
                 home, away = seen.get(m.home_team, entry), seen.get(m.away_team, entry)
+                if math.isnan(m.home_goals) or math.isnan(m.away_goals):
+                    out.append((m.league, m.date, m.match_id, home, away, None, None))
+                    continue
                 enter = _entry(ratings)
                 for team in (m.home_team, m.away_team):
                     if team not in ratings:

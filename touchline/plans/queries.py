@@ -336,6 +336,60 @@ def elo_adjusted_lambdas(m):
     return r6(_rates(m).select("match_id", home.alias("home_rate"), away.alias("away_rate"), goals.over_25(F.col("home_rate") + F.col("away_rate")).alias("p_over")))
 
 
+#: The same from what was known before each day, for every match: decayed strengths, and rates from them.
+STRENGTHS_ASOF = """
+, pl as (select league, date, home_team, away_team, home_goals as hg, away_goals as ag from matches where home_goals is not null and away_goals is not null),
+ md as (select distinct league, date from matches),
+ lb as (select d.league, d.date, max(p.date) as before from md d join pl p on p.league = d.league and p.date < d.date group by d.league, d.date),
+ lw as (select b.league, b.date, sum(exp(-0.001 * date_diff('day', p.date, b.before)) * hg) as lh, sum(exp(-0.001 * date_diff('day', p.date, b.before)) * ag) as la, sum(exp(-0.001 * date_diff('day', p.date, b.before))) as ln
+   from lb b join pl p on p.league = b.league and p.date < b.date group by b.league, b.date),
+ tk as (select league, home_team as team, date from matches union select league, away_team, date from matches),
+ tp as (select t.league, t.team, t.date, p.home_team = t.team as at_home, exp(-0.001 * date_diff('day', p.date, b.before)) as w, hg, ag
+   from tk t join lb b using (league, date) join pl p on p.league = t.league and p.date < t.date and (p.home_team = t.team or p.away_team = t.team)),
+ tw as (select league, team, date, coalesce(sum(w * hg) filter (at_home), 0) as hf, coalesce(sum(w * ag) filter (at_home), 0) as ha, coalesce(sum(w) filter (at_home), 0) as hn,
+   coalesce(sum(w * ag) filter (not at_home), 0) as af, coalesce(sum(w * hg) filter (not at_home), 0) as aa, coalesce(sum(w) filter (not at_home), 0) as an from tp group by league, team, date),
+ st as (select t.league, t.team, t.date, coalesce(lh / ln, 1.35) as mean_home, coalesce(la / ln, 1.10) as mean_away,
+   case when hn > 0 then least(greatest((hf + 1e-9) / (lh / ln * hn + 1e-9), 0.3), 3.0) else 1.0 end as home_attack, case when hn > 0 then least(greatest((ha + 1e-9) / (la / ln * hn + 1e-9), 0.3), 3.0) else 1.0 end as home_defence,
+   case when an > 0 then least(greatest((af + 1e-9) / (la / ln * an + 1e-9), 0.3), 3.0) else 1.0 end as away_attack, case when an > 0 then least(greatest((aa + 1e-9) / (lh / ln * an + 1e-9), 0.3), 3.0) else 1.0 end as away_defence
+   from tk t left join lw using (league, date) left join tw using (league, team, date))
+"""
+RATES_ASOF = (
+    STRENGTHS_ASOF
+    + """, rates as (select match_id, greatest(h.mean_home * h.home_attack * a.away_defence, 0.05) as lh, greatest(h.mean_away * a.away_attack * h.home_defence, 0.05) as la
+ from matches m join st h on h.league = m.league and h.date = m.date and h.team = m.home_team join st a on a.league = m.league and a.date = m.date and a.team = m.away_team)
+"""
+)
+CELLS_ASOF = RATES_ASOF + CELLS.removeprefix(RATES)
+
+
+@query(RATES_ASOF + "select match_id, round(lh, 6) as home_rate, round(la, 6) as away_rate from rates")
+def rates_asof(m):
+    return r6(asof.rates_asof(m))
+
+
+@query(CELLS_ASOF.replace("{rho}", "0.0") + OUTCOME)
+def poisson_outcome_asof(m):
+    return r6(goals.outcome_probs(asof.rates_asof(m)).drop("home_rate", "away_rate"))
+
+
+@query(CELLS_ASOF.replace("{rho}", "-0.08") + OUTCOME)
+def dixon_coles_outcome_asof(m):
+    return r6(goals.outcome_probs(asof.rates_asof(m), -0.08).drop("home_rate", "away_rate"))
+
+
+@query(CELLS_ASOF.replace("{rho}", "-0.08") + "select match_id, cast(n as int) as rank, round(p, 6) as p from (select *, row_number() over (partition by match_id order by p desc) as n from grid) where n <= 5")
+def top_k_scorelines_asof(m):
+    return r6(goals.top_scores(asof.rates_asof(m), 5, -0.08).select("match_id", "rank", "p"))
+
+
+@query(None)
+def elo_adjusted_lambdas_asof(m):
+    rated = ratings.elo(m, 50.0, 80.0, by_day=True, unplayed=True).select("match_id", "home_elo", "away_elo")
+    rows = asof.rates_asof(m).join(rated, "match_id")
+    home, away = goals.with_elo(F.col("home_rate"), F.col("away_rate"), F.col("home_elo") - F.col("away_elo"), 0.11)
+    return r6(rows.select("match_id", home.alias("home_rate"), away.alias("away_rate"), goals.over_25(F.col("home_rate") + F.col("away_rate")).alias("p_over")))
+
+
 SCORED = FAIR + ", s as (select *, case y when 0 then ph when 1 then pd else pa end as py, case when ph >= pd and ph >= pa then 0 when pd >= pa then 1 else 2 end as pick from probs where ok = 1 and y is not null)"
 
 
@@ -517,9 +571,21 @@ def context_outer_merge(m):
     return joining.outer_merge(old, new, ["match_id"])
 
 
+@query(
+    """, o as (select match_id, case when match_id % 5 <> 0 then home_corners end as home_corners, case when match_id % 5 <> 0 then home_xg end as home_xg from matches),
+ n as (select match_id, case when match_id % 2 = 0 and match_id % 3 <> 0 then home_corners + 1 end as home_corners, case when match_id % 2 = 0 then away_yellows end as extra from matches)
+ select match_id, coalesce(n.home_corners, o.home_corners) as home_corners, o.home_xg as home_xg, n.extra as extra from o full join n using (match_id)"""
+)
+def context_outer_merge_all(m):
+    in_old, in_new = F.col("match_id") % 5 != 0, F.col("match_id") % 2 == 0
+    old = m.select("match_id", *[F.when(in_old, F.col(c)).alias(c) for c in ("home_corners", "home_xg")])
+    new = m.select("match_id", F.when(in_new & (F.col("match_id") % 3 != 0), F.col("home_corners") + 1).alias("home_corners"), F.when(in_new, F.col("away_yellows")).alias("extra"))
+    return joining.outer_merge(old, new, ["match_id"])
+
+
 @query("select match_id from matches m where not exists (select 1 from matches k where k.match_id = m.match_id and (k.home_xg is not null and k.match_id % 3 = 0))")
 def context_anti_backfill(m):
-    known = m.where("match_id % 3 = 0").select("match_id", "home_xg")
+    known = m.select("match_id", F.when(F.col("match_id") % 3 == 0, F.col("home_xg")).alias("home_xg"))
     return joining.missing_only(m.select("match_id"), known, ["match_id"], ["home_xg"])
 
 
