@@ -22,8 +22,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return exact_dedup.drop_exact_duplicates(docs)
+    """One row of each text, rows that repeat both id and text included."""
+    return exact_dedup.keep_one_of_each(exact_dedup.drop_exact_duplicates(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs, DOMAIN, MIX_PERCENT, MIX_WEIGHTS, MIX_EPOCHS, seed=7)
-    taken = mixed.select("doc_id", "copies").where("copies > 0")
-    return docs.join(taken, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col")
+    return mixing.taken(docs, DOMAIN, MIX_PERCENT, MIX_WEIGHTS, MIX_EPOCHS, seed=7)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

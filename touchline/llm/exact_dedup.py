@@ -108,3 +108,18 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(text_of(text_col), 256) == F.col("__sha"))
     return docs.join(gone, same, "left_anti")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each text, the one with the largest id, then with the largest other columns; null
+    counts as empty text. All columns stay.
+
+    Only rows whose text is given more than once are shuffled. Copies collapse in the map-side part of the
+    aggregation.
+    """
+    keyed = docs.withColumn("__sha", F.sha2(text_of(text_col), 256))
+    again = keyed.groupBy("__sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__sha")
+    again = stored(again, "repeated-texts")
+    largest = F.max(F.struct(id_col, *[c for c in docs.columns if c not in (id_col, text_col)], text_col)).alias("__row")
+    chosen = keyed.join(again, "__sha", "left_semi").groupBy("__sha").agg(largest).select("__row.*").select(*docs.columns)
+    return keyed.join(again, "__sha", "left_anti").select(*docs.columns).unionByName(chosen)

@@ -63,7 +63,7 @@ def allocate(leaves: DataFrame, budget: int, weights: dict[str, dict[str, int]],
     return given.select(*LEVELS, "alloc")
 
 
-def mix(docs: DataFrame, domain: Column, budget_percent: int = 60, weights: dict[str, dict[str, int]] | None = None, max_epochs: int = 4, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, domain: Column, budget_percent: int = 60, weights: dict[str, dict[str, int]] | None = None, max_epochs: int = 4, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, domain, lang, source, n_tokens (words), alloc (of its leaf), copies
     (how often the document is taken, 0 to ``max_epochs``).
 
@@ -71,9 +71,10 @@ def mix(docs: DataFrame, domain: Column, budget_percent: int = 60, weights: dict
     null domain, language or source is a value of its own. Documents without tokens go where the order puts
     them, as they fit everywhere. Equal order hashes (rows with one id) are taken or left together. An empty
     table gives an empty result; columns but lang, source, the id and the text matter only to ``domain``.
+    ``carry`` names a further column, a struct of the row's own columns.
     """
     weights = weights or {}
-    rows = docs.select(F.col(id_col).alias("id"), domain.alias("domain"), "lang", "source", F.regexp_count(text_of(text_col), F.lit(WORD_PATTERN)).cast("long").alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("id"), domain.alias("domain"), "lang", "source", F.regexp_count(text_of(text_col), F.lit(WORD_PATTERN)).cast("long").alias("n_tokens"), *([F.struct(*docs.columns).alias(carry)] if carry else []))
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     given = allocate(leaves, total * budget_percent // 100, weights, max_epochs)
@@ -88,4 +89,11 @@ def mix(docs: DataFrame, domain: Column, budget_percent: int = 60, weights: dict
     at = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in LEVELS]) & (F.col("range") == F.col("_s_range"))
     upto = F.col("start") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "range").orderBy("h").rangeBetween(Window.unboundedPreceding, 0))
     copies = F.col("epochs") + F.when((F.col("rest") > 0) & (upto <= F.col("rest")), 1).otherwise(0)
-    return ordered.join(starts, at).select(F.col("id").alias(id_col), *LEVELS, "n_tokens", "alloc", copies.cast("long").alias("copies"))
+    return ordered.join(starts, at).select(F.col("id").alias(id_col), *LEVELS, "n_tokens", "alloc", copies.cast("long").alias("copies"), *([carry] if carry else []))
+
+
+def taken(docs: DataFrame, domain: Column, budget_percent: int = 60, weights: dict[str, dict[str, int]] | None = None, max_epochs: int = 4, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as ``mix`` takes it. No join by id: rows without an id,
+    or with one id, stand for themselves."""
+    mixed = mix(docs, domain, budget_percent, weights, max_epochs, seed, id_col, text_col, carry="__row").where("copies > 0")
+    return mixed.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
