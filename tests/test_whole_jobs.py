@@ -55,3 +55,25 @@ def test_elo_moves_the_rates(spark, matches):
 def test_one_row_a_match(spark, matches, name):
     ids = [r.match_id for r in QUERIES[name](spark, SF).select("match_id").collect()]
     assert sorted(ids) == sorted(r.match_id for r in matches.select("match_id").collect())
+
+
+def test_strengths_of_every_team_and_day(spark, matches):
+    m = matches.toPandas()
+    keys = set(zip(m.league, m.home_team, m.date)) | set(zip(m.league, m.away_team, m.date))
+    got = QUERIES["strength_decayed_split_asof"](spark, SF).collect()
+    assert len(got) == len(keys) and {(r.league, r.team, r.date) for r in got} == keys
+
+
+def test_strengths_at_the_end(matches):
+    m = matches.toPandas()
+    played = m[m.home_goals.notna() & m.away_goals.notna()]
+    want = {(league, team): v for league, rows in played.groupby("league") for team, v in brute_strengths(rows)[2].items()}
+    got = {(r.league, r.team): r[2:] for r in asof.decayed_strengths(matches).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(a - b) < 1e-6 for k in want for a, b in zip(got[k], want[k]))
+
+
+def test_every_statistic(spark):
+    assert len(QUERIES["rolling_form_5_all"](spark, SF).columns) == 4 + 12
+    assert len(QUERIES["rolling_stats_diffs_all"](spark, SF).columns) == 1 + 12
+    assert len(QUERIES["last_k_sequence_all"](spark, SF).columns) == 5 + 14

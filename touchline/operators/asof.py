@@ -15,9 +15,10 @@ from touchline.functions.columns import finite
 KEYS = ("league", "team")
 #: Statistics of a side, by their names without home_ or away_.
 STATS = ("goals", "shots", "corners", "xg")
+ALL_STATS = (*STATS, "shots_target", "npxg", "xpts")
 
 
-def _side(matches: DataFrame, own: str, other: str) -> DataFrame:
+def _side(matches: DataFrame, own: str, other: str, stats: tuple[str, ...]) -> DataFrame:
     def stat(side: str, name: str) -> Column:
         return finite(f"{side}_{name}")
 
@@ -27,16 +28,16 @@ def _side(matches: DataFrame, own: str, other: str) -> DataFrame:
         "match_id", "date", "league",
         F.col(f"{own}_team").alias("team"), F.col(f"{other}_team").alias("opponent"),
         F.lit(own == "home").alias("is_home"),
-        *[stat(own, s).alias(f"{s}_for") for s in STATS], *[stat(other, s).alias(f"{s}_against") for s in STATS],
+        *[stat(own, s).alias(f"{s}_for") for s in stats], *[stat(other, s).alias(f"{s}_against") for s in stats],
         cards(own).alias("cards_for"), cards(other).alias("cards_against"),
         (gf.isNotNull() & ga.isNotNull()).alias("is_played"),
         F.when(gf > ga, 3).when(gf == ga, 1).when(gf < ga, 0).alias("points"),
     )
 
 
-def team_view(matches: DataFrame) -> DataFrame:
+def team_view(matches: DataFrame, stats: tuple[str, ...] = STATS) -> DataFrame:
     """Each match twice, once as each side sees it."""
-    return _side(matches, "home", "away").unionByName(_side(matches, "away", "home"))
+    return _side(matches, "home", "away", stats).unionByName(_side(matches, "away", "home", stats))
 
 
 def _order(view: DataFrame):
@@ -51,23 +52,23 @@ def _at_first_of_day(view: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return marked.where("__first").select(*KEYS, "date", *columns)
 
 
-def rolling_means(matches: DataFrame, window: int = 5) -> DataFrame:
+def rolling_means(matches: DataFrame, window: int = 5, stats: tuple[str, ...] = STATS) -> DataFrame:
     """Per league, team and date the means over the team's last ``window`` played matches of earlier days.
 
     A statistic's mean is over the matches that have it, 0 without any. Cards count as 0 where missing.
     """
-    view = team_view(matches)
+    view = team_view(matches, stats)
     played = view.where("is_played")
     # An unplayed fixture has its own row but is none of the matches looked back on.
-    names = [f"{s}_{d}" for s in (*STATS, "cards") for d in ("for", "against")]
+    names = [f"{s}_{d}" for s in (*stats, "cards") for d in ("for", "against")]
     last = Window.partitionBy(*KEYS).orderBy("date", "match_id").rowsBetween(-window, -1)
     if_played = _at_first_of_day(played, {n: F.coalesce(F.avg(n).over(last), F.lit(0.0)) for n in names} | {"n_recent": F.count(F.lit(1)).over(last)})
     return if_played
 
 
-def fixture_diffs(matches: DataFrame, window: int = 5) -> DataFrame:
+def fixture_diffs(matches: DataFrame, window: int = 5, stats: tuple[str, ...] = STATS) -> DataFrame:
     """For each played match home less away of the rolling means: one row per match."""
-    means = rolling_means(matches, window)
+    means = rolling_means(matches, window, stats)
     names = [c for c in means.columns if c not in (*KEYS, "date")]
     home = means.select("league", "date", F.col("team").alias("home_team"), *[F.col(n).alias(f"h_{n}") for n in names])
     away = means.select("league", "date", F.col("team").alias("away_team"), *[F.col(n).alias(f"a_{n}") for n in names])
@@ -102,6 +103,23 @@ def last_matches(matches: DataFrame, k: int = 5) -> DataFrame:
     return _at_first_of_day(team_view(matches).where("is_played"), {"steps": F.concat(F.array_repeat(empty, F.lit(k) - F.size(found)), found)})
 
 
+def last_sequences(matches: DataFrame, k: int = 5) -> DataFrame:
+    """As ``last_matches``, with all that is told of a match: the result one by one, shots, shots on target and
+    expected goals of both sides (0 where missing) and the weeks of rest before it (3 at most, 1.0 before a first)."""
+    view = team_view(matches, ALL_STATS).where("is_played")
+    order = Window.partitionBy(*KEYS).orderBy("date", "match_id")
+    days = F.datediff("date", F.lag("date").over(order))
+    rested = view.withColumn("rest", F.when(days.isNull(), 1.0).otherwise(F.least(days, F.lit(21)) / 7.0))
+    known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    point = lambda n: (F.col("points") == n).cast("double")
+    counts = [f"{s}_{d}" for s in ("goals", "shots", "shots_target", "xg") for d in ("for", "against")]
+    features = {c: known(c) for c in counts} | {"win": point(3), "draw": point(1), "loss": point(0), "is_home": known("is_home"), "points": known("points"), "rest": known("rest")}
+    step = F.struct(F.lit(1).alias("there"), *[c.alias(n) for n, c in features.items()])
+    empty = F.struct(F.lit(0).alias("there"), *[F.lit(0.0).alias(n) for n in features])
+    found = F.collect_list(step).over(order.rowsBetween(-k, -1))
+    return _at_first_of_day(rested, {"steps": F.concat(F.array_repeat(empty, F.lit(k) - F.size(found)), found)})
+
+
 def league_snapshot(matches: DataFrame) -> DataFrame:
     """Each team as it stands after its last match: matches, last date, points, goals."""
     view = team_view(matches).where("is_played")
@@ -150,6 +168,20 @@ def decayed_strengths_asof(matches: DataFrame, decay: float = 0.001, low: float
     return teams.select("league", "team", F.date_add(F.lit("1990-01-01").cast("date"), F.col("day")).alias("date"), F.when(F.col("before").isNotNull() & (tn > 0), bounded).otherwise(1.0).alias("home_attack"))
 
 
+def decayed_strengths(matches: DataFrame, decay: float = 0.001, low: float = 0.3, high: float = 3.0, guard: float = 1e-9) -> DataFrame:
+    """Home attack, home defence, away attack and away defence of each team after its league's last played day, a
+    match weighing exp(-decay * days before it); 1.0 on a side without matches."""
+    played = matches.where("home_goals is not null and away_goals is not null")
+    ends = played.groupBy("league").agg(F.max("date").alias("end"))
+    weighed = played.join(F.broadcast(ends), "league").withColumn("w", F.exp(-decay * F.datediff("end", "date")))  # a row a league
+    means = weighed.groupBy("league").agg((F.sum(F.col("w") * F.col("home_goals")) / F.sum("w")).alias("mh"), (F.sum(F.col("w") * F.col("away_goals")) / F.sum("w")).alias("ma"))
+    side = lambda own, other: weighed.select("league", F.col(f"{own}_team").alias("team"), F.lit(own == "home").alias("at_home"), "w", (F.col("w") * F.col(f"{own}_goals")).alias("f"), (F.col("w") * F.col(f"{other}_goals")).alias("a"))
+    of = lambda home, c: F.sum(F.when(F.col("at_home") == home, F.col(c)).otherwise(0.0))
+    teams = side("home", "away").unionByName(side("away", "home")).groupBy(*KEYS).agg(*[of(s == "h", c).alias(s + c) for s in "ha" for c in "faw"]).join(means, "league")
+    ratio = lambda goals, mean, n: F.least(F.greatest((F.col(goals) + guard) / (F.col(mean) * F.col(n) + guard), F.lit(low)), F.lit(high))
+    return teams.select(*KEYS, ratio("hf", "mh", "hw").alias("home_attack"), ratio("ha", "ma", "hw").alias("home_defence"), ratio("af", "ma", "aw").alias("away_attack"), ratio("aa", "mh", "aw").alias("away_defence"))
+
+
 def split_strengths_asof(matches: DataFrame, decay: float = 0.001, low: float = 0.3, high: float = 3.0, guard: float = 1e-9, mean_home: float = 1.35, mean_away: float = 1.10) -> DataFrame:
     """Home attack, home defence, away attack and away defence of each team before each day on which it has a
     match, at home or away, played or not, with the league's means of goals then.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from touchline.functions import odds as O  # noqa: N812
 from touchline.functions.columns import season_start
 from touchline.operators import asof, betting, goals, joining, metrics, ratings
-from touchline.sources.fixture_sql import read_matches, with_matches
+from touchline.sources.fixture_sql import MORE_COLUMNS, read_matches, with_matches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -362,6 +362,82 @@ RATES_ASOF = (
 CELLS_ASOF = RATES_ASOF + CELLS.removeprefix(RATES)
 
 
+FOUR = ("home_attack", "home_defence", "away_attack", "away_defence")
+
+
+@query(STRENGTHS_ASOF + "select league, team, date, round(mean_home, 6) as mean_home, round(mean_away, 6) as mean_away, " + ", ".join(f"round({c}, 6) as {c}" for c in FOUR) + " from st")
+def strength_decayed_split_asof(m):
+    return r6(asof.split_strengths_asof(m))
+
+
+@query(
+    """, e as (select *, exp(-0.001 * date_diff('day', date, max(date) over (partition by league))) as w from matches where home_goals is not null and away_goals is not null),
+ l as (select league, sum(w * home_goals) / sum(w) as mh, sum(w * away_goals) / sum(w) as ma from e group by league),
+ k as (select distinct league, unnest([home_team, away_team]) as team from e),
+ h as (select league, home_team as team, sum(w * home_goals) as f, sum(w * away_goals) as a, sum(w) as n from e group by all),
+ a as (select league, away_team as team, sum(w * away_goals) as f, sum(w * home_goals) as a, sum(w) as n from e group by all)
+ select k.league, k.team, round(case when h.n > 0 then least(greatest((h.f + 1e-9) / (mh * h.n + 1e-9), 0.3), 3.0) else 1.0 end, 6) as home_attack, round(case when h.n > 0 then least(greatest((h.a + 1e-9) / (ma * h.n + 1e-9), 0.3), 3.0) else 1.0 end, 6) as home_defence,
+ round(case when a.n > 0 then least(greatest((a.f + 1e-9) / (ma * a.n + 1e-9), 0.3), 3.0) else 1.0 end, 6) as away_attack, round(case when a.n > 0 then least(greatest((a.a + 1e-9) / (mh * a.n + 1e-9), 0.3), 3.0) else 1.0 end, 6) as away_defence
+ from k join l using (league) left join h on h.league = k.league and h.team = k.team left join a on a.league = k.league and a.team = k.team"""
+)
+def strength_decayed(m):
+    return r6(asof.decayed_strengths(m))
+
+
+def _side_sql(own: str, other: str) -> str:
+    both = [("goals", "g"), ("shots", "s"), ("shots_target", "t"), ("corners", "k"), ("xg", "x")]
+    pairs = ", ".join(f"{own}_{c} as {a}f, {other}_{c} as {a}a" for c, a in both)
+    return f"select match_id, date, league, {own}_team as team, {str(own == 'home').lower()} as is_home, {pairs}, coalesce({own}_yellows, 0) + 2 * coalesce({own}_reds, 0) as cf, {own}_npxg as nf, {own}_xpts as pf from wide"
+
+
+HIST_ALL = f""", wide as (select *, {", ".join(MORE_COLUMNS)} from matches), sides as ({_side_sql("home", "away")} union all {_side_sql("away", "home")}),
+ played as (select *, case when gf > ga then 3 when gf = ga then 1 else 0 end as points, date_diff('day', lag(date) over (partition by league, team order by date, match_id), date) as gap from sides where gf is not null and ga is not null),
+ days as (select distinct league, team, date from played),
+ hist as (select d.league, d.team, d.date, p.* exclude (league, team, date), row_number() over (partition by d.league, d.team, d.date order by p.date desc, p.match_id desc) as n
+   from days d join played p on p.league = d.league and p.team = d.team and p.date < d.date)
+"""
+MEANS = {"goals_for": "gf", "goals_against": "ga", "shots_for": "sf", "shots_against": "sa", "shots_target_for": "tf", "shots_target_against": "ta", "corners_for": "kf", "corners_against": "ka", "cards_for": "cf", "xg_for": "xf", "npxg_for": "nf", "xpts_for": "pf"}
+ROLLING_ALL = (
+    HIST_ALL
+    + f""", form as (select league, team, date, count(*) as c, {", ".join(f"avg({c}) as {n}" for n, c in MEANS.items())} from hist where n <= 5 group by league, team, date),
+ roll as (select d.league, d.team, d.date, coalesce(c, 0) as n_recent, {", ".join(f"coalesce({n}, 0) as {n}" for n in MEANS)} from days d left join form using (league, team, date))
+"""
+)
+
+
+@query(ROLLING_ALL + "select league, team, date, n_recent, " + ", ".join(f"round({n}, 6) as {n}" for n in MEANS) + " from roll")
+def rolling_form_5_all(m):
+    return r6(asof.rolling_means(m.selectExpr("*", *MORE_COLUMNS), stats=asof.ALL_STATS).select("league", "team", "date", "n_recent", *MEANS))
+
+
+@query(
+    ROLLING_ALL
+    + "select match_id, "
+    + ", ".join(f"round(h.{n} - a.{n}, 6) as {n}_diff" for n in MEANS)
+    + """ from matches m join roll h on h.league = m.league and h.team = m.home_team and h.date = m.date join roll a on a.league = m.league and a.team = m.away_team and a.date = m.date
+ where home_goals is not null and away_goals is not null"""
+)
+def rolling_stats_diffs_all(m):
+    return r6(asof.fixture_diffs(m.selectExpr("*", *MORE_COLUMNS), stats=asof.ALL_STATS).select("match_id", *[f"{n}_diff" for n in MEANS]))
+
+
+STEPS = {f"{n}_{d}": f"coalesce({a}{d[0]}, 0)" for n, a in (("goals", "g"), ("shots", "s"), ("shots_target", "t"), ("xg", "x")) for d in ("for", "against")} | {
+    "win": "case when points = 3 then 1.0 else 0 end", "draw": "case when points = 1 then 1.0 else 0 end", "loss": "case when points = 0 then 1.0 else 0 end",
+    "is_home": "case when is_home then 1.0 else 0 end", "points": "coalesce(points, 0)", "rest": "case when n is null then 0 when gap is null then 1 else least(gap, 21) / 7.0 end",
+}
+
+
+@query(
+    HIST_ALL
+    + ", ks as (select unnest(range(5)) as step) select league, team, date, step, cast(n is not null as int) as there, "
+    + ", ".join(f"round(cast({x} as double), 6) as {c}" for c, x in STEPS.items())
+    + " from (select *, 5 - step as n0 from days, ks) d left join (select league as hl, team as ht, date as hd, * exclude (league, team, date) from hist) on hl = league and ht = team and hd = date and n = n0"
+)
+def last_k_sequence_all(m):
+    steps = asof.last_sequences(m.selectExpr("*", *MORE_COLUMNS)).select("league", "team", "date", F.posexplode("steps").alias("pos", "s"))
+    return r6(steps.select("league", "team", "date", F.col("pos").cast("long").alias("step"), "s.*"))
+
+
 @query(RATES_ASOF + "select match_id, round(lh, 6) as home_rate, round(la, 6) as away_rate from rates")
 def rates_asof(m):
     return r6(asof.rates_asof(m))

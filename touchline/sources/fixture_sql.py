@@ -48,6 +48,16 @@ matches as (
   join nation n on c.c_nationkey = n.n_nationkey join line_sums g on g.l_orderkey = o.o_orderkey)
 """.strip()
 
+#: Further columns of a match, as expressions over ``matches`` that Spark and DuckDB both run.
+MORE_COLUMNS = (
+    "case when match_id % 8 = 0 then null else cast(match_id * 53 % 9 as double) end as home_shots_target",
+    "case when match_id % 10 = 0 then null else cast(match_id * 59 % 8 as double) end as away_shots_target",
+    "case when match_id % 7 = 0 then null else cast(match_id * 83 % 300 as double) / 100 end as home_npxg",
+    "case when match_id % 7 = 0 then null else cast(match_id * 79 % 250 as double) / 100 end as away_npxg",
+    "case when match_id % 7 = 0 then null else cast(match_id * 71 % 300 as double) / 100 end as home_xpts",
+    "case when match_id % 7 = 0 then null else cast(match_id * 73 % 300 as double) / 100 end as away_xpts",
+)
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 
