@@ -77,3 +77,32 @@ def test_every_statistic(spark):
     assert len(QUERIES["rolling_form_5_all"](spark, SF).columns) == 4 + 12
     assert len(QUERIES["rolling_stats_diffs_all"](spark, SF).columns) == 1 + 12
     assert len(QUERIES["last_k_sequence_all"](spark, SF).columns) == 5 + 14
+
+
+def test_a_cell_that_earns_in_one_half_of_the_time_fails(spark):
+    from touchline.operators import betting
+
+    # Wins in the first half of the days only; by parity of the id both halves would earn.
+    days = [f"1996-{1 + k // 20:02d}-{1 + k % 20:02d}" for k in range(121)]
+    rows = [(k, days[k], 0.2, 0.6, 2.5, int(k < 61), 0.1 if k < 61 else -0.05, 0.05) for k in range(121)]
+    bets = spark.createDataFrame(rows, "match_id long, date string, ev double, bet_prob double, bet_odds double, won int, profit double, stake double")
+    folded = betting.chrono_fold(bets)
+    assert {r.match_id: r.fold for r in folded.collect()} == {k: 1 if k < 61 else 2 for k in range(121)}
+    r = betting.choose_cell(folded, bets).collect()[0]
+    assert (r.robust, r.eligible, r.cell, r.test_bets) == (False, 0, betting.FALLBACK, 121) and (r.edge, r.least_prob, r.low, r.high) == (0.05, 0.0, 1.01, 10.0)
+    always = bets.selectExpr("match_id", "date", "ev", "bet_prob", "if(match_id % 2 = 0, 1.9, 2.5) as bet_odds", "won", "if(match_id % 2 = 0, 0.02, 0.01) as profit", "stake")
+    r = betting.choose_cell(betting.chrono_fold(always), always.limit(0)).collect()[0]
+    assert r.robust and r.low <= 1.9 <= r.high < 2.5 and (r.test_bets, r.test_roi) == (0, 0.0)
+
+
+def test_a_correction_must_gain_in_each_fold(spark):
+    from touchline.operators import metrics
+
+    def verdict(rows):
+        r = metrics.accept_correction(spark.createDataFrame(rows, "fold int, alpha double, loss double")).collect()[0]
+        return r.alpha, r.accepted, r.reason
+
+    base = [(None, 0.0, 1.0), (1, 0.0, 1.0), (2, 0.0, 1.0)]
+    assert verdict(base + [(None, 0.1, 0.99), (1, 0.1, 0.98), (2, 0.1, 1.0)]) == (0.1, True, None)
+    assert verdict(base + [(None, 0.1, 0.99), (1, 0.1, 0.97), (2, 0.1, 1.01)]) == (0.0, False, "failed_chronological_fold_gate")
+    assert verdict(base + [(None, 0.1, 0.9996), (1, 0.1, 0.9), (2, 0.1, 0.9)]) == (0.0, False, "insufficient_late_validation_improvement")

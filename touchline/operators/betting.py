@@ -121,3 +121,40 @@ def select_cell(bets: DataFrame, folds: int = 2, least_bets: int = 50, least_fol
     good = F.sum(F.when((F.col("n") >= least_fold) & (F.col("p") > 0), 1).otherwise(0))
     per_cell = per_fold.groupBy("cell").agg(F.sum("n").alias("bets"), F.sum("p").alias("profit"), (F.sum("p") / F.sum("s")).alias("roi"), good.alias("good_folds"))
     return per_cell.withColumn("passes", (F.col("bets") >= least_bets) & (F.col("roi") > 0) & (F.col("good_folds") == folds))
+
+
+def chrono_fold(rows: DataFrame, folds: int = 2) -> DataFrame:
+    """``rows`` with ``fold`` (1..folds): equal parts in the order of date and match_id, the first ones larger by one.
+
+    Days are counted first, so the window over all of them has one row a day; within a day it is one more.
+    """
+    by_day = rows.groupBy("date").agg(F.count(F.lit(1)).alias("__dn"))
+    everything = Window.orderBy("date")
+    starts = by_day.select("date", F.coalesce(F.sum("__dn").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"), F.sum("__dn").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))
+    at = F.col("__start") + F.row_number().over(Window.partitionBy("date").orderBy("match_id")) - 1
+    size, larger = F.floor(F.col("__all") / folds), F.col("__all") % folds
+    cut = larger * (size + 1)
+    # In the parts of size + 1, then in those of size.
+    fold = F.when(F.col("__at") < cut, F.floor(F.col("__at") / (size + 1))).otherwise(larger + F.floor(F.try_divide(F.col("__at") - cut, size)))
+    numbered = rows.join(F.broadcast(starts), "date").withColumn("__at", at)  # a row a day
+    return numbered.withColumn("fold", (fold + 1).cast("int")).drop("__start", "__all", "__at")
+
+
+#: The cell taken when none passes: edge 0.05, any probability, all odds.
+FALLBACK = EDGES.index(0.05) * len(LEAST_PROBS) * len(ODDS_BANDS)
+
+
+def choose_cell(validation: DataFrame, test: DataFrame) -> DataFrame:
+    """One row: the cell of most return, profit and bets among those that pass on ``validation`` (bets with
+    ``fold``), else the fallback, with its totals on validation and on ``test``."""
+    cells = grid(validation.sparkSession)
+    rated = select_cell(validation)
+    order = [F.col("passes").desc(), F.when(F.col("passes"), F.col("roi")).desc(), F.when(F.col("passes"), F.col("profit")).desc(), F.when(F.col("passes"), F.col("bets")).desc(), (F.col("cell") != FALLBACK).asc(), F.col("cell").asc()]
+    known = cells.join(rated, "cell", "left").withColumns({"passes": F.coalesce("passes", F.lit(False)), "bets": F.coalesce("bets", F.lit(0)), "profit": F.coalesce("profit", F.lit(0.0)), "roi": F.coalesce("roi", F.lit(0.0))})
+    eligible = known.agg(F.count_if("passes").alias("eligible"))
+    chosen = known.orderBy(*order).limit(1).crossJoin(eligible)  # one row each
+    c = chosen.select("cell", "edge", "least_prob", "low", "high", F.col("passes").alias("robust"), "eligible", F.col("bets").alias("val_bets"), F.col("profit").alias("val_profit"), F.col("roi").alias("val_roi"))
+    admitted = (F.col("ev") > F.col("edge")) & (F.col("bet_prob") >= F.col("least_prob")) & (F.col("bet_odds") >= F.col("low")) & (F.col("bet_odds") <= F.col("high"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    reported = c.join(test.select("ev", "bet_prob", "bet_odds", "won", "profit", "stake"), admitted, "left").groupBy(*c.columns)
+    return reported.agg(F.count("stake").alias("test_bets"), F.coalesce(F.sum("won"), F.lit(0)).cast("long").alias("test_wins"), zero(F.sum("profit")).alias("test_profit"), zero(F.try_divide(F.sum("profit"), F.sum("stake"))).alias("test_roi"))

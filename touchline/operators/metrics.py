@@ -84,6 +84,20 @@ def correction_grid(rows: DataFrame, market: Triplet, source: Triplet, y: str =
     return wide.select("fold", F.explode(F.array(*[F.struct(F.lit(alpha).alias("alpha"), F.col(n).alias("loss")) for n, alpha in zip(names, ALPHAS)])).alias("g")).select("fold", "g.alpha", "g.loss")
 
 
+def accept_correction(losses: DataFrame, least_gain: float = 0.0005, least_fold_gain: float = 0.0) -> DataFrame:
+    """One row of ``correction_grid``'s: the strength of least loss (of equal ones the smallest), its loss and the
+    market's, and whether it is accepted: a gain of more than ``least_gain`` overall and ``least_fold_gain`` or more in
+    each fold. Otherwise alpha is 0 and reason says why."""
+    market = losses.where("alpha = 0").select(F.col("fold").alias("of"), F.col("loss").alias("market"))
+    gains = losses.join(market, F.col("fold").eqNullSafe(F.col("of"))).select("fold", "alpha", "loss", "market")
+    best = gains.where("fold is null").agg(F.min(F.struct("loss", "alpha", "market")).alias("b")).select("b.*")
+    folds = gains.where("fold is not null").groupBy("alpha").agg(F.min((F.col("loss") <= F.col("market") - least_fold_gain).cast("int")).alias("held"))
+    enough, held = F.col("loss") < F.col("market") - least_gain, F.coalesce("held", F.lit(1)) == 1
+    reason = F.when(~enough, "insufficient_late_validation_improvement").when(~held, "failed_chronological_fold_gate")
+    accepted = enough & held
+    return best.join(folds, "alpha", "left").select(F.col("alpha").alias("best_alpha"), F.when(accepted, F.col("alpha")).otherwise(0.0).alias("alpha"), F.when(accepted, F.col("loss")).otherwise(F.col("market")).alias("loss"), F.col("market").alias("market_loss"), accepted.alias("accepted"), reason.alias("reason"))
+
+
 def agreement(rows: DataFrame, a: Triplet, b: Triplet) -> DataFrame:
     """How two sets of probabilities agree: share of equal picks, mean distance, mean confidences."""
     distance = sum((F.abs(x - y) for x, y in zip(a[1:], b[1:])), F.abs(a[0] - b[0])) / 3.0

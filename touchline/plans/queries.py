@@ -609,6 +609,28 @@ def selector_grid(m):
     return out.select("cell", "bets", F.round("profit", 4).alias("profit"), F.round("roi", 6).alias("roi"), "passes")
 
 
+VALIDATION, TEST = "date >= date '1995-07-01' and date < date '1996-07-01'", "date >= date '1996-07-01'"
+MODEL = (0.45, 0.27, 0.28)
+
+
+@query(f"select match_id, ntile(2) over (order by date, match_id) as fold from matches where {PLAYED} and {VALIDATION}")
+def validation_folds(m):
+    return betting.chrono_fold(_played(m).where(VALIDATION)).select("match_id", "fold")
+
+
+@query(None)
+def selector_choice(m):
+    of = lambda rows: betting.ledger(rows, [F.lit(p) for p in MODEL], O.legs("open_odds"), O.legs("open_odds"), O.legs("close_odds"), edge=min(betting.EDGES))
+    played = _played(m)
+    return r6(betting.choose_cell(of(betting.chrono_fold(played.where(VALIDATION))), of(played.where(TEST))))
+
+
+@query(None)
+def market_correction_choice(m):
+    rows = betting.chrono_fold(_priced(m).where(VALIDATION))
+    return r6(metrics.accept_correction(metrics.correction_grid(rows, _probs(), [F.lit(p) for p in MODEL])))
+
+
 @query(
     """, b as (select match_id, over_odds as a, under_odds as b, 0.52 * over_odds - 1 as ea, 0.48 * under_odds - 1 as eb, home_goals + away_goals > 2.5 as over from matches where over_odds is not null and under_odds is not null and home_goals is not null and away_goals is not null),
  c as (select *, case when ea >= eb then 0 else 1 end as side from b), d as (select *, case side when 0 then a else b end as bet_odds, case side when 0 then ea else eb end as ev from c)
