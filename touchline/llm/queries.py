@@ -16,8 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Domains of the documents table: the sources' numbers by threes, and their weights and the languages'.
-DOMAIN = F.concat(F.lit("domain"), F.pmod(F.expr("try_cast(substring(source, 4) as int)"), F.lit(3)))
+#: Domains of the documents table (SQL): the sources' numbers by threes, and their weights and the languages'.
+DOMAIN = "concat('domain', pmod(try_cast(substring(source, 4) as int), 3))"
 MIX_WEIGHTS = {"domain": {"domain0": 5, "domain1": 3, "domain2": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
 
 
@@ -28,7 +28,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"), DOMAIN, 60, MIX_WEIGHTS, max_epochs=4, seed=7)
+    return mixing.mix(_table(spark, sf_dir, "documents"), F.expr(DOMAIN), 60, MIX_WEIGHTS, max_epochs=4, seed=7)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
