@@ -33,7 +33,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.taken(docs, DOMAIN, MIX_PERCENT, MIX_WEIGHTS, MIX_EPOCHS, seed=7)
+    return mixing.taken(docs, F.expr(DOMAIN), MIX_PERCENT, MIX_WEIGHTS, MIX_EPOCHS, seed=7)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
