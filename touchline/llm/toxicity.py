@@ -25,7 +25,10 @@ from touchline.llm.common import stored, text_of
 #: Most labelled documents that the chain is fitted on: those of the least hash of their id.
 SAMPLE = 10_000
 FOLDS = 3
-VOCABULARY = 1 << 16
+#: Width of the models: the most frequent tokens, of those that this share of the labelled documents has.
+VOCABULARY, LEAST_SHARE = 1 << 13, 0.005
+#: The fits go over a bounded sample, in so few partitions that a step of a fit is one stage.
+PARTS = 4
 #: Lengths of the beginnings that stand for the stem of a word.
 STEMS = (3, 4, 5)
 #: A document is toxic from this probability of the chain's last category on.
@@ -95,8 +98,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     if rows.isEmpty():
         chain.models = [0.0 for _ in categories]
         return chain
-    chain.vectorizer = CountVectorizer(inputCol="tokens", outputCol="__counts", vocabSize=VOCABULARY, minDF=5.0).fit(rows)
-    rows = stored(_counted(rows, chain.vectorizer).withColumn("fold", F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(folds))).select("words", "fold", *categories), "labelled-words")
+    chain.vectorizer = CountVectorizer(inputCol="tokens", outputCol="__counts", vocabSize=VOCABULARY, minDF=LEAST_SHARE).fit(rows)
+    rows = stored(_counted(rows, chain.vectorizer).withColumn("fold", F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(folds))).select("words", "fold", *categories).coalesce(PARTS), "labelled-words")
     before: list[str] = []
     for category in categories:
         rows = _with_features(rows.drop("features"), before)
@@ -104,7 +107,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         if category == categories[-1]:
             break
         parts = [_predicted(rows.where(F.col("fold") == k), _fit(rows.where(F.col("fold") != k), category), f"p_{category}") for k in range(folds)]
-        rows = stored(reduce(DataFrame.unionByName, parts).drop("features"), "out-of-fold")
+        rows = stored(reduce(DataFrame.unionByName, parts).drop("features").coalesce(PARTS), "out-of-fold")
         before.append(f"p_{category}")
     return chain
 
