@@ -63,14 +63,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = repeated_windows(docs, id_col, text_col, window).select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), "starts")
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     joined = rows.join(found, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
-    lines = F.split("text", "\n")
-    # A set first, so that a text of very many lines is not searched once for each of them.
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (window - 1)))))
-    kept_at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+    # Columns of their own: within the lambda below they would be computed again for each line.
+    split = joined.withColumns(
+        {
+            "lines": F.split("text", "\n"),
+            # A set first, so that a text of very many lines is not searched once for each of them.
+            "covered": F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (window - 1))))),
+        }
+    )
+    kept_at = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "covered")
     whole = F.col("starts").isNull()
-    return joined.select(
+    return split.select(
         F.col("id").alias(id_col),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.when(whole, F.lit(0)).otherwise(F.size(covered)).cast("long").alias("n_removed"),
-        F.when(whole, F.col("text")).otherwise(F.array_join(F.transform(kept_at, lambda i: F.get(lines, i)), "\n")).alias("text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.when(whole, F.lit(0)).otherwise(F.size("covered")).cast("long").alias("n_removed"),
+        F.when(whole, F.col("text")).otherwise(F.array_join(F.transform(kept_at, lambda i: F.get("lines", i)), "\n")).alias("text"),
     )
