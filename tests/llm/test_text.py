@@ -125,19 +125,54 @@ def test_codec(spark):
     assert len(got) == len(texts)
 
 
+def canon(text):
+    return " ".join(unicodedata.normalize("NFKC", text or "").lower().split())
+
+
+def test_normalisation(spark):
+    rng = random.Random(4)
+    odd = [c for c in map(chr, range(0x20, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and (unicodedata.normalize("NFKC", c) != c or unicodedata.combining(c))]
+    jamo = [chr(c) for c in (*range(0x1100, 0x1120), *range(0x1155, 0x1180), *range(0x11A0, 0x11D0), *range(0xAC00, 0xAC40))]
+    letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x300, 0x350))]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for pool in (odd, jamo, letters, letters + odd[:300]) for _ in range(200)] + [f"a{c}b" for c in odd]
+    texts += ["ａ" * 60_000, "日" * 60_000, "e\u0301" * 30_000, "x" * 60_000 + "ａ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    assert [r for r in docs.select("i", fingerprint.nfkc(F.col("t")).alias("n")).collect() if r.n != unicodedata.normalize("NFKC", texts[r.i])] == []
+
+
 def test_fingerprints(spark):
-    texts = ["Ａbc  d", "abc d", "ﬁne", "FINE ", "é", "é", None, "", "한글", "한글", "x" * 40_000]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, a int")
-    canon = [" ".join(unicodedata.normalize("NFKC", t or "").lower().split()) for t in texts]
+    texts = ["Ａbc  d", "abc d", "ﬁne", "FINE ", "é", "é", None, "", "한글", "한글", "x" * 40_000, "same text", "same text", "same text", "Same text", "ab", "AB"]
+    docs = spark.createDataFrame([(i, t, 1, "h") for i, t in enumerate(texts)], "doc_id bigint, text string, a int, h string").repartition(3)
     prints = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(docs).collect()}
     for i in range(len(texts)):
         for j in range(len(texts)):
-            assert (prints[i] == prints[j]) == (canon[i] == canon[j])
-    for r in fingerprint.fingerprint_report(docs).collect():
+            assert (prints[i] == prints[j]) == (canon(texts[i]) == canon(texts[j]))
+    out = fingerprint.fingerprint_report(docs).collect()
+    for r in out:
         text, following = texts[r.doc_id] or "", texts[r.doc_id - 1] or ""
         third = len(text) // 3
         edited = text[: len(text) - third] + following[:third]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.n_chars, r.edited_sha256, r.fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), prints[r.doc_id])
+        assert (r.near_edited, r.near_next) == (float(canon(edited) == canon(text)), float(canon(following) == canon(text)))
+        assert all((r.edited_fingerprint == prints[k]) == (canon(edited) == canon(t)) for k, t in enumerate(texts))
+    assert len(out) == len(texts)
+    assert fingerprint.fingerprint_report(docs.limit(0)).count() == fingerprint.fingerprints(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "one two"), (None, None), (2, "ONE  two")], "doc_id bigint, text string")
+    out = fingerprint.fingerprint_report(docs).collect()
+    assert len(out) == 5 and len({r.fingerprint for r in out}) == 2 and sorted(r.n_chars for r in out) == [0, 7, 7, 7, 8]
+
+
+def test_colliding_hashes_are_told_apart(spark, monkeypatch):
+    """Where all canonical texts meet in one bucket, their bytes decide."""
+    monkeypatch.setattr(fingerprint, "wide_hash", lambda *c: [F.length(c[0]).cast("long"), F.lit(0).cast("long")])
+    texts = ["abc", "abd", "ABC", "xyz", "abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r.doc_id: r for r in fingerprint.fingerprint_report(docs).collect()}
+    assert all((out[i].fingerprint == out[j].fingerprint) == (texts[i].lower() == texts[j].lower()) for i in out for j in out)
+    assert {i: r.near_edited for i, r in out.items()} == {i: float((t[:2] + texts[i - 1][0]).lower() == t.lower()) for i, t in enumerate(texts)}
 
 
 def test_toxicity(spark):

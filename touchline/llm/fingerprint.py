@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import bisect_column, shuffle_partitions, stored, text_of, wide_hash
 
-#: Most keys that may be broadcast in the byte comparison: 16 bytes each, 16 MB in all.
-BROADCAST_KEYS = 1_000_000
+#: Most keys that may be broadcast in the byte comparison: 16 bytes each, 4 MB in all.
+BROADCAST_KEYS = 250_000
 #: White space that NFKC has not made a space already.
 _SPACE = r"[\t-\r\x1C-\x1F\x{85}\x{1680}\x{2028}\x{2029}]"
 
@@ -41,75 +41,121 @@ def _java_class(code_points: list[int]) -> str:
     return "[" + "".join(parts) + "]"
 
 
+#: Hangul: first code points of leading, vowel and trailing letters and of the syllables, and how many there are.
+_L, _V, _T, _S, _N_L, _N_V, _N_T = 0x1100, 0x1161, 0x11A7, 0xAC00, 19, 21, 28
+#: Lists that the pairs of a composition are spread over.
+_PAIR_LISTS = 1024
+
+
+def _by_code_point(values: dict[int, object]) -> str:
+    """JSON of lists of 256, so that the value of a code point is found in two steps."""
+    lists: list[list | None] = [None] * ((max(values) >> 8) + 1)
+    for cp, value in values.items():
+        if lists[cp >> 8] is None:
+            lists[cp >> 8] = [None] * 256
+        lists[cp >> 8][cp & 255] = value
+    return json.dumps(lists)
+
+
 @cache
-def _unicode_tables() -> tuple[str, str, str, str, str, str]:
-    """(pattern of a character that needs work, pattern of one that may, class of marks, decompositions,
-    compositions, combining classes).
+def _unicode_tables() -> tuple[str, str, str, str, str, str, str]:
+    """(pattern of a character that needs work, pattern of one that may, class of marks, class of all that may
+    join what stands before it, decompositions, compositions, combining classes).
 
     Java tests a class of hundreds of ranges one by one, so what is plain at first sight (``_QUICK``) and
     the long stretches without a character that needs work are passed over before the rest is looked at.
+    Hangul syllables are told by their numbers and stand in no table.
     """
-    needs, marks, down, up, order = set(), [], {}, {}, {}
+    letters = [*range(_V, _V + _N_V), *range(_T + 1, _T + _N_T)]
+    needs, marks, joining, down, order = set(letters), [], set(letters), {}, {}
+    pairs: list[dict[str, str]] = [{} for _ in range(_PAIR_LISTS)]
     for cp in range(sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF:
+        if 0xD800 <= cp <= 0xDFFF or _S <= cp < _S + _N_L * _N_V * _N_T:
             continue
         c = chr(cp)
         if ccc := unicodedata.combining(c):
             needs.add(cp)
             marks.append(cp)
-            order[c] = ccc
+            order[cp] = ccc
         if unicodedata.normalize("NFKC", c) != c:
             needs.add(cp)
-        hangul = 0xAC00 <= cp <= 0xD7A3
-        if not hangul and (full := unicodedata.normalize("NFKD", c)) != c:
-            down[c] = full
-        pair = unicodedata.normalize("NFD", c) if hangul else unicodedata.decomposition(c)
-        if hangul:
-            pair = unicodedata.normalize("NFC", pair[:2]) + pair[2] if len(pair) == 3 else pair
-        elif pair and not pair.startswith("<") and " " in pair:
-            pair = "".join(chr(int(x, 16)) for x in pair.split())
-        else:
-            continue
-        if unicodedata.normalize("NFC", pair) == c:
-            up[pair] = c
-            needs.add(ord(pair[1]))
+        if (full := unicodedata.normalize("NFKD", c)) != c:
+            down[cp] = full
+        pair = unicodedata.decomposition(c)
+        if pair and not pair.startswith("<") and " " in pair:
+            first, second = (int(x, 16) for x in pair.split())
+            if unicodedata.normalize("NFC", chr(first) + chr(second)) == c:
+                pairs[(first * 31 + second) % _PAIR_LISTS][chr(first) + chr(second)] = c
+                needs.add(second)
+                joining.add(second)
     edges = [-1, *sorted(needs), sys.maxunicode + 1]
     plain = [c for a, b in zip(edges, edges[1:]) if b - a > 64 or b < 0x180 for c in range(a + 1, b)]
     plain_class = _java_class(plain)
-    return f"(?:(?!{_QUICK})(?!{plain_class}){_java_class(sorted(needs))})", f"(?!{_QUICK})(?!{plain_class})(?s:.)", _java_class(marks), json.dumps(down), json.dumps(up), json.dumps(order)
+    return (
+        f"(?:(?!{_QUICK})(?!{plain_class}){_java_class(sorted(needs))})",
+        f"(?!{_QUICK})(?!{plain_class})(?s:.)",
+        _java_class(marks),
+        _java_class(sorted({*marks, *joining})),
+        _by_code_point(down),
+        json.dumps(pairs),
+        _by_code_point(order),
+    )
+
+
+def _character(code_point: Column) -> Column:
+    """The character of a number below 0x10000."""
+    return F.decode(F.unhex(F.lpad(F.hex(code_point), 4, "0")), "UTF-16BE")
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC of ``text``: each different stretch that needs it is normalised once, then replaced."""
-    needs, odd, marks, down, up, order = _unicode_tables()
-    down_of, up_of, ccc_of = (F.from_json(F.lit(t), f"map<string,{kind}>") for t, kind in ((down, "string"), (up, "string"), (order, "int")))
+    """Unicode NFKC of ``text``.
+
+    The text is cut into stretches that need work, each with the character before it, and the rest. A stretch is
+    decomposed, cut where nothing can join what stands before, and each piece composed.
+    """
+    needs, odd, marks, joining, down, up, order = _unicode_tables()
+    down_of, ccc_of = (F.from_json(F.lit(t), f"array<array<{kind}>>") for t, kind in ((down, "string"), (order, "int")))
+    up_of = F.from_json(F.lit(up), "array<map<string,string>>")
+    at = lambda table, cp: F.get(F.get(table, F.shiftright(cp, 8)), cp.bitwiseAND(255))
 
     def ordered(piece: Column) -> Column:
-        chars = F.transform(F.split(piece, ""), lambda c, i: F.struct(F.coalesce(ccc_of[c], F.lit(0)).alias("ccc"), i.alias("i"), c.alias("c")))
+        chars = F.transform(F.split(piece, ""), lambda c, i: F.struct(F.coalesce(at(ccc_of, F.ascii(c)), F.lit(0)).alias("ccc"), i.alias("i"), c.alias("c")))
         return F.array_sort(chars)
 
+    def joined(base: Column, c: Column) -> Column:
+        """The composed character of two, or null."""
+        x, y = F.ascii(base), F.ascii(c)
+        lead, vowel, syllable, trail = x - _L, y - _V, x - _S, y - _T
+        return (
+            F.when((lead >= 0) & (lead < _N_L) & (vowel >= 0) & (vowel < _N_V), _character((lead * _N_V + vowel) * _N_T + _S))
+            .when((syllable >= 0) & (syllable < _N_L * _N_V * _N_T) & (trail > 0) & (trail < _N_T), F.when(syllable % _N_T == 0, _character(x + trail)))
+            .otherwise(F.get(up_of, (x * 31 + y) % _PAIR_LISTS)[F.concat(base, c)])
+        )
+
     def step(s: Column, x: Column) -> Column:
-        joined = up_of[F.concat(s["base"], x["c"])]
         free = F.when(s["rest"] == "", True).otherwise((x["ccc"] > 0) & (s["ccc"] < x["ccc"]))
-        joins = free & joined.isNotNull() & (s["base"] != "")
-        starts = x["ccc"] == 0
+        new = F.when(free & (s["base"] != ""), joined(s["base"], x["c"]))
+        joins, starts = new.isNotNull(), x["ccc"] == 0
         return F.struct(
             F.when(~joins & starts, F.concat(s["out"], s["base"], s["rest"])).otherwise(s["out"]).alias("out"),
-            F.when(joins, joined).when(starts, x["c"]).otherwise(s["base"]).alias("base"),
+            F.when(joins, new).when(starts, x["c"]).otherwise(s["base"]).alias("base"),
             F.when(joins, s["rest"]).when(starts, "").otherwise(F.concat(s["rest"], x["c"])).alias("rest"),
             F.when(joins, s["ccc"]).otherwise(x["ccc"]).alias("ccc"),
         )
 
-    def normalised(stretch: Column) -> Column:
-        full = F.array_join(F.transform(F.split(stretch, ""), lambda c: F.coalesce(down_of[c], c)), "")
-        pieces = F.regexp_extract_all(full, F.lit(f"(?s)^{marks}+|[^\\x00]{marks}*|\\x00"), F.lit(0))
+    def composed(piece: Column) -> Column:
+        parts = F.regexp_extract_all(piece, F.lit(f"(?s)^{marks}++|.{marks}*+"), F.lit(0))
         start = F.struct(F.lit("").alias("out"), F.lit("").alias("base"), F.lit("").alias("rest"), F.lit(0).alias("ccc"))
-        return F.aggregate(F.flatten(F.transform(pieces, ordered)), start, step, lambda s: F.concat(s["out"], s["base"], s["rest"]))
+        whole = F.aggregate(F.flatten(F.transform(parts, ordered)), start, step, lambda s: F.concat(s["out"], s["base"], s["rest"]))
+        return F.when(F.length(piece) == 1, piece).otherwise(whole)
+
+    def normalised(stretch: Column) -> Column:
+        full = F.array_join(F.transform(F.split(stretch, ""), lambda c: F.coalesce(at(down_of, F.ascii(c)), c)), "")
+        return F.array_join(F.transform(F.regexp_extract_all(full, F.lit(f"(?s)^{joining}++|.{joining}*+"), F.lit(0)), composed), "")
 
-    stretches = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?:(?!{needs}).)?{needs}+"), F.lit(0)))
-    # The longest first: a stretch may lie within another, but not once that one is replaced.
-    longest = F.array_sort(F.transform(stretches, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
-    fixed = F.aggregate(longest, text, lambda t, x: F.replace(t, x["s"], normalised(x["s"])))
+    # A stretch that needs work begins with the last plain character before it.
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s)(?:(?!{needs}).)?{needs}++|(?:(?!{needs}).(?!{needs}))++|."), F.lit(0))
+    fixed = F.array_join(F.transform(stretches, lambda s: F.when(s.rlike(needs), normalised(s)).otherwise(s)), "")
     return F.when(text.rlike(_QUICK.replace("[", "[^")) & text.rlike(odd), fixed).otherwise(text)
 
 
@@ -126,18 +172,43 @@ def _told_apart(key: Column, sha: Column, mixed: DataFrame | None) -> Column:
     return key if mixed is None else F.when(F.col("__mixed"), F.concat(key, F.lit("-"), F.substring(sha, 1, 16))).otherwise(key)
 
 
-def mixed_buckets(rows: DataFrame, text_col: str = "text") -> DataFrame | None:
+def _few(keys: DataFrame) -> DataFrame:
+    """``keys``, a stored table of some longs a row, marked for broadcast if it is small enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def mixed_buckets(docs: DataFrame, light: DataFrame, id_col: str, text_col: str, edits: bool = False) -> DataFrame | None:
     """Keys (a, b) of buckets whose canonical texts differ; None if there are none, as nearly always.
 
-    ``rows``: a, b, text. Only buckets of two or more rows are compared. Their keys are broadcast if there
-    are at most ``BROADCAST_KEYS``, else they are joined by a shuffle.
+    ``light``: id, h, a, b of each document; with ``edits`` also n_chars, ea, eb of its edited text and nid, nh of the
+    next document. Only the texts in buckets of two or more are read again, and their bytes compared.
     """
-    shared = stored(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "fingerprint-keys")
-    n = shared.count()
-    if not n:
+    keys = light.select("a", "b")
+    if edits:  # the edited text of fewer than three characters is the text
+        edited = light.where("n_chars >= 3")
+        keys = keys.unionAll(edited.select("ea", "eb"))
+    shared = stored(keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "fingerprint-keys")
+    if shared.isEmpty():
         return None
-    members = rows.join(F.broadcast(shared) if n <= BROADCAST_KEYS else shared, ["a", "b"], "left_semi")
-    variants = members.select("a", "b", canonical(F.col(text_col)).alias("c")).groupBy("a", "b", "c").agg(F.lit(1).alias("one"))
+    shared = _few(shared)
+    own = light.join(shared, ["a", "b"], "left_semi").select("id", "h", "a", "b").distinct()
+    needed = own.select("id", "h")
+    if edits:
+        pairs = edited.drop("a", "b").withColumnsRenamed({"ea": "a", "eb": "b"}).join(shared, ["a", "b"], "left_semi").select("id", "h", "nid", "nh", "a", "b").distinct()
+        needed = needed.unionAll(pairs.select("id", "h")).unionAll(pairs.select("nid", "nh"))
+    needed = stored(needed.distinct().select(F.col("id").alias("i"), F.col("h").alias("j")), "fingerprint-members")
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = rows.join(_few(needed), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")), "left_semi").dropDuplicates(["id", "h"])
+
+    def of(df: DataFrame, id_at: str, h_at: str, name: str) -> DataFrame:
+        named = texts.select(F.col("id").alias("i"), F.col("h").alias("j"), F.col("text").alias(name))
+        return df.join(named, F.col(id_at).eqNullSafe(F.col("i")) & (F.col(h_at) == F.col("j"))).drop("i", "j")
+
+    variants = of(own, "id", "h", "text").select("a", "b", canonical(F.col("text")).alias("c"))
+    if edits:
+        both = of(of(pairs, "id", "h", "text"), "nid", "nh", "following")
+        variants = variants.unionAll(both.select("a", "b", canonical(_edited(F.col("text"), F.col("following"))).alias("c")))
+    variants = variants.groupBy("a", "b", "c").agg(F.lit(1).alias("one"))
     mixed = stored(variants.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "fingerprint-mixed")
     return None if mixed.isEmpty() else mixed
 
@@ -145,7 +216,7 @@ def mixed_buckets(rows: DataFrame, text_col: str = "text") -> DataFrame | None:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("canon", canonical(F.col("text")))
     a, b = wide_hash(F.col("canon"))
-    return rows.withColumns({"a": a, "b": b, "sha": F.sha2("canon", 256)}).drop("canon")
+    return rows.withColumns({"a": a, "b": b, "sha": F.sha2("canon", 256), "h": F.xxhash64("text")}).drop("canon")
 
 
 def _resolved(df: DataFrame, mixed: DataFrame | None, a: str, b: str, sha: str, out: str) -> DataFrame:
@@ -162,10 +233,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     as empty, and the empty text has a fingerprint like any other. Rows repeated stay repeated; an empty
     table gives an empty result; other columns are ignored.
     """
-    rows = _keyed(docs, id_col, text_col)
-    mixed = mixed_buckets(rows.select("a", "b", "text"))
-    light = rows.select(F.col("id").alias(id_col), "a", "b", "sha")
-    return _resolved(light, mixed, "a", "b", "sha", "fingerprint").select(id_col, "fingerprint")
+    light = stored(_keyed(docs, id_col, text_col).drop("text"), "fingerprints")
+    mixed = mixed_buckets(docs, light, id_col, text_col)
+    return _resolved(light, mixed, "a", "b", "sha", "fingerprint").select(F.col("id").alias(id_col), "fingerprint")
 
 
 def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
@@ -199,16 +269,16 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
     return sent.withColumn("next", F.lead(F.struct(*carried)).over(window)).where("not __halo").drop("__k", "__at", "__halo")
 
 
-def edited_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, text, edited, and a, b, sha of the canonical text and of the next one's.
+def _edited(text: Column, following: Column) -> Column:
+    """``text`` with its last floor(n/3) code points replaced by the first as many, or all, of ``following``."""
+    third = F.floor(F.length(text) / 3).cast("int")
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - third), F.substring(following, F.lit(1), third))
 
-    ``edited`` is the text with its last floor(n/3) code points replaced by the first as many, or all, of
-    the next document's.
-    """
-    rows = _keyed(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    third = F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next.text"), F.lit(1), third))
-    return with_next(rows, ["text", "a", "b", "sha"]).withColumn("edited", edited)
+
+def edited_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, text, edited, and h, a, b, sha of the text and of the next one's."""
+    rows = _keyed(docs, id_col, text_col)
+    return with_next(rows, ["id", "text", "h", "a", "b", "sha"]).withColumn("edited", _edited(F.col("text"), F.col("next.text")))
 
 
 def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,17 +293,17 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         edited_documents(docs, id_col, text_col)
         .withColumn("canon", canonical(F.col("edited")))
         .select(
-            F.col("id").alias(id_col),
+            "id", "h",
             F.length("text").cast("long").alias("n_chars"),
             F.sha2("edited", 256).alias("edited_sha256"),
             "a", "b", "sha",
             ea.alias("ea"), eb.alias("eb"), F.sha2("canon", 256).alias("esha"),
-            F.col("next.a").alias("na"), F.col("next.b").alias("nb"), F.col("next.sha").alias("nsha"),
+            F.col("next.id").alias("nid"), F.col("next.h").alias("nh"), F.col("next.a").alias("na"), F.col("next.b").alias("nb"), F.col("next.sha").alias("nsha"),
         ),
         "fingerprints",
     )
-    mixed = mixed_buckets(_keyed(docs, id_col, text_col).select("a", "b", "text"))
+    mixed = mixed_buckets(docs, light, id_col, text_col, edits=True)
     for a, b, sha, out in (("a", "b", "sha", "fingerprint"), ("ea", "eb", "esha", "edited_fingerprint"), ("na", "nb", "nsha", "next_fingerprint")):
         light = _resolved(light, mixed, a, b, sha, out)
     same = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    return light.select(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
+    return light.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
