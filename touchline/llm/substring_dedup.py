@@ -7,14 +7,16 @@ are global without any table, and a round needs nothing but the symbols. Whether
 its neighbourhood only; that span is carried along, so it is known for each window of 20 words which symbols
 it fixes by itself. Equal windows fix the same symbols at the same places.
 
-1. Each window takes as its anchor, at the highest level that has one, the fixed symbol of least hash; a
-   window that fixes none takes its own hash. Neighbouring windows share anchors, some 6 each.
+1. Each window takes as its anchor, at the highest level that has one, the least of the sequences of three
+   neighbouring symbols that it fixes; a window that fixes none takes its own hash. Neighbouring windows share
+   anchors, some 5 each.
 2. Spark counts the anchors' names. Windows whose anchor has no other place have no other place either.
-3. The remaining stretches of windows with one anchor are told apart by 128-bit hashes of all their words: in
-   all but the first place of a stretch, its windows are repeats. The windows of first places are verified
-   by hashes of their 20 words; the smallest place of each is its first, the others are repeats.
+3. The windows that are left are told apart by 128 bits: two hashes of their 20 words, each over words that
+   are hashed from their bytes in a way of its own. The smallest place of a window is its first, the others
+   are repeats.
 
 Exact copies of a whole document need no windows: but for the smallest id, all of their windows are repeats.
+Texts are compressed where they are shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,10 @@ from touchline.llm.common import stored, text_of, wide_hash
 from touchline.llm.words import chunks, mixed, powers, word_hashes
 
 WINDOW = 20
-ROUNDS = 4
+#: Rounds of pairs, and how many neighbouring symbols are an anchor.
+ROUNDS, SYMBOLS = 2, 3
+#: Most keys that may be broadcast: 32 MB at most.
+BROADCAST_KEYS = 2_000_000
 #: Bases of the two halves of a 128-bit hash.
 _BASES = 0x9FB21C651E98DF25, 0xA0761D6478BD642F
 _PAIR_A, _PAIR_B, _RUN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
@@ -99,18 +105,6 @@ def _grams(words: np.ndarray, base: int) -> np.ndarray:
     return mixed(total)
 
 
-def _spans(words: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hash of the words begin..end - 1 of each span. Spans have some dozens of words, so they are summed up
-    word by word, all spans at once."""
-    total = np.zeros(len(begin), np.uint64)
-    at, live = begin.copy(), np.arange(len(begin))
-    while len(live):
-        total[live] = mixed(total[live] * np.uint64(base) + words[at[live]])
-        at[live] += 1
-        live = live[at[live] < end[live]]
-    return total
-
-
 def anchors(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(name, first window, last window, document) of each stretch of windows with one anchor, in order.
     Windows are named by the number of their first word."""
@@ -126,16 +120,21 @@ def anchors(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     open_at = np.arange(len(place))
     passed = 0
     for name, low, high in reversed(list(_rounds(words, offsets))):
-        first = np.searchsorted(low, place[open_at], "left")
-        last = np.searchsorted(high, place[open_at] + WINDOW, "right") - 1
-        some = first <= last
-        if some.any():
-            at = open_at[some]
-            symbol = _least_of(mixed(name ^ _RUN), first[some], last[some])
-            chosen[at] = symbol + passed
-            chosen_name[at] = name[symbol]
-            open_at = open_at[~some]
-        passed += len(name)
+        n = len(name) - SYMBOLS + 1
+        if n > 0:
+            joined = name[:n]
+            for k in range(1, SYMBOLS):
+                joined = mixed(joined * _PAIR_A + name[k : k + n] * _PAIR_B)
+            first = np.searchsorted(low[:n], place[open_at], "left")
+            last = np.searchsorted(high[SYMBOLS - 1 :], place[open_at] + WINDOW, "right") - 1
+            some = first <= last
+            if some.any():
+                at = open_at[some]
+                symbol = _least_of(mixed(joined ^ _RUN), first[some], last[some])
+                chosen[at] = symbol + passed
+                chosen_name[at] = joined[symbol]
+                open_at = open_at[~some]
+            passed += n
         if not len(open_at):
             break
     if len(open_at):
@@ -147,30 +146,36 @@ def anchors(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _anchored(rows: DataFrame) -> DataFrame:
-    """From (k, t, h, text) one row per document of 20 words or more: k, t, h, places (array of name, twice:
-    whether the document has the name again, first, last window)."""
+    """From (k, t, text) one row per stretch of windows with one anchor: name, k, t, r (its first and last
+    window, packed)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, raws in chunks(batch.column(3).to_pylist(), lower=False):
+            for at, raws in chunks(batch.column(2).to_pylist(), lower=False):
                 words, offsets = word_hashes(raws)
                 name, first, last, document = anchors(words, offsets)
-                if not len(name):
-                    continue
-                order = np.lexsort((name, document))
-                same = (name[order][1:] == name[order][:-1]) & (document[order][1:] == document[order][:-1])
-                twice = np.zeros(len(name), bool)
-                twice[order[1:][same]] = True
-                twice[order[:-1][same]] = True
-                begin = offsets[document]
-                columns = [pa.array(name.view(np.int64)), pa.array(twice), pa.array((first - begin).astype(np.int32)), pa.array((last - begin).astype(np.int32))]
-                items = pa.StructArray.from_arrays(columns, ["name", "twice", "first", "last"])
-                held, counts = np.unique(document, return_counts=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), items)
-                take = pa.array(held + at)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), lists], ["k", "t", "h", "places"])
-
-    return rows.mapInArrow(found, "k bigint, t bigint, h bigint, places array<struct<name:bigint,twice:boolean,first:int,last:int>>")
+                begin, take = offsets[document], pa.array(document + at)
+                packed = (first - begin) << 32 | (last - begin)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(packed)], ["name", "k", "t", "r"])
+
+    return rows.mapInArrow(found, "name bigint, k bigint, t bigint, r bigint")
+
+
+def _packed(rows: DataFrame, id_type: str) -> DataFrame:
+    """``rows`` (id, k, t, text) with the text compressed: id, k, t, z."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            z = pa.array([pack(x.as_buffer()) for x in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), z], ["id", "k", "t", "z"])
+
+    return rows.mapInArrow(packed, f"id {id_type}, k bigint, t bigint, z binary")
+
+
+def _unpacked(column: pa.Array, begin: int, rows: int) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x.as_buffer()) for x in column.slice(begin, rows)]
 
 
 def _bounds(ranges: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
@@ -179,42 +184,40 @@ def _bounds(ranges: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
     return packed >> 32, packed & 0xFFFFFFFF
 
 
-def _hashed(rows: DataFrame, by_window: bool) -> DataFrame:
-    """From (k, t, text, ranges) the hash (a, b) of each range's words, or of each window in them: a, b, k,
-    t, r (the packed range or the window's first word)."""
+def _hashed(rows: DataFrame) -> DataFrame:
+    """From (k, t, z, ranges) the hash (a, b) of each window in the ranges: a, b, k, t, r (its first word)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, raws in chunks(batch.column(2).to_pylist(), lower=False):
-                words, offsets = word_hashes(raws)
-                found = [_bounds(batch.column(3)[at + i]) for i in range(len(raws))]
+            for begin in range(0, batch.num_rows, 256):
+                raws = _unpacked(batch.column(2), begin, 256)
+                keys, offsets = [], None
+                for kind, base in enumerate(_BASES):
+                    words, offsets = word_hashes(raws, kind)
+                    keys.append(_grams(words, base))
+                found = [_bounds(batch.column(3)[begin + i]) for i in range(len(raws))]
                 owner = np.repeat(np.arange(len(raws)), [len(f) for f, _ in found])
                 first, last = np.concatenate([f for f, _ in found]), np.concatenate([x for _, x in found])
                 size = last - first + 1
-                if by_window:
-                    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first - offsets[owner], size)
-                    owner = np.repeat(owner, size)
-                    r = place - offsets[owner]
-                    keys = [_grams(words, base)[place] for base in _BASES]
-                else:
-                    begin, r = first + offsets[owner], first << 32 | last
-                    keys = [_spans(words, begin, begin + size + WINDOW - 1, base) for base in _BASES]
-                take = pa.array(owner + at)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in keys), batch.column(0).take(take), batch.column(1).take(take), pa.array(r)], ["a", "b", "k", "t", "r"])
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first - offsets[owner], size)
+                owner = np.repeat(owner, size)
+                take = pa.array(owner + begin)
+                columns = [*(pa.array(x[place].view(np.int64)) for x in keys), batch.column(0).take(take), batch.column(1).take(take), pa.array((place - offsets[owner]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "k", "t", "r"])
 
-    return rows.mapInArrow(hashed, "a bigint, b bigint, k bigint, t bigint, r bigint")
+    return rows.mapInArrow(hashed, "a bigint, b bigint, k bigint, t bigint, r int")
 
 
 def _cut(rows: DataFrame, id_type: str) -> DataFrame:
-    """From (id, text, ranges, firsts, copy) the result: words covered by repeats are left out."""
+    """From (id, z, ranges, firsts, copy) the result: words covered by repeats are left out."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 n_words, n_removed, texts = [], [], []
-                for text, ranges, firsts, copy in zip(part.column(1), part.column(2), part.column(3), part.column(4)):
-                    words = text.as_buffer().to_pybytes().split()
+                for text, ranges, firsts, copy in zip(_unpacked(part.column(1), 0, 256), part.column(2), part.column(3), part.column(4)):
+                    words = text.split()
                     n = len(words)
                     covered = None
                     if copy.as_py():
@@ -260,23 +263,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest = light.groupBy("h", "h2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "h2", "rep")
     copies = stored(light.join(smallest, ["h", "h2"]).where("k <> rep").select("k", "t").distinct(), "copies")
 
-    anchored = stored(_anchored(rows.select("k", "t", "h", "text")), "anchors")
-    place = anchored.select("k", "t", "h", F.explode("places").alias("p"))
-    names = place.select("p.name", "h", "p.twice").groupBy("name").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.max("twice").alias("twice"))
-    repeated = names.where("twice or least <> most").select("name")
-    packed = (F.shiftleft(F.col("p.first").cast("bigint"), 32) + F.col("p.last")).alias("r")
-    ranges = place.select("k", "t", "p.name", packed).join(repeated, "name", "left_semi").groupBy("k", "t").agg(F.collect_set("r").alias("ranges"))
-    ranges = stored(ranges.join(copies, ["k", "t"], "left_anti"), "ranges")
-
-    # A stretch that is not the first of its words repeats all of its windows; only first stretches are
-    # looked at window by window. The first place of a window is always in such a stretch.
-    hashed = _hashed(rows.select("k", "t", "text").join(ranges, ["k", "t"]), by_window=False)
-    first_stretch = hashed.groupBy("a", "b").agg(F.min(F.struct("k", "t", "r")).alias("f")).select("f.k", "f.t", "f.r")
-    new = stored(first_stretch.groupBy("k", "t").agg(F.collect_list("r").alias("ranges")), "first-stretches")
-    windows = _hashed(rows.select("k", "t", "text").join(new, ["k", "t"]), by_window=True)
+    # Copies are left out where they are few enough to be known to every task; else they are at the end, and
+    # only make more windows to be looked at.
+    few_copies = copies.count() <= BROADCAST_KEYS // 2
+    fresh = rows.select("k", "t", "text")
+    place = _anchored(fresh.join(F.broadcast(copies), ["k", "t"], "left_anti") if few_copies else fresh)
+    repeated = stored(place.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "repeated-names")
+    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated
+    ranges = place.join(repeated, "name", "left_semi").groupBy("k", "t").agg(F.collect_set("r").alias("ranges"))
+    ranges = stored(ranges if few_copies else ranges.join(copies, ["k", "t"], "left_anti"), "ranges")
+
+    id_type = dict(rows.dtypes)["id"]
+    texts = _packed(rows.select("id", "k", "t", "text"), id_type)
+    windows = _hashed(texts.join(ranges, ["k", "t"]).select("k", "t", "z", "ranges"))
     first = windows.groupBy("a", "b").agg(F.min(F.struct("k", "t", "r")).alias("f")).select("f.k", "f.t", "f.r")
-    firsts = stored(first.groupBy("k", "t").agg(F.collect_list(F.col("r").cast("int")).alias("firsts")), "firsts")
+    firsts = stored(first.groupBy("k", "t").agg(F.collect_set("r").alias("firsts")), "firsts")
     verdict = ranges.join(firsts, ["k", "t"], "left")
-    marked = rows.select("id", "k", "t", "text").join(verdict, ["k", "t"], "left").join(copies.withColumn("copy", F.lit(True)), ["k", "t"], "left")
-    out = _cut(marked.select("id", "text", "ranges", "firsts", F.coalesce("copy", F.lit(False)).alias("copy")), dict(rows.dtypes)["id"])
+    marked = texts.join(verdict, ["k", "t"], "left").join(copies.withColumn("copy", F.lit(True)), ["k", "t"], "left")
+    out = _cut(marked.select("id", "z", "ranges", "firsts", F.coalesce("copy", F.lit(False)).alias("copy")), id_type)
     return out.withColumnRenamed("id", id_col)

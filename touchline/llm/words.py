@@ -9,8 +9,9 @@ import numpy as np
 #: Bytes of text that are hashed together; a longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 21
 _RANDOM = np.random.RandomState(20240229)
-_BYTE = _RANDOM.randint(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: A value for each byte and a base, for two hashes that know nothing of each other.
+_BYTES = _RANDOM.randint(0, 1 << 63, (2, 256), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -42,10 +43,10 @@ def chunks(texts: list[str], lower: bool) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raws: list[bytes], kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, number of the first word of each text and of the end).
 
-    Words are maximal runs of bytes other than 0x20 and 0x09-0x0D.
+    Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. ``kind`` 0 and 1 are two different hashes.
     """
     buffer = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
     white = (buffer == 32) | ((buffer >= 9) & (buffer <= 13))
@@ -58,7 +59,7 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), offsets
     inside = np.arange(starts[0], len(buffer)) - np.repeat(starts, np.diff(np.append(starts, len(buffer))))
     tail = buffer[starts[0] :]
-    values = _BYTE[tail] * powers(_BASE, int(inside.max()) + 1)[inside]
+    values = _BYTES[kind][tail] * powers(_BASE[kind], int(inside.max()) + 1)[inside]
     values[white[starts[0] :]] = 0
     return mixed(np.add.reduceat(values, starts - starts[0])), offsets
 
