@@ -102,14 +102,45 @@ def test_page_text(spark):
 def test_nearest_paths(spark):
     rng = random.Random(2)
     rows = sorted({(f"h{rng.randint(0, 3)}", "/" + "/".join(rng.choice("ab") * rng.randint(1, 3) for _ in range(3))) for _ in range(60)})
-    out = {(r.host, r.path): r.near for r in page_text.nearest_paths(spark.createDataFrame([(h, p, [k]) for k, (h, p) in enumerate(rows)], "host string, path string, hashes array<bigint>")).collect()}
+    out = {(r.host, r.path): (r.near, r.other) for r in page_text.nearest_paths(spark.createDataFrame([(h, p, [k]) for k, (h, p) in enumerate(rows)], "host string, path string, hashes array<bigint>")).collect()}
 
     def shared(a, b):
         return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
     for k, (h, p) in enumerate(rows):
         beside = [(shared(p, rows[j][1]), -j, j) for j in (k - 1, k + 1) if 0 <= j < len(rows) and rows[j][0] == h]
-        assert out[h, p] == ([max(beside)[2]] if beside else None)
+        beside.sort(reverse=True)
+        assert out[h, p] == tuple([beside[n][2]] if len(beside) > n else None for n in range(2))
+
+
+def test_the_pages_beside_decide(spark):
+    """A notice that only differencing can find: within the article, in no element of its own."""
+    page = "<body><article><p>{0} Daily says hello</p><p>Story {1}, told at length, with all that happened on day {1} and what was said of it</p><p>A common sentence</p><p>More of {1}</p><p>Read on at {0} Daily</p></article></body>"
+
+    def texts(rows):
+        return {r.page_id: r.text.split("\n\n") for r in page_text.extract_text(spark.createDataFrame([(i, u, h, "p", "t") for i, u, h in rows], PAGES)).collect()}
+
+    own = [(k, f"http://h/a/{k}", page.format("The", k)) for k in range(1, 5)]
+    out = texts(own)
+    assert out[2][1:] == ["A common sentence", "More of 2"] and out[2][0].startswith("Story 2") and out[2] == [t.replace("3", "2") for t in out[3]]
+    # The first and the last of the host have a page on one side only.
+    assert out[1][0] == out[4][0] == "The Daily says hello" and len(out[1]) == 5
+    # With other pages beside it, the same page keeps its lines.
+    assert len(texts([own[1], *((k, u, h.replace("The", "Another")) for k, u, h in (own[0], own[2]))])[2]) == 5
+    # Copies of an article take nothing from each other.
+    assert {len(t) for t in texts([(k, f"http://h/a/{k}", own[0][2]) for k in range(1, 5)]).values()} == {5}
+
+
+def test_deep_markup(spark):
+    deep = "<div>" * 3000 + "<nav>Menu entry</nav>" + "<b><i>" * 3000 + "text" + "</div>" * 3000 + "<article><p>" + "<b>" * 100 + "One<p>Two</article><p>out"
+    assert [t for s, t in page_text.page_lines(deep) if s == page_text.ARTICLE] == ["One", "Two"]
+    assert [t for s, t in page_text.page_lines(deep) if s == page_text.MARKED] == ["Menu entry"]
+
+
+def test_pages_given_twice(spark):
+    rows = [(1, "http://h/a", "<p>same</p><p>own a"), (1, "http://h/a", "<p>same</p><p>own a"), (None, None, None), (2, "http://h/" + "b" * 5000 + "/1", "<p>same</p><p>own b"), (3, "http://h/" + "b" * 5000 + "/2", "<p>own b</p><p>own c")]
+    out = sorted((r.page_id or 0, r.text) for r in page_text.extract_text(spark.createDataFrame([(*r, "p", "t") for r in rows], PAGES)).collect())
+    assert out == [(0, ""), (1, "own a"), (1, "own a"), (2, "same"), (3, "own c")]
 
 
 def test_codec(spark):

@@ -8,8 +8,10 @@
 3. The lines of the two are aligned by a longest common subsequence, and shared lines go.
 
 Two things are settled by the markup, as differencing can't: a menu or advert that differs from page to page
-goes although it is not shared, and lines in an article or main element stay although a copy of the article
-on the nearest page shares them. Where a page has such an element, its text is the text.
+goes although it is not shared, and where a page has an article or main element, its text is the text. Within an
+article, lines at its beginning or end go that both pages beside it share (the nearest and the one on the other
+side), unless one of the two shares half of the article or more, which is then a copy. A line in the midst of an
+article stays: sentences and licence lines recur there.
 
 Only hashes of lines are sent to partners; the texts are shuffled once.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,8 +46,6 @@ _NO_ARTICLE_NAMES = frozenset(
     "social comment comments respond disqus reply related recommended pagination pager widget toolbar skip".split()
 )
 
-#: Elements nested deeper count as what they stand in.
-_DEEPEST = 512
 #: What stands around a line.
 MARKED, PLAIN, ARTICLE = 0, 1, 2
 
@@ -74,8 +75,10 @@ def page_lines(markup: str) -> list[tuple[int, str]]:
     goes: an end tag closes what is open within its element, one without a start is passed over."""
     lines: list[tuple[int, str]] = []
     held: list[str] = []
-    # Open elements: name, and the state within.
+    # Open elements: name, and the state within; how many there are of a name; the places of those not inline.
     names, states = [""], [PLAIN]
+    opened: Counter[str] = Counter()
+    blocks = [0]
 
     def flush() -> None:
         if held:
@@ -84,6 +87,14 @@ def page_lines(markup: str) -> list[tuple[int, str]]:
             if text:
                 lines.append((states[-1], text))
 
+    def close() -> str:
+        states.pop()
+        name = names.pop()
+        opened[name] -= 1
+        if blocks[-1] == len(names):
+            blocks.pop()
+        return name
+
     at, end = 0, len(markup)
     while at < end:
         token = _TOKEN.match(markup, at)
@@ -100,25 +111,22 @@ def page_lines(markup: str) -> list[tuple[int, str]]:
                     held.append(" ")
                 else:
                     flush()
-            if name in names:
+            if opened[name]:
                 while names[-1] != name:
-                    names.pop()
-                    states.pop()
+                    close()
                 if states[-1] != states[-2]:
                     flush()
-                names.pop()
-                states.pop()
+                close()
             continue
         if name in _SPACED:
             held.append(" ")
         elif name not in _INLINE:
             flush()
             # A paragraph ends where another block begins, an item where another does.
-            k = len(names) - 1
-            while k > 0 and len(names) - k < 64 and names[k] in _INLINE:
-                k -= 1
+            k = blocks[-1]
             if names[k] == "p" or names[k] == name == "li":
-                del names[k:], states[k:]
+                while len(names) > k:
+                    close()
         if name in _VOID:
             continue
         if name in _RAW_END:
@@ -136,9 +144,11 @@ def page_lines(markup: str) -> list[tuple[int, str]]:
                 state = MARKED
             elif name in _ARTICLE:
                 state = ARTICLE
-        if len(names) < _DEEPEST:
-            names.append(name)
-            states.append(state)
+        if name not in _INLINE:
+            blocks.append(len(names))
+        opened[name] += 1
+        names.append(name)
+        states.append(state)
     flush()
     return lines
 
@@ -217,14 +227,15 @@ def _host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def _shared_length(a: Column, b: Column) -> Column:
-    """How many code points two strings have in common at their beginnings."""
-    steps = F.sequence(F.lit(1), F.least(F.length(a), F.length(b), F.lit(1024)))
-    same = F.size(F.filter(steps, lambda n: F.left(a, n) == F.left(b, n)))
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(same)
+    """How many code points two strings have in common at their beginnings, by binary search."""
+    least = F.least(F.length(a), F.length(b))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(30))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= least) & (F.left(a, n + step) == F.left(b, n + step)), n + step).otherwise(n))
 
 
 def nearest_paths(paths: DataFrame) -> DataFrame:
-    """Of ``paths`` (host, path, hashes; one row each) the rows with ``near``, the hashes of the nearest one.
+    """Of ``paths`` (host, path, hashes; one row each) the rows with ``near``, the hashes of the nearest one, and
+    ``other``, those of the one on the other side.
 
     The rows are sorted into ranges, and each range also gets the last row of the one before it and the
     first of the one after, so a host that holds a third of all pages is many ranges. The table of
@@ -242,13 +253,31 @@ def nearest_paths(paths: DataFrame) -> DataFrame:
     seen = all_rows.withColumns({"before": F.lag(row).over(beside), "after": F.lead(row).over(beside)}).where("not halo")
     n_before = F.when(F.col("before.host") == F.col("host"), _shared_length(F.col("before.path"), F.col("path"))).otherwise(-1)
     n_after = F.when(F.col("after.host") == F.col("host"), _shared_length(F.col("after.path"), F.col("path"))).otherwise(-1)
-    near = F.when(F.greatest("nb", "na") < 0, F.lit(None)).when(F.col("na") > F.col("nb"), F.col("after.hashes")).otherwise(F.col("before.hashes"))
-    return seen.withColumns({"nb": n_before, "na": n_after}).select("host", "path", near.alias("near"))
+    after_first = F.col("na") > F.col("nb")
+    near = F.when(F.greatest("nb", "na") < 0, F.lit(None)).when(after_first, F.col("after.hashes")).otherwise(F.col("before.hashes"))
+    other = F.when(F.least("nb", "na") < 0, F.lit(None)).when(after_first, F.col("before.hashes")).otherwise(F.col("after.hashes"))
+    return seen.withColumns({"nb": n_before, "na": n_after}).select("host", "path", near.alias("near"), other.alias("other"))
+
+
+def shared_article_lines(article: list[int], sizes: list[int], near: set[int], other: set[int]) -> set[int]:
+    """Of an article's lines (places on the page, with their lengths) those that both pages beside it share
+    (``near``, ``other``: places on the page) and that stand at its beginning or end without a break. None if
+    either of the two shares half of it: that one is a copy."""
+    for shared in (near, other):
+        if 2 * sum(n for k, n in zip(article, sizes) if k in shared) >= sum(sizes):
+            return set()
+    gone: set[int] = set()
+    for places in (article, article[::-1]):
+        for k in places:
+            if k not in near or k not in other:
+                break
+            gone.add(k)
+    return gone
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
-    """One row per row of ``pages``: id, url, text, n_chars, n_shared (lines that the nearest page has too and
-    that went for it), n_marked (others that went for the elements around them).
+    """One row per row of ``pages``: id, url, text, n_chars, n_shared (lines that went as pages beside this one have
+    them too), n_marked (others that went for the elements around them).
 
     Null counts as an empty page, which has no text. Pages without an address form one host of their own. A
     page that is alone on its host has no partner. Where paths of equal nearness stand on both sides, the one
@@ -281,18 +310,23 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     paths = split(False).groupBy("host", "path").agg(F.min_by("hashes", F.struct("id", "hashes")).alias("hashes"))
     near = stored(nearest_paths(paths), "nearest-paths").where("near is not null")
-    joined = split(True).join(near, ["host", "path"], "left").select("id", "url", "hashes", "around", "texts", "near")
+    joined = split(True).join(near, ["host", "path"], "left").select("id", "url", "hashes", "around", "texts", "near", "other")
 
     def differed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, shared, marked = [], [], []
-            for hashes, around, lines, near in zip(*(batch.column(k) for k in range(2, 6))):
-                state = around.as_py()
+            for hashes, around, lines, near, other in zip(*(batch.column(k) for k in range(2, 7))):
+                state, own = around.as_py(), hashes.as_py()
+                lines = lines.as_py()
                 gone = set()
                 if near.is_valid:
-                    gone = {k for k in common_lines(hashes.as_py(), near.as_py()) if state[k] != ARTICLE}
+                    common = set(common_lines(own, near.as_py()))
+                    gone = {k for k in common if state[k] != ARTICLE}
+                    article = [k for k, s in enumerate(state) if s == ARTICLE]
+                    if other.is_valid and any(k in common for k in article[:1] + article[-1:]):
+                        gone |= shared_article_lines(article, [len(lines[k]) for k in article], common, set(common_lines(own, other.as_py())))
                 least = ARTICLE if ARTICLE in state else PLAIN
-                texts.append("\n\n".join(t for k, (s, t) in enumerate(zip(state, lines.as_py())) if s >= least and k not in gone))
+                texts.append("\n\n".join(t for k, (s, t) in enumerate(zip(state, lines)) if s >= least and k not in gone))
                 shared.append(len(gone))
                 marked.append(sum(s < least for k, s in enumerate(state) if k not in gone))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(shared, pa.int64()), pa.array(marked, pa.int64())], ["id", "url", "text", "n_shared", "n_marked"])
