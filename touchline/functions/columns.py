@@ -76,14 +76,15 @@ def without_marks(x: Column | str) -> Column:
 
 
 #: Words that say what kind of club a name stands for.
-CLUB_WORDS = ("fc", "cf", "afc", "ac", "as", "ss", "sc", "ssc", "rc", "ud", "cd", "sd", "vfl", "vfb", "tsg", "sv", "us", "club")
+CLUB_WORDS = ("fc", "cf", "afc", "ssc", "ac", "as", "sc", "sv", "vfb", "borussia")
 
 
-def join_key(name: Column | str) -> Column:
-    """A club's name for joining: no marks, lower case, & as and, without club words and punctuation."""
-    plain = F.regexp_replace(F.lower(without_marks(name)), "&", " and ")
+def join_key(name: Column | str, aliases: dict[str, str] | None = None) -> Column:
+    """A club's name for joining: lower case, & as and, without club words and punctuation, by its alias where it
+    has one; empty for null."""
+    plain = F.regexp_replace(F.lower(F.coalesce(col(name), F.lit(""))), "&", "and")
     bare = F.regexp_replace(F.regexp_replace(plain, r"\b(" + "|".join(CLUB_WORDS) + r")\b", " "), r"[^a-z0-9]+", " ")
-    return squeeze(bare)
+    return alias_of(squeeze(bare), aliases or {})
 
 
 def alias_of(name: Column | str, aliases: dict[str, str]) -> Column:
@@ -118,14 +119,14 @@ def season_label(date: Column | str, first_month: int = 8) -> Column:
 
 
 #: Texts that say yes or no.
-_YES = ("yes", "true", "1", "1.0", "y", "available", "confirmed")
-_NO = ("no", "false", "0", "0.0", "n", "unavailable", "unconfirmed")
+_YES = ("1", "true", "yes", "y", "available", "confirmed")
+_NO = ("0", "false", "no", "n", "missing", "unavailable")
 
 
 def flag(text: Column | str) -> Column:
-    """A flag given as text or number, as 0 to 1; null where it is neither."""
+    """A flag given as text or number, as 0 to 1; 0 where it is missing or neither."""
     t = F.lower(F.trim(col(text).cast("string")))
-    return F.when(t.isin(*_YES), 1.0).when(t.isin(*_NO), 0.0).otherwise(clip01(number(t)))
+    return F.when(t.isin(*_YES), 1.0).when(t.isin(*_NO), 0.0).otherwise(F.coalesce(clip01(number(t)), F.lit(0.0)))
 
 
 def bucket(x: Column | str, cuts: list[float]) -> Column:

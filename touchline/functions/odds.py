@@ -128,20 +128,27 @@ def blend(members: list[tuple[Triplet, Column | float]], fallback: Triplet) -> T
     return choose(total > 0, normalised(mixed), fallback)
 
 
-def effective_weights(weights: dict[str, float], excluded: tuple[str, ...] = (), last: str = "market") -> dict[str, float]:
+def effective_weights(weights: dict[str, float], excluded: tuple[str, ...] = (), last: str = "xgb") -> dict[str, float]:
     """Weights of the members not excluded, made to sum to 1; all on ``last`` where none is left."""
     kept = {k: max(0.0, w) for k, w in weights.items() if k not in excluded}
     total = sum(kept.values())
     return {k: w / total for k, w in kept.items()} if total > 0 else {last: 1.0}
 
 
+def safe(probs: Triplet) -> Triplet:
+    """Probabilities of which none is missing, 0 or above 1, made to sum to 1."""
+    return normalised([F.least(F.greatest(F.coalesce(finite(p), F.lit(1e-12)), F.lit(1e-12)), F.lit(1.0)) for p in probs])
+
+
 def corrected_market(market: Triplet, source: Triplet | None, alpha: float | Column) -> Triplet:
-    """market^(1 - alpha) * source^alpha, made to sum to 1; the market for alpha 0 or without a source."""
+    """market^(1 - alpha) * source^alpha, made to sum to 1; the market for alpha 0 or without a source. A missing
+    probability counts as 1e-12, alpha as 1 at most."""
+    m = safe(market)
     if source is None or isinstance(alpha, (int, float)) and alpha <= 0:
-        return market
-    a = F.lit(alpha) if isinstance(alpha, (int, float)) else alpha
-    powered = [F.pow(clip(m, 1e-12, 1.0), 1.0 - a) * F.pow(clip(s, 1e-12, 1.0), a) for m, s in zip(market, source)]
-    return choose(a <= 0, market, normalised(powered))
+        return m
+    a = clip(F.lit(float(alpha)) if isinstance(alpha, (int, float)) else alpha, 0.0, 1.0)
+    powered = [F.pow(x, 1.0 - a) * F.pow(y, a) for x, y in zip(m, safe(source))]
+    return choose(a <= 0, m, normalised(powered))
 
 
 def meta_logits(model: Triplet, market: Triplet) -> list[Column]:

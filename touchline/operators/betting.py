@@ -6,6 +6,7 @@ every report is one aggregation over grouping sets.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,10 +25,6 @@ LEAST_PROBS = (0.0, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55)
 ODDS_BANDS = ((1.01, 10.0), (1.01, 2.0), (1.5, 3.0), (1.8, 4.0), (2.0, 5.0), (3.0, 10.0))
 
 
-def _pick(values: list[Column], at: Column) -> Column:
-    return F.when(at == 0, values[0]).when(at == 1, values[1]).otherwise(values[-1])
-
-
 def ledger(rows: DataFrame, probs: Triplet, odds: Triplet, opening: Triplet, closing: Triplet, edge: float = 0.05, max_odds: float = 10.0, max_ev: float = 1.0, fraction: float = 0.25, max_stake: float = 0.05, min_stake: float = 0.001) -> DataFrame:
     """``rows`` with a bet, and: pick, bet_odds, bet_prob, ev, stake, won, profit, clv.
 
@@ -36,18 +33,17 @@ def ledger(rows: DataFrame, probs: Triplet, odds: Triplet, opening: Triplet, clo
     outcome 0, 1, 2.
     """
     o = [finite(x) for x in odds]
-    ev = [p * x - 1.0 for p, x in zip(probs, o)]
     named = rows.where(o[0].isNotNull() & o[1].isNotNull() & o[2].isNotNull() & F.col("y").isNotNull())
-    named = named.withColumn("pick", first_max(*ev))
-    at = F.col("pick")
-    named = named.withColumns({"bet_odds": _pick(o, at), "bet_prob": _pick(list(probs), at), "ev": _pick(ev, at), "__open": _pick([finite(x) for x in opening], at), "__close": _pick([finite(x) for x in closing], at)})
-    named = named.where((F.col("bet_odds") <= max_odds) & (F.col("ev") <= max_ev) & (F.col("ev") > edge))
-    stake = F.least(F.col("ev") / (F.col("bet_odds") - 1.0) * fraction, F.lit(max_stake))
-    named = named.withColumn("stake", stake).where(F.col("stake") >= min_stake)
-    won = F.col("pick") == F.col("y")
-    profit = F.when(won, F.col("stake") * (F.col("bet_odds") - 1.0)).otherwise(-F.col("stake"))
-    clv = F.when((F.col("__close") > LEAST_ODDS) & F.col("__open").isNotNull(), F.col("__open") / F.col("__close") - 1.0)
-    return named.withColumns({"won": won.cast("int"), "profit": profit, "clv": clv}).drop("__open", "__close")
+    # The greatest of three structs: most value, of equal ones the first outcome; its fields are read once.
+    each = [F.struct((p * x - 1.0).alias("ev"), F.lit(-k).alias("order"), x.alias("odds"), p.alias("prob"), finite(a).alias("open"), finite(b).alias("close")) for k, (p, x, a, b) in enumerate(zip(probs, o, opening, closing))]
+    named = named.withColumn("__bet", F.greatest(*each))
+    bet = lambda field: F.col(f"__bet.{field}")
+    named = named.withColumn("stake", F.least(bet("ev") / (bet("odds") - 1.0) * fraction, F.lit(max_stake)))
+    named = named.where((bet("odds") <= max_odds) & (bet("ev") <= max_ev) & (bet("ev") > edge) & (F.col("stake") >= min_stake))
+    won = -bet("order") == F.col("y")
+    profit = F.when(won, F.col("stake") * (bet("odds") - 1.0)).otherwise(-F.col("stake"))
+    clv = F.when((bet("close") > LEAST_ODDS) & bet("open").isNotNull(), bet("open") / bet("close") - 1.0)
+    return named.withColumns({"pick": -bet("order"), "bet_odds": bet("odds"), "bet_prob": bet("prob"), "ev": bet("ev"), "won": won.cast("int"), "profit": profit, "clv": clv}).drop("__bet")
 
 
 def binary_bets(rows: DataFrame, prob: Column, over_odds: Column, under_odds: Column, result: Column, edge: float = 0.05, max_odds: float = 10.0) -> DataFrame:
@@ -114,29 +110,40 @@ def grid(spark) -> DataFrame:
 
 def select_cell(bets: DataFrame, folds: int = 2, least_bets: int = 50, least_fold: int = 10) -> DataFrame:
     """Totals of each cell of the grid over the bets it admits, and whether the cell passes: enough bets, profit
-    overall and in each fold. ``bets`` has a column ``fold`` (1..folds)."""
+    overall and in each fold. ``bets`` has a column ``fold`` (1..folds).
+
+    Bets are summed by what of the grid's values they reach, a few thousand groups at most, before they meet the cells.
+    """
+    reached = lambda tests: reduce(lambda a, b: a + b, [t.cast("int") for t in tests])
+    bands = reached([((F.col("bet_odds") >= lo) & (F.col("bet_odds") <= hi)).cast("int") * (1 << k) for k, (lo, hi) in enumerate(ODDS_BANDS)])
+    kinds = {"__e": reached([F.col("ev") > x for x in EDGES]), "__p": reached([F.col("bet_prob") >= x for x in LEAST_PROBS]), "__o": bands}
+    groups = bets.groupBy("fold", *[c.alias(n) for n, c in kinds.items()]).agg(F.count(F.lit(1)).alias("n"), F.sum("profit").alias("p"), F.sum("stake").alias("s"))
     cells = F.broadcast(grid(bets.sparkSession))  # 336 rows
-    admitted = bets.join(cells, (F.col("ev") > F.col("edge")) & (F.col("bet_prob") >= F.col("least_prob")) & (F.col("bet_odds") >= F.col("low")) & (F.col("bet_odds") <= F.col("high")))
-    per_fold = admitted.groupBy("cell", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("profit").alias("p"), F.sum("stake").alias("s"))
+    at = F.col("cell")
+    n_p, n_o = len(LEAST_PROBS), len(ODDS_BANDS)
+    edge, prob = F.floor(at / (n_p * n_o)), F.floor(at / n_o) % n_p
+    admitted = groups.join(cells, (F.col("__e") > edge) & (F.col("__p") > prob) & (F.expr(f"shiftright(__o, cell % {n_o})").bitwiseAND(1) == 1))
+    per_fold = admitted.groupBy("cell", "fold").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("s").alias("s"))
     good = F.sum(F.when((F.col("n") >= least_fold) & (F.col("p") > 0), 1).otherwise(0))
     per_cell = per_fold.groupBy("cell").agg(F.sum("n").alias("bets"), F.sum("p").alias("profit"), (F.sum("p") / F.sum("s")).alias("roi"), good.alias("good_folds"))
     return per_cell.withColumn("passes", (F.col("bets") >= least_bets) & (F.col("roi") > 0) & (F.col("good_folds") == folds))
 
 
-def chrono_fold(rows: DataFrame, folds: int = 2) -> DataFrame:
-    """``rows`` with ``fold`` (1..folds): equal parts in the order of date and match_id, the first ones larger by one.
+def chrono_fold(rows: DataFrame, folds: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``fold`` (1..folds): equal parts in the order of date and match_id, the first ones larger by one;
+    of all rows, or of those with equal ``by``.
 
     Days are counted first, so the window over all of them has one row a day; within a day it is one more.
     """
-    by_day = rows.groupBy("date").agg(F.count(F.lit(1)).alias("__dn"))
-    everything = Window.orderBy("date")
-    starts = by_day.select("date", F.coalesce(F.sum("__dn").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"), F.sum("__dn").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))
-    at = F.col("__start") + F.row_number().over(Window.partitionBy("date").orderBy("match_id")) - 1
+    by_day = rows.groupBy(*by, "date").agg(F.count(F.lit(1)).alias("__dn"))
+    everything = Window.partitionBy(*by).orderBy("date") if by else Window.orderBy("date")
+    starts = by_day.select(*by, "date", F.coalesce(F.sum("__dn").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"), F.sum("__dn").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))
+    at = F.col("__start") + F.row_number().over(Window.partitionBy(*by, "date").orderBy("match_id")) - 1
     size, larger = F.floor(F.col("__all") / folds), F.col("__all") % folds
     cut = larger * (size + 1)
     # In the parts of size + 1, then in those of size.
     fold = F.when(F.col("__at") < cut, F.floor(F.col("__at") / (size + 1))).otherwise(larger + F.floor(F.try_divide(F.col("__at") - cut, size)))
-    numbered = rows.join(F.broadcast(starts), "date").withColumn("__at", at)  # a row a day
+    numbered = rows.join(starts, [*by, "date"]).withColumn("__at", at)
     return numbered.withColumn("fold", (fold + 1).cast("int")).drop("__start", "__all", "__at")
 
 

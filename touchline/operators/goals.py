@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import factorial
 
 from pyspark.sql import Column, DataFrame
@@ -33,30 +34,43 @@ def low_score_factor(h: Column, a: Column, home: Column, away: Column, rho: floa
     )
 
 
+def _side_probs(rates: DataFrame, most: int) -> DataFrame:
+    """Adds __h and __a: the probabilities of 0 to ``most`` goals of both sides, as arrays."""
+    return rates.withColumns({f"__{s}": F.array(*[poisson(k, F.col(f"{side}_rate")) for k in range(most + 1)]) for s, side in (("h", "home"), ("a", "away"))})
+
+
 def scores(rates: DataFrame, rho: float = 0.0, most: int = MAX_GOALS) -> DataFrame:
-    """Per row of ``rates`` (home_rate, away_rate) its (most + 1)^2 scores: hg, ag and a weight p, which
+    """Per row of ``rates`` (home_rate, away_rate) its (most + 1)^2 scores: cells of hg, ag and a weight p, which
     must be divided by the sum of them all (not here, where it would be summed up anew for each cell)."""
-    grid = F.array(*[F.struct(F.lit(h).alias("hg"), F.lit(a).alias("ag")) for h in range(most + 1) for a in range(most + 1)])
     home, away = F.col("home_rate"), F.col("away_rate")
-    cells = F.transform(
-        grid,
-        lambda s: F.struct(s["hg"].alias("hg"), s["ag"].alias("ag"), F.greatest(F.lit(0.0), poisson(s["hg"], home) * poisson(s["ag"], away) * low_score_factor(s["hg"], s["ag"], home, away, rho)).alias("p")),
-    )
-    return rates.withColumn("cells", cells)
+    cell = lambda h, a, p: F.struct(F.lit(h).alias("hg"), F.lit(a).alias("ag"), F.greatest(F.lit(0.0), p).alias("p"))
+    factor = lambda h, a: low_score_factor(F.lit(h), F.lit(a), home, away, rho) if h < 2 and a < 2 else F.lit(1.0)
+    cells = F.array(*[cell(h, a, F.get("__h", F.lit(h)) * F.get("__a", F.lit(a)) * factor(h, a)) for h in range(most + 1) for a in range(most + 1)])
+    return _side_probs(rates, most).withColumn("cells", cells).drop("__h", "__a")
 
 
-def _total(test=None):
-    """Sum of the weights of the cells that pass ``test``."""
-    chosen = F.col("cells") if test is None else F.filter("cells", test)
-    return F.aggregate(chosen, F.lit(0.0), lambda acc, c: acc + c["p"])
+def _total():
+    """Sum of the weights of all cells."""
+    return F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["p"])
 
 
 def outcome_probs(rates: DataFrame, rho: float = 0.0, most: int = MAX_GOALS) -> DataFrame:
-    """``rates`` with p_home, p_draw, p_away."""
-    celled = scores(rates, rho, most)
-    of = lambda test: _total(test) / _total()
-    probs = {"p_home": of(lambda c: c["hg"] > c["ag"]), "p_draw": of(lambda c: c["hg"] == c["ag"]), "p_away": of(lambda c: c["hg"] < c["ag"])}
-    return celled.withColumns(probs).drop("cells")
+    """``rates`` with p_home, p_draw, p_away.
+
+    Home wins are the sum of home goals' probabilities times those of fewer away goals; only the four low scores
+    are corrected one by one.
+    """
+    home, away = F.col("home_rate"), F.col("away_rate")
+    h, a = [F.col(f"__h{k}") for k in range(most + 1)], [F.col(f"__a{k}") for k in range(most + 1)]
+    sided = rates.withColumns({f"__{s}{k}": poisson(k, rate) for s, rate in (("h", home), ("a", away)) for k in range(most + 1)})
+    total = lambda terms: reduce(lambda x, y: x + y, terms)
+    sums = {"__win": total([h[k] * total(a[:k]) for k in range(1, most + 1)]), "__draw": total([x * y for x, y in zip(h, a)]), "__loss": total([a[k] * total(h[:k]) for k in range(1, most + 1)])}
+    if rho:
+        moved = lambda i, j: F.greatest(F.lit(0.0), h[i] * a[j] * low_score_factor(F.lit(i), F.lit(j), home, away, rho)) - h[i] * a[j]
+        sums = {"__win": sums["__win"] + moved(1, 0), "__draw": sums["__draw"] + moved(0, 0) + moved(1, 1), "__loss": sums["__loss"] + moved(0, 1)}
+    summed = sided.select(*rates.columns, *[c.alias(n) for n, c in sums.items()])
+    all_of_it = F.col("__win") + F.col("__draw") + F.col("__loss")
+    return summed.select(*rates.columns, *[(F.col(c) / all_of_it).alias(n) for n, c in (("p_home", "__win"), ("p_draw", "__draw"), ("p_away", "__loss"))])
 
 
 def top_scores(rates: DataFrame, k: int = 5, rho: float = 0.0, most: int = MAX_GOALS) -> DataFrame:

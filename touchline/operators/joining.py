@@ -61,16 +61,17 @@ def pair_sides(sides: DataFrame) -> DataFrame:
     return home.join(away, ["date", "hg", "ag"]).where(near).select("date", "home_team", "away_team", "home_xg", "away_xg")
 
 
-def registered_at(rows: DataFrame, registry: DataFrame, keys: list[str], as_of: str = "date") -> DataFrame:
+def registered_at(rows: DataFrame, registry: DataFrame, keys: list[str], row_key: list[str], as_of: str = "date") -> DataFrame:
     """``rows`` with the registry's entry in force on their date (date_from to date_to, null is open): the one
-    that began last, an open beginning last of all. Columns of the entry get the prefix reg_."""
+    that began last, an open beginning last of all. ``row_key`` names the columns that tell rows apart. Columns of the
+    entry get the prefix reg_."""
     entries = registry.select(*keys, *[F.col(c).alias(f"reg_{c}") for c in registry.columns if c not in keys])
     inside = (F.col("reg_date_from").isNull() | (F.col("reg_date_from") <= F.col(as_of))) & (F.col("reg_date_to").isNull() | (F.col("reg_date_to") >= F.col(as_of)))
     values = F.struct(*[c for c in entries.columns if c not in keys])
-    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
     order = F.struct(F.coalesce(F.col("reg_date_from"), F.lit("0001-01-01").cast("date")), values)
-    best = numbered.join(entries, keys).where(inside).groupBy("__row").agg(F.max_by(values, order).alias("__e"))
-    return numbered.join(best, "__row", "left").select(*rows.columns, "__e.*")
+    asked = rows.select(*dict.fromkeys([*row_key, *keys, as_of])).distinct()
+    best = asked.join(entries, keys).where(inside).groupBy(*row_key).agg(F.max_by(values, order).alias("__e"))
+    return rows.join(best, row_key, "left").select(*rows.columns, "__e.*")
 
 
 def coverage(matches: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import clip, col, first_max
-from touchline.functions.odds import Triplet, corrected_market, probability_of, temperature
+from touchline.functions.odds import Triplet, probability_of, safe, temperature
 
 EPS = 1e-15
 
@@ -78,9 +78,13 @@ ALPHAS = (0.0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.3, 0.4, 0
 
 def correction_grid(rows: DataFrame, market: Triplet, source: Triplet, y: str = "y") -> DataFrame:
     """Log loss at each strength of the correction of the market by a source, overall and in each fold."""
-    scored = rows.where(F.col(y).isNotNull())
+    scored = rows.where(F.col(y).isNotNull()).select("fold", F.col(y).alias("y"), *[p.alias(f"{s}{k}") for s, probs in (("m", safe(market)), ("s", safe(source))) for k, p in enumerate(probs)])
+    # Logarithms once a row; a strength is then a weighted sum of two.
+    logs = scored.select("fold", *[F.ln(f"{s}{k}").alias(f"l{s}{k}") for s in "ms" for k in range(3)], *[F.ln(probability_of([F.col(f"{s}{k}") for k in range(3)], "y")).alias(f"l{s}y") for s in "ms"])
     names = [f"a{k}" for k in range(len(ALPHAS))]
-    wide = scored.rollup("fold").agg(*[log_loss(corrected_market(market, source, alpha), y).alias(n) for n, alpha in zip(names, ALPHAS)])
+    mixed = lambda k, alpha: F.col(f"lm{k}") * (1 - alpha) + F.col(f"ls{k}") * alpha
+    loss = lambda alpha: F.ln(F.exp(mixed(0, alpha)) + F.exp(mixed(1, alpha)) + F.exp(mixed(2, alpha))) - mixed("y", alpha)
+    wide = logs.rollup("fold").agg(*[F.avg(loss(alpha)).alias(n) for n, alpha in zip(names, ALPHAS)])
     return wide.select("fold", F.explode(F.array(*[F.struct(F.lit(alpha).alias("alpha"), F.col(n).alias("loss")) for n, alpha in zip(names, ALPHAS)])).alias("g")).select("fold", "g.alpha", "g.loss")
 
 

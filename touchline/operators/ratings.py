@@ -18,7 +18,7 @@ INITIAL = 1500.0
 KNOWN, LOWEST = 5, 3
 
 
-def _entry(ratings: dict[int, float]) -> float:
+def _entry(ratings: dict) -> float:
     return sum(sorted(ratings.values())[:LOWEST]) / LOWEST if len(ratings) >= KNOWN else INITIAL
 
 
@@ -28,7 +28,7 @@ def _margin(goals: float) -> float:
     return 1.0 if d <= 1 else 1.5 if d == 2 else 1.75 if d == 3 else 2.0
 
 
-def _update(ratings: dict[int, float], home: int, away: int, hg: float, ag: float, k: float, home_adv: float) -> None:
+def _update(ratings: dict, home, away, hg: float, ag: float, k: float, home_adv: float) -> None:
     expected = 1.0 / (1.0 + math.pow(10.0, -(ratings[home] + home_adv - ratings[away]) / 400.0))
     result = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
     step = k * _margin(hg - ag) * (result - expected)
@@ -47,7 +47,7 @@ def elo(matches: DataFrame, k: float = 50.0, home_adv: float = 80.0, by_day: boo
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["date", "match_id"])
-        ratings: dict[int, float] = {}
+        ratings: dict = {}
         out = []
         for _, day in rows.groupby("date", sort=True):
             before = dict(ratings)
@@ -66,7 +66,8 @@ def elo(matches: DataFrame, k: float = 50.0, home_adv: float = 80.0, by_day: boo
                 out.append((m.league, m.date, m.match_id, home, away, ratings[m.home_team], ratings[m.away_team]))
         return pd.DataFrame(out, columns=["league", "date", "match_id", "home_elo", "away_elo", "home_post", "away_post"])
 
-    schema = "league int, date date, match_id bigint, home_elo double, away_elo double, home_post double, away_post double"
+    kinds = dict(played.dtypes)
+    schema = f"league {kinds['league']}, date date, match_id {kinds['match_id']}, home_elo double, away_elo double, home_post double, away_post double"
     return played.groupBy("league").applyInPandas(fold, schema)
 
 
@@ -82,26 +83,30 @@ def momentum(matches: DataFrame, window: int = 4) -> DataFrame:
 
 
 def iterative_strengths(matches: DataFrame, decay: float = 0.001, passes: int = 10) -> DataFrame:
-    """Attack (from home games) and defence (from away games) of each team, adjusted to each other in turn,
-    team by team in the order of first appearance."""
-    played = matches.where("home_goals is not null and away_goals is not null").select("league", "date", "match_id", "home_team", "away_team", "home_goals", "away_goals")
+    """Attack (from home games) and defence (from away games) of each team, adjusted to each other in turn: the
+    home teams in the order of their first match, then those that only play away. A value stays where there is nothing
+    to divide by.
+
+    Only sums of each pair of teams go through the grouped map: their number grows with the clubs, not the matches.
+    """
+    played = matches.where("home_goals is not null and away_goals is not null")
+    ends = played.groupBy("league").agg(F.max("date").alias("__end"))
+    w = F.exp(-decay * F.datediff("__end", "date"))
+    pairs = played.join(F.broadcast(ends), "league").groupBy("league", "home_team", "away_team").agg(F.sum(w).alias("w"), F.sum(w * F.col("home_goals")).alias("g"), F.min(F.struct("date", "match_id")).alias("first"))  # a row a league
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["date", "match_id"])
-        age = (pd.to_datetime(rows.date.max()) - pd.to_datetime(rows.date)).dt.days
-        rows = rows.assign(w=(-decay * age).map(math.exp))
-        mean = float((rows.w * rows.home_goals).sum() / rows.w.sum()) or 1.0
-        teams = list(dict.fromkeys(x for pair in zip(rows.home_team, rows.away_team) for x in pair))
-        attack, defence = dict.fromkeys(teams, 1.0), dict.fromkeys(teams, 1.0)
+        rows = rows.sort_values("first", key=lambda c: c.map(lambda x: (x["date"], x["match_id"])))
+        mean = rows.g.sum() / rows.w.sum()
+        homes, aways = list(dict.fromkeys(rows.home_team)), list(dict.fromkeys(rows.away_team))
+        attack = dict.fromkeys([*homes, *aways], 1.0)
+        defence = dict(attack)
         at_home, on_road = dict(list(rows.groupby("home_team"))), dict(list(rows.groupby("away_team")))
         for _ in range(passes):
-            for team in teams:
-                if team in at_home:
-                    own = at_home[team]
-                    attack[team] = float((own.w * own.home_goals).sum() / max(1e-9, mean * (own.w * own.away_team.map(defence)).sum()))
-                if team in on_road:
-                    own = on_road[team]
-                    defence[team] = float((own.w * own.home_goals).sum() / max(1e-9, mean * (own.w * own.home_team.map(attack)).sum()))
-        return pd.DataFrame([(int(rows.league.iloc[0]), t, attack[t], defence[t]) for t in teams], columns=["league", "team", "attack", "defence"])
-
-    return played.groupBy("league").applyInPandas(fit, "league int, team int, attack double, defence double")
+            for team in attack:
+                for own, value, other, opponent in ((at_home.get(team), attack, defence, "away_team"), (on_road.get(team), defence, attack, "home_team")):
+                    if own is not None and (base := mean * (own.w * own[opponent].map(other)).sum()) > 0:
+                        value[team] = float(own.g.sum() / base)
+        return pd.DataFrame({"league": rows.league.iloc[0], "team": list(attack), "attack": list(attack.values()), "defence": [defence[t] for t in attack]})
+
+    kinds = dict(matches.dtypes)
+    return pairs.groupBy("league").applyInPandas(fit, f"league {kinds['league']}, team {kinds['home_team']}, attack double, defence double")

@@ -103,10 +103,11 @@ def consensus_odds(m):
     return r6(m.select("match_id", *[x.alias(f"o_{leg}") for x, leg in zip(o, O.LEGS)]).where("o_home is not null"))
 
 
-@query("select match_id, case when over_odds > 1.0001 and under_odds > 1.0001 then round((1 / over_odds) / (1 / over_odds + 1 / under_odds), 6) end as p_over, coalesce(ah_line, home_xg) as line from matches")
+@query("select match_id, case when over_odds > 1.0001 and under_odds > 1.0001 then round((1 / over_odds) / (1 / over_odds + 1 / under_odds), 6) end as p_over, coalesce(case when match_id % 4 <> 0 then cast((match_id * 197 % 9 - 4) as double) / 4 end, ah_line) as line from matches")
 def over_under_prob(m):
     p, _, _ = O.over_under([(F.col("over_odds"), F.col("under_odds"))])
-    return m.select("match_id", F.round(p, 6).alias("p_over"), O.first_line("ah_line", "home_xg").alias("line"))
+    closing = F.expr("case when match_id % 4 <> 0 then cast((match_id * 197 % 9 - 4) as double) / 4 end")
+    return m.select("match_id", F.round(p, 6).alias("p_over"), O.first_line(closing, "ah_line").alias("line"))
 
 
 @query(
@@ -144,9 +145,7 @@ def date_split_counts(m):
 
 @query("select match_id, league, ntile(2) over (partition by league order by date, match_id) as fold from matches where " + PLAYED)
 def chrono_folds(m):
-    from pyspark.sql import Window
-
-    return _played(m).select("match_id", "league", F.ntile(2).over(Window.partitionBy("league").orderBy("date", "match_id")).alias("fold"))
+    return betting.chrono_fold(_played(m), by=("league",)).select("match_id", "league", "fold")
 
 
 @query("select league, year(date) - case when month(date) < 7 then 1 else 0 end as season, count(*) as n from matches group by all")
@@ -697,7 +696,7 @@ def registry_asof(m):
     view = asof.team_view(m)
     registry = view.where("is_played").groupBy("league", "team", "opponent").agg(F.min("date").alias("date_from"), F.max("date").alias("hi"), F.count(F.lit(1)).alias("n"))
     registry = registry.select("league", "team", "date_from", "opponent", F.when(F.col("n") % 2 != 0, F.col("hi")).alias("date_to"))
-    return joining.registered_at(view.where("is_home").select("match_id", "league", "team", "date"), registry, ["league", "team"]).select("match_id", "team", "reg_opponent")
+    return joining.registered_at(view.where("is_home").select("match_id", "league", "team", "date"), registry, ["league", "team"], ["match_id"]).select("match_id", "team", "reg_opponent")
 
 
 @query(XG + ", s as (select min(date) as lo, max(date) as hi from xg), i as (select m.* from matches m, s where m.date between lo and hi), k as (select distinct league, home_team, away_team, date from xg) select league, count(*) as n, count(k.date) as matched, count(*) - count(k.date) as unmatched from i left join k using (league, home_team, away_team, date) group by league")
