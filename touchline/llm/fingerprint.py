@@ -30,31 +30,37 @@ _SPACE = r"[\t-\r\x1C-\x1F\x{85}\x{1680}\x{2028}\x{2029}]"
 _QUICK = r"[\x00-\x{9F}\x{C0}-\x{131}]"
 
 
-def _java_class(code_points: list[int]) -> str:
-    parts, k = [], 0
-    while k < len(code_points):
-        j = k
-        while j + 1 < len(code_points) and code_points[j + 1] == code_points[j] + 1:
-            j += 1
-        parts.append(f"\\x{{{code_points[k]:X}}}-\\x{{{code_points[j]:X}}}")
-        k = j + 1
-    return "[" + "".join(parts) + "]"
+def _java_class(ranges: list[tuple[int, int]]) -> str:
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" if a < b else f"\\x{{{a:X}}}" for a, b in ranges) + "]"
+
+
+def _ranges(code_points: set[int] | list[int]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for cp in sorted(code_points):
+        if out and out[-1][1] == cp - 1:
+            out[-1] = out[-1][0], cp
+        else:
+            out.append((cp, cp))
+    return out
 
 
 #: Hangul: first code points of leading, vowel and trailing letters and of the syllables, and how many there are.
 _L, _V, _T, _S, _N_L, _N_V, _N_T = 0x1100, 0x1161, 0x11A7, 0xAC00, 19, 21, 28
-#: Lists that the pairs of a composition are spread over.
-_PAIR_LISTS = 1024
+#: Small maps that a table is spread over, as a map is searched from its beginning.
+_SPREAD = 2048
+
+
+def _number(chars: str) -> int:
+    """Which of the small maps holds one or two characters."""
+    return (ord(chars[0]) * (31 if len(chars) > 1 else 1) + (ord(chars[1]) if len(chars) > 1 else 0)) % _SPREAD
 
 
-def _by_code_point(values: dict[int, object]) -> str:
-    """JSON of lists of 256, so that the value of a code point is found in two steps."""
-    lists: list[list | None] = [None] * ((max(values) >> 8) + 1)
-    for cp, value in values.items():
-        if lists[cp >> 8] is None:
-            lists[cp >> 8] = [None] * 256
-        lists[cp >> 8][cp & 255] = value
-    return json.dumps(lists)
+def _spread(values: dict[str, object]) -> str:
+    """JSON of ``_SPREAD`` maps. Tables stand in every plan that uses them, so they are kept short."""
+    maps: list[dict] = [{} for _ in range(_SPREAD)]
+    for chars, value in values.items():
+        maps[_number(chars)][chars] = value
+    return json.dumps(maps, ensure_ascii=False, separators=(",", ":"))
 
 
 @cache
@@ -68,7 +74,7 @@ def _unicode_tables() -> tuple[str, str, str, str, str, str, str]:
     """
     letters = [*range(_V, _V + _N_V), *range(_T + 1, _T + _N_T)]
     needs, marks, joining, down, order = set(letters), [], set(letters), {}, {}
-    pairs: list[dict[str, str]] = [{} for _ in range(_PAIR_LISTS)]
+    pairs: dict[str, str] = {}
     for cp in range(sys.maxunicode + 1):
         if 0xD800 <= cp <= 0xDFFF or _S <= cp < _S + _N_L * _N_V * _N_T:
             continue
@@ -76,29 +82,28 @@ def _unicode_tables() -> tuple[str, str, str, str, str, str, str]:
         if ccc := unicodedata.combining(c):
             needs.add(cp)
             marks.append(cp)
-            order[cp] = ccc
+            order[c] = ccc
         if unicodedata.normalize("NFKC", c) != c:
             needs.add(cp)
         if (full := unicodedata.normalize("NFKD", c)) != c:
-            down[cp] = full
+            down[c] = full
         pair = unicodedata.decomposition(c)
         if pair and not pair.startswith("<") and " " in pair:
             first, second = (int(x, 16) for x in pair.split())
             if unicodedata.normalize("NFC", chr(first) + chr(second)) == c:
-                pairs[(first * 31 + second) % _PAIR_LISTS][chr(first) + chr(second)] = c
+                pairs[chr(first) + chr(second)] = c
                 needs.add(second)
                 joining.add(second)
     edges = [-1, *sorted(needs), sys.maxunicode + 1]
-    plain = [c for a, b in zip(edges, edges[1:]) if b - a > 64 or b < 0x180 for c in range(a + 1, b)]
-    plain_class = _java_class(plain)
+    plain_class = _java_class([(a + 1, b - 1) for a, b in zip(edges, edges[1:]) if b > a + 1 and (b - a > 64 or b < 0x180)])
     return (
-        f"(?:(?!{_QUICK})(?!{plain_class}){_java_class(sorted(needs))})",
+        f"(?:(?!{_QUICK})(?!{plain_class}){_java_class(_ranges(needs))})",
         f"(?!{_QUICK})(?!{plain_class})(?s:.)",
-        _java_class(marks),
-        _java_class(sorted({*marks, *joining})),
-        _by_code_point(down),
-        json.dumps(pairs),
-        _by_code_point(order),
+        _java_class(_ranges(marks)),
+        _java_class(_ranges({*marks, *joining})),
+        _spread(down),
+        _spread(pairs),
+        _spread(order),
     )
 
 
@@ -114,12 +119,11 @@ def nfkc(text: Column) -> Column:
     decomposed, cut where nothing can join what stands before, and each piece composed.
     """
     needs, odd, marks, joining, down, up, order = _unicode_tables()
-    down_of, ccc_of = (F.from_json(F.lit(t), f"array<array<{kind}>>") for t, kind in ((down, "string"), (order, "int")))
-    up_of = F.from_json(F.lit(up), "array<map<string,string>>")
-    at = lambda table, cp: F.get(F.get(table, F.shiftright(cp, 8)), cp.bitwiseAND(255))
+    down_of, up_of, ccc_of = (F.from_json(F.lit(t), f"array<map<string,{kind}>>") for t, kind in ((down, "string"), (up, "string"), (order, "int")))
+    at = lambda table, c: F.get(table, F.ascii(c) % _SPREAD)[c]
 
     def ordered(piece: Column) -> Column:
-        chars = F.transform(F.split(piece, ""), lambda c, i: F.struct(F.coalesce(at(ccc_of, F.ascii(c)), F.lit(0)).alias("ccc"), i.alias("i"), c.alias("c")))
+        chars = F.transform(F.split(piece, ""), lambda c, i: F.struct(F.coalesce(at(ccc_of, c), F.lit(0)).alias("ccc"), i.alias("i"), c.alias("c")))
         return F.array_sort(chars)
 
     def joined(base: Column, c: Column) -> Column:
@@ -129,7 +133,7 @@ def nfkc(text: Column) -> Column:
         return (
             F.when((lead >= 0) & (lead < _N_L) & (vowel >= 0) & (vowel < _N_V), _character((lead * _N_V + vowel) * _N_T + _S))
             .when((syllable >= 0) & (syllable < _N_L * _N_V * _N_T) & (trail > 0) & (trail < _N_T), F.when(syllable % _N_T == 0, _character(x + trail)))
-            .otherwise(F.get(up_of, (x * 31 + y) % _PAIR_LISTS)[F.concat(base, c)])
+            .otherwise(F.get(up_of, (x * 31 + y) % _SPREAD)[F.concat(base, c)])
         )
 
     def step(s: Column, x: Column) -> Column:
@@ -150,7 +154,7 @@ def nfkc(text: Column) -> Column:
         return F.when(F.length(piece) == 1, piece).otherwise(whole)
 
     def normalised(stretch: Column) -> Column:
-        full = F.array_join(F.transform(F.split(stretch, ""), lambda c: F.coalesce(at(down_of, F.ascii(c)), c)), "")
+        full = F.array_join(F.transform(F.split(stretch, ""), lambda c: F.coalesce(at(down_of, c), c)), "")
         return F.array_join(F.transform(F.regexp_extract_all(full, F.lit(f"(?s)^{joining}++|.{joining}*+"), F.lit(0)), composed), "")
 
     # A stretch that needs work begins with the last plain character before it.
