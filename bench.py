@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from touchline.plans.queries import QUERIES
+from touchline.plans.catalog import QUERIES
 
 HEADLINE = ["fair_probs", "rolling_form_5", "rolling_stats_diffs", "points_form", "last_k_sequence_rows", "strength_decayed_asof", "elo_day_frozen", "dixon_coles_outcome", "probability_quality", "bet_grouping_sets", "selector_grid", "xg_nearest_date"]
 

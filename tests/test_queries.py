@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from touchline.operators import asof, ratings
-from touchline.plans.queries import ORACLES, QUERIES
+from touchline.plans.catalog import ORACLES, QUERIES
 from touchline.sources.fixture_sql import TABLES, read_matches
 
 SF = "/root/testdata/sf0.001"

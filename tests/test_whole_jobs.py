@@ -6,7 +6,7 @@ import pytest
 
 from tests.test_queries import SF, brute_elo
 from touchline.operators import asof
-from touchline.plans.queries import QUERIES
+from touchline.plans.catalog import QUERIES
 from touchline.sources.fixture_sql import read_matches
 
 

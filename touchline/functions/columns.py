@@ -124,9 +124,19 @@ _NO = ("0", "false", "no", "n", "missing", "unavailable")
 
 
 def flag(text: Column | str) -> Column:
-    """A flag given as text or number, as 0 to 1; 0 where it is missing or neither."""
-    t = F.lower(F.trim(col(text).cast("string")))
-    return F.when(t.isin(*_YES), 1.0).when(t.isin(*_NO), 0.0).otherwise(F.coalesce(clip01(number(t)), F.lit(0.0)))
+    """A flag given as text, as 1 or 0; 0 where it is missing or another text."""
+    return F.coalesce(F.lower(F.trim(col(text))).isin(*_YES).cast("double"), F.lit(0.0))
+
+
+def flag_number(x: Column | str) -> Column:
+    """A flag given as a number, within 0 and 1; 0 where it is missing."""
+    return F.coalesce(clip01(finite(x)), F.lit(0.0))
+
+
+def truthy(text: Column | str) -> Column:
+    """Whether a text says yes; null where it says neither yes nor no."""
+    t = F.lower(F.trim(col(text)))
+    return F.when(t.isin(*_YES), True).when(t.isin(*_NO), False)
 
 
 def bucket(x: Column | str, cuts: list[float]) -> Column:

@@ -7,8 +7,11 @@ matches of one day do not see each other. Ties on a day are ordered by match_id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from touchline.functions.columns import finite
 
@@ -52,14 +55,52 @@ def _at_first_of_day(view: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return marked.where("__first").select(*KEYS, "date", *columns)
 
 
+def before_each_day(view: DataFrame, after: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """league, team, date of every fixture, played or not, with ``state``: what ``after`` makes of the team's played
+    matches, as it stood after the last one of an earlier day; null without any.
+
+    ``after`` gets the window of a team's played matches in order. One shuffle by team serves both windows.
+    """
+    spread = view.repartition(*KEYS)
+    own = Window.partitionBy(*KEYS, "is_played").orderBy("date", "match_id")
+    state = F.when(F.col("is_played"), F.struct(*[c.alias(n) for n, c in after(own).items()]))
+    known = spread.select(*KEYS, "date", "match_id", state.alias("state"))
+    everything = Window.partitionBy(*KEYS).orderBy("date", "match_id")
+    first = F.lag("date").over(everything)
+    before = F.last("state", ignorenulls=True).over(everything.rowsBetween(Window.unboundedPreceding, -1))
+    return known.select(*KEYS, "date", (first.isNull() | (first < F.col("date"))).alias("__first"), before.alias("state")).where("__first").drop("__first")
+
+
+def fixture_means(matches: DataFrame, window: int = 5, stats: tuple[str, ...] = ALL_STATS) -> DataFrame:
+    """Per league, team and date of every fixture, coming ones too: means of the last ``window`` played matches of
+    earlier days (0 without any), share of points, weeks of rest and how many matches were looked back on."""
+    names = [f"{s}_{d}" for s in (*stats, "cards") for d in ("for", "against")]
+
+    def after(own: WindowSpec) -> dict[str, Column]:
+        last = own.rowsBetween(1 - window, 0)
+        n = F.count(F.lit(1)).over(last)
+        return {c: F.avg(c).over(last) for c in names} | {"n_recent": n, "form": F.sum("points").over(last) / (3.0 * n), "day": F.col("date")}
+
+    found = before_each_day(team_view(matches, stats), after)
+    rest = F.coalesce(F.least(F.greatest(F.datediff("date", "state.day"), F.lit(0)), F.lit(21)) / 7.0, F.lit(1.0))
+    return found.select(*KEYS, "date", *[F.coalesce(F.col(f"state.{c}"), F.lit(0.0)).alias(c) for c in (*names, "form")], F.coalesce("state.n_recent", F.lit(0)).cast("long").alias("n_recent"), rest.alias("rest"))
+
+
+def both_sides(matches: DataFrame, teams: DataFrame) -> DataFrame:
+    """``matches`` with what ``teams`` (league, team, date, ...) has of the home side (home_*) and the away side."""
+    for side in ("home", "away"):
+        theirs = teams.select("league", "date", F.col("team").alias(f"{side}_team"), *[F.col(c).alias(f"{side}_{c}") for c in teams.columns if c not in (*KEYS, "date")])
+        matches = matches.join(theirs, ["league", "date", f"{side}_team"], "left")
+    return matches
+
+
 def rolling_means(matches: DataFrame, window: int = 5, stats: tuple[str, ...] = STATS) -> DataFrame:
     """Per league, team and date the means over the team's last ``window`` played matches of earlier days.
 
     A statistic's mean is over the matches that have it, 0 without any. Cards count as 0 where missing.
     """
-    view = team_view(matches, stats)
-    played = view.where("is_played")
-    # An unplayed fixture has its own row but is none of the matches looked back on.
+    # Days of play only; ``fixture_means`` has coming fixtures too.
+    played = team_view(matches, stats).where("is_played")
     names = [f"{s}_{d}" for s in (*stats, "cards") for d in ("for", "against")]
     last = Window.partitionBy(*KEYS).orderBy("date", "match_id").rowsBetween(-window, -1)
     if_played = _at_first_of_day(played, {n: F.coalesce(F.avg(n).over(last), F.lit(0.0)) for n in names} | {"n_recent": F.count(F.lit(1)).over(last)})

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.asof import before_each_day
+
 INITIAL = 1500.0
 #: Known teams from which on a new one enters by the lowest ratings, and how many of those.
 KNOWN, LOWEST = 5, 3
@@ -82,6 +84,14 @@ def momentum(matches: DataFrame, window: int = 4) -> DataFrame:
     return seen.where(first).select("league", "team", "date", F.coalesce((F.col("last") - F.col("old")) / 400.0, F.lit(0.0)).alias("momentum"))
 
 
+def momentum_asof(rated: DataFrame, window: int = 4) -> DataFrame:
+    """As ``momentum``, for every fixture, coming ones too, of ``rated``: matches with home_post and away_post."""
+    sides = [rated.select("league", "date", "match_id", F.col(f"{s}_team").alias("team"), F.col(f"{s}_post").alias("post"), F.col(f"{s}_post").isNotNull().alias("is_played")) for s in ("home", "away")]
+    gain = lambda own: (F.col("post") - F.lag("post", window - 1).over(own)) / 400.0
+    found = before_each_day(sides[0].unionByName(sides[1]), lambda own: {"momentum": gain(own)})
+    return found.select("league", "team", "date", F.coalesce("state.momentum", F.lit(0.0)).alias("momentum"))
+
+
 def iterative_strengths(matches: DataFrame, decay: float = 0.001, passes: int = 10) -> DataFrame:
     """Attack (from home games) and defence (from away games) of each team, adjusted to each other in turn: the
     home teams in the order of their first match, then those that only play away. A value stays where there is nothing

@@ -58,13 +58,36 @@ MORE_COLUMNS = (
     "case when match_id % 7 = 0 then null else cast(match_id * 73 % 300 as double) / 100 end as away_xpts",
 )
 
+#: What a context source has of a match, as expressions over ``matches``; three of four matches have a row.
+CONTEXT_COLUMNS = (
+    "case when match_id % 5 = 0 then null else cast(60 + match_id * 17 % 40 as double) / 100 end as home_lineup_strength",
+    "case when match_id % 6 = 0 then null else cast(55 + match_id * 19 % 45 as double) / 100 end as away_lineup_strength",
+    "cast(case match_id % 5 when 0 then null when 1 then 0 when 2 then 2 else 1 end as double) as lineup_available",
+    "case when match_id % 3 = 0 then null else cast(match_id * 7 % 5 as double) end as home_injury_count",
+    "case when match_id % 7 = 0 then null else cast(match_id * 11 % 4 as double) end as away_injury_count",
+    "case when match_id % 5 = 1 then null else cast(match_id * 13 % 3 as double) end as home_suspension_count",
+    "case when match_id % 3 = 0 then null else cast(match_id % 2 as double) end as away_suspension_count",
+    "case when match_id % 9 = 0 then cast(match_id % 6 as double) end as home_absence_count",
+    "case when match_id % 8 = 0 then cast(match_id % 5 as double) end as away_absence_count",
+    "case when match_id % 4 = 1 then cast(match_id % 3 as double) end as home_key_absence_count",
+    "case when match_id % 4 = 2 then cast(match_id % 2 as double) end as away_key_absence_count",
+    "case when match_id % 3 = 1 then cast(match_id * 3 % 90 as double) end as home_manager_days",
+    "case when match_id % 5 = 2 then cast(match_id * 5 % 120 as double) end as away_manager_days",
+    "case when match_id % 6 = 1 then null else cast(match_id * 23 % 45 - 8 as double) end as temperature_c",
+    "case when match_id % 6 = 1 then null else cast(match_id * 29 % 70 as double) end as wind_kph",
+    "case when match_id % 6 = 1 then null else cast(match_id * 31 % 200 as double) / 10 end as precipitation_mm",
+    "case when match_id % 10 < 3 then cast(match_id * 41 % 100 as double) / 100 end as home_absence_strength_loss",
+    "case when match_id % 10 < 2 then cast(match_id * 43 % 100 as double) / 100 end as away_absence_strength_loss",
+)
+CONTEXT_ROWS = "match_id % 4 <> 3"
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 
 def with_matches(body: str) -> str:
     """A SQL text in which ``matches`` is defined; ``body`` may begin with further common table expressions
     (``, name as (...) select ...``) or with select."""
-    return f"with {MATCHES_CTE}\n{body}"
+    return f"with recursive {MATCHES_CTE}\n{body}"
 
 
 def read_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
