@@ -168,6 +168,12 @@ def league_snapshot(matches: DataFrame) -> DataFrame:
     return view.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_matches"), F.max("date").alias("last_date"), F.sum("points").alias("points"), F.sum("goals_for").alias("goals_for"), F.sum("goals_against").alias("goals_against"), F.max_by("opponent", last).alias("last_opponent"))
 
 
+def league_teams(matches: DataFrame, since: str, least: int = 6) -> DataFrame:
+    """Per league the sorted clubs that play from the day ``since`` on; leagues of fewer than ``least`` are left out."""
+    sides = matches.where(F.col("date") >= F.lit(since).cast("date")).select("league", F.explode(F.array("home_team", "away_team")).alias("team"))
+    return sides.groupBy("league").agg(F.array_sort(F.collect_set("team")).alias("teams")).where(F.size("teams") >= least)
+
+
 def strengths(matches: DataFrame, eps: float = 1e-6) -> DataFrame:
     """Attack and defence of each team: goals a match over the league's mean."""
     view = team_view(matches).where("is_played")

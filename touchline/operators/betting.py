@@ -147,6 +147,23 @@ def chrono_fold(rows: DataFrame, folds: int = 2, by: tuple[str, ...] = ()) -> Da
     return numbered.withColumn("fold", (fold + 1).cast("int")).drop("__start", "__all", "__at")
 
 
+def half_split(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``half``: early for the first floor(n / 2) in the order of date and match_id, else late."""
+    by_day = rows.groupBy("date").agg(F.count(F.lit(1)).alias("__dn"))
+    before = F.coalesce(F.sum("__dn").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = by_day.select("date", before.alias("__start"), F.sum("__dn").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))  # a row a day
+    at = F.col("__start") + F.row_number().over(Window.partitionBy("date").orderBy("match_id"))
+    early = at <= F.floor(F.col("__all") / 2)
+    return rows.join(starts, "date").withColumn("half", F.when(early, "early").otherwise("late")).drop("__start", "__all")
+
+
+def backtest_windows(matches: DataFrame, windows: dict[str, tuple[str, str]], played: str) -> DataFrame:
+    """How many matches, and how many played, each window of days has; both ends count."""
+    within = F.filter(F.array(*[F.struct(F.lit(n).alias("period"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for n, (a, b) in windows.items()]), lambda w: (F.col("date") >= w["a"]) & (F.col("date") <= w["b"]))
+    counted = matches.select(F.explode(within).alias("w"), F.expr(played).alias("played")).groupBy("w.period").agg(F.count(F.lit(1)).alias("n"), F.count_if("played").alias("n_played"))
+    return counted.select("period", "n", "n_played")
+
+
 #: The cell taken when none passes: edge 0.05, any probability, all odds.
 FALLBACK = EDGES.index(0.05) * len(LEAST_PROBS) * len(ODDS_BANDS)
 

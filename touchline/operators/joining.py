@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +88,41 @@ def missing_sides(matches: DataFrame, locations: DataFrame) -> DataFrame:
     """Distinct home teams without a location that has both coordinates."""
     placed = locations.where(finite("latitude").isNotNull() & finite("longitude").isNotNull()).select("league", "team")
     return matches.select("league", F.col("home_team").alias("team")).distinct().join(placed, ["league", "team"], "left_anti")
+
+
+def team_name_bridge(names: DataFrame, key: Column, order: str) -> DataFrame:
+    """The first name of each join key in the order of ``order``: key, name."""
+    return names.withColumn("key", key).where("key <> ''").groupBy("key").agg(F.min_by("name", order).alias("name"))
+
+
+def fuzzy_pairs(local: DataFrame, theirs: DataFrame, keys: list[str], least: float = 0.72) -> DataFrame:
+    """``local`` (id, names) with the most similar row of ``theirs`` that has equal ``keys``: id, other_id, score.
+
+    The score is the mean of the two sides' similarities; of equal ones the smaller other_id, and none below ``least``.
+    Both have id, home, away. Rows meet within a key only, such as a league's day.
+    """
+    other = theirs.select(*keys, F.col("id").alias("other_id"), F.col("home").alias("__h"), F.col("away").alias("__a"))
+    scored = local.join(other, keys).select("id", "other_id", ((similarity("home", "__h") + similarity("away", "__a")) / 2).alias("score"))
+    best = scored.groupBy("id").agg(F.max_by(F.struct("other_id", "score"), F.struct("score", -F.col("other_id"))).alias("b"))
+    return best.select("id", "b.*").where(F.col("score") >= least)
+
+
+@F.pandas_udf("double")
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp ratio of two texts, which no built-in function gives; 0 where one is missing or empty."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
+
+
+def active_entries(registry: DataFrame, as_of: str, keys: list[str]) -> DataFrame:
+    """Entries in force on the day ``as_of``, one of each of ``keys``: the last by name."""
+    day = F.lit(as_of).cast("date")
+    inside = (F.col("date_from").isNull() | (F.col("date_from") <= day)) & (F.col("date_to").isNull() | (F.col("date_to") >= day))
+    return keep_first(registry.where(inside), keys, "name", "date_from", last=True)
+
+
+def unmatched_teams(matches: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Per league the sorted set of clubs with a match between the first and last date found that was not found."""
+    span = found.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    inside = matches.crossJoin(F.broadcast(span)).where(F.col("date").between(F.col("lo"), F.col("hi")))  # one row
+    teams = inside.join(found.select(*keys), keys, "left_anti").select("league", F.explode(F.array("home_team", "away_team")).alias("team"))
+    return teams.groupBy("league").agg(F.array_sort(F.collect_set("team")).alias("teams"))
