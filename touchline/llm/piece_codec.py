@@ -279,6 +279,20 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS_AT_ONCE)
 
 
+def _encoded(own: PieceCodec, texts: pa.Array) -> pa.ListArray:
+    packed = [own.encode_packed(t) for t in texts.to_pylist()]
+    offsets = [0]
+    for p in packed:
+        offsets.append(offsets[-1] + len(p) // 4)
+    values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _decoded(own: PieceCodec, lists: pa.ListArray) -> pa.StringArray:
+    # One text's ids at a time: as Python objects they take ten times their room.
+    return pa.array([own.decode(ids.values.to_numpy().tolist()) for ids in lists], pa.string())
+
+
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ids (array of int), as the sentencepiece library encodes the text
     without begin or end ids.
@@ -292,12 +306,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in _small(batches):
-            packed = [own.encode_packed(t) for t in batch.column(1).to_pylist()]
-            offsets = [0]
-            for p in packed:
-                offsets.append(offsets[-1] + len(p) // 4)
-            values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], [id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _encoded(own, batch.column(1))], [id_col, "ids"])
 
     kind = dict(rows.dtypes)[id_col]
     return rows.mapInArrow(encoded, f"`{id_col}` {kind}, ids array<int>")
@@ -311,9 +320,21 @@ def decode_documents(encoded: DataFrame, model_file: str, id_col: str = "doc_id"
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in _small(batches):
-            # One text's ids at a time: as Python objects they take ten times their room.
-            texts = [own.decode(ids.values.to_numpy().tolist()) for ids in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _decoded(own, batch.column(1))], [id_col, "ids", "text"])
 
     kind = dict(rows.dtypes)[id_col]
     return rows.mapInArrow(decoded, f"`{id_col}` {kind}, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``decode_documents`` of ``encode_documents``, in one pass of one worker a task."""
+    rows = docs.select(F.col(id_col).alias(id_col), text_of(text_col).alias("__text"))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model_file)
+        for batch in _small(batches):
+            ids = _encoded(own, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, _decoded(own, ids)], [id_col, "ids", "text"])
+
+    kind = dict(rows.dtypes)[id_col]
+    return rows.mapInArrow(both, f"`{id_col}` {kind}, ids array<int>, text string")

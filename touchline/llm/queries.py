@@ -46,9 +46,7 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str, model_file: str | None = N
         import public_tokenizers
 
         model_file = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = piece_codec.encode_documents(_table(spark, sf_dir, "documents"), model_file)
-    decoded = piece_codec.decode_documents(encoded, model_file)
-    return decoded.select(
+    return piece_codec.round_trip(_table(spark, sf_dir, "documents"), model_file).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +59,14 @@ def _counted(rows: DataFrame, vectorizer: CountVectorizerModel) -> DataFrame:
     return Normalizer(p=1.0, inputCol="__counts", outputCol="words").transform(vectorizer.transform(rows)).drop("__counts")
 
 
+def _vocabulary(rows: DataFrame) -> CountVectorizerModel:
+    """The ``VOCABULARY`` tokens that most of ``rows`` have, of those that ``LEAST_SHARE`` of them have."""
+    held = rows.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    known = held.where(F.col("n") >= LEAST_SHARE * rows.count()).orderBy(F.desc("n"), "token").limit(VOCABULARY)
+    # A model needs one token at least; an empty one is never met.
+    return CountVectorizerModel.from_vocabulary([r.token for r in known.collect()] or [""], "tokens", "__counts")
+
+
 def _fit(rows: DataFrame, category: str) -> LogisticRegressionModel | float:
     """A model of ``category`` over ``features``; its only value where there is but one, 0 without rows."""
     values = [r[0] for r in rows.select(category).distinct().limit(2).collect()]
@@ -98,7 +106,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     if rows.isEmpty():
         chain.models = [0.0 for _ in categories]
         return chain
-    chain.vectorizer = CountVectorizer(inputCol="tokens", outputCol="__counts", vocabSize=VOCABULARY, minDF=LEAST_SHARE).fit(rows)
+    chain.vectorizer = _vocabulary(rows)
     rows = stored(_counted(rows, chain.vectorizer).withColumn("fold", F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(folds))).select("words", "fold", *categories).coalesce(PARTS), "labelled-words")
     before: list[str] = []
     for category in categories:
