@@ -39,7 +39,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, with digests of them and of the text they decode to."""
     model_file = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = piece_codec.decode_documents(piece_codec.encode_documents(docs, model_file), model_file)
+    decoded = piece_codec.round_trip(docs, model_file)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
