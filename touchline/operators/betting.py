@@ -36,7 +36,8 @@ def ledger(rows: DataFrame, probs: Triplet, odds: Triplet, opening: Triplet, clo
     named = rows.where(o[0].isNotNull() & o[1].isNotNull() & o[2].isNotNull() & F.col("y").isNotNull())
     # The greatest of three structs: most value, of equal ones the first outcome; its fields are read once.
     each = [F.struct((p * x - 1.0).alias("ev"), F.lit(-k).alias("order"), x.alias("odds"), p.alias("prob"), finite(a).alias("open"), finite(b).alias("close")) for k, (p, x, a, b) in enumerate(zip(probs, o, opening, closing))]
-    named = named.withColumn("__bet", F.greatest(*each))
+    # Generated, so that no filter below is pushed to where the struct would be made again for each of its fields.
+    named = named.select("*", F.explode(F.array(F.greatest(*each))).alias("__bet"))
     bet = lambda field: F.col(f"__bet.{field}")
     named = named.withColumn("stake", F.least(bet("ev") / (bet("odds") - 1.0) * fraction, F.lit(max_stake)))
     named = named.where((bet("odds") <= max_odds) & (bet("ev") <= max_ev) & (bet("ev") > edge) & (F.col("stake") >= min_stake))

@@ -21,7 +21,7 @@ def poisson(k: int | Column, mean: Column) -> Column:
     return F.when(mean <= 0, (k == 0).cast("double")).otherwise(F.exp(-mean) * F.pow(mean, k.cast("double")) / F.factorial(k.cast("int")))
 
 
-def low_score_factor(h: Column, a: Column, home: Column, away: Column, rho: float) -> Column:
+def low_score_factor(h: Column, a: Column, home: Column, away: Column, rho: float | Column) -> Column:
     """The factor of a score among 0-0, 1-0, 0-1 and 1-1, else 1. ``rho`` is held where no factor is negative."""
     most = F.least((1 - 1e-6) / F.greatest(home * away, F.lit(1e-12)), F.lit(1 - 1e-6))
     r = F.greatest(F.least(F.lit(rho), most), -most)
@@ -54,7 +54,7 @@ def _total():
     return F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["p"])
 
 
-def outcome_probs(rates: DataFrame, rho: float = 0.0, most: int = MAX_GOALS) -> DataFrame:
+def outcome_probs(rates: DataFrame, rho: float | Column = 0.0, most: int = MAX_GOALS) -> DataFrame:
     """``rates`` with p_home, p_draw, p_away.
 
     Home wins are the sum of home goals' probabilities times those of fewer away goals; only the four low scores
@@ -65,7 +65,7 @@ def outcome_probs(rates: DataFrame, rho: float = 0.0, most: int = MAX_GOALS) ->
     sided = rates.withColumns({f"__{s}{k}": poisson(k, rate) for s, rate in (("h", home), ("a", away)) for k in range(most + 1)})
     total = lambda terms: reduce(lambda x, y: x + y, terms)
     sums = {"__win": total([h[k] * total(a[:k]) for k in range(1, most + 1)]), "__draw": total([x * y for x, y in zip(h, a)]), "__loss": total([a[k] * total(h[:k]) for k in range(1, most + 1)])}
-    if rho:
+    if isinstance(rho, Column) or rho:
         moved = lambda i, j: F.greatest(F.lit(0.0), h[i] * a[j] * low_score_factor(F.lit(i), F.lit(j), home, away, rho)) - h[i] * a[j]
         sums = {"__win": sums["__win"] + moved(1, 0), "__draw": sums["__draw"] + moved(0, 0) + moved(1, 1), "__loss": sums["__loss"] + moved(0, 1)}
     summed = sided.select(*rates.columns, *[c.alias(n) for n, c in sums.items()])

@@ -47,30 +47,45 @@ def elo(matches: DataFrame, k: float = 50.0, home_adv: float = 80.0, by_day: boo
     """
     played = matches.where("true" if unplayed else "home_goals is not null and away_goals is not null").select("league", "date", "match_id", "home_team", "away_team", "home_goals", "away_goals")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["date", "match_id"])
-        ratings: dict = {}
-        out = []
-        for _, day in rows.groupby("date", sort=True):
-            before = dict(ratings)
-            for m in day.itertuples(index=False):
-                seen = before if by_day else ratings
-                entry = _entry(seen)
-                home, away = seen.get(m.home_team, entry), seen.get(m.away_team, entry)
-                if math.isnan(m.home_goals) or math.isnan(m.away_goals):
-                    out.append((m.league, m.date, m.match_id, home, away, None, None))
-                    continue
-                enter = _entry(ratings)
-                for team in (m.home_team, m.away_team):
-                    if team not in ratings:
-                        ratings[team] = enter
-                _update(ratings, m.home_team, m.away_team, m.home_goals, m.away_goals, k, home_adv)
-                out.append((m.league, m.date, m.match_id, home, away, ratings[m.home_team], ratings[m.away_team]))
-        return pd.DataFrame(out, columns=["league", "date", "match_id", "home_elo", "away_elo", "home_post", "away_post"])
-
     kinds = dict(played.dtypes)
     schema = f"league {kinds['league']}, date date, match_id {kinds['match_id']}, home_elo double, away_elo double, home_post double, away_post double"
-    return played.groupBy("league").applyInPandas(fold, schema)
+    return played.groupBy("league").applyInPandas(lambda rows: _folded(rows, k, home_adv, by_day), schema)
+
+
+def _folded(rows: pd.DataFrame, k: float, home_adv: float, by_day: bool) -> pd.DataFrame:
+    rows = rows.sort_values(["date", "match_id"])
+    ratings: dict = {}
+    out = []
+    for _, day in rows.groupby("date", sort=True):
+        before = dict(ratings)
+        for m in day.itertuples(index=False):
+            seen = before if by_day else ratings
+            entry = _entry(seen)
+            home, away = seen.get(m.home_team, entry), seen.get(m.away_team, entry)
+            if math.isnan(m.home_goals) or math.isnan(m.away_goals):
+                out.append((m.league, m.date, m.match_id, home, away, None, None))
+                continue
+            enter = _entry(ratings)
+            for team in (m.home_team, m.away_team):
+                if team not in ratings:
+                    ratings[team] = enter
+            _update(ratings, m.home_team, m.away_team, m.home_goals, m.away_goals, k, home_adv)
+            out.append((m.league, m.date, m.match_id, home, away, ratings[m.home_team], ratings[m.away_team]))
+    return pd.DataFrame(out, columns=["league", "date", "match_id", "home_elo", "away_elo", "home_post", "away_post"])
+
+
+def elo_grid(matches: DataFrame, gains: tuple[float, ...], advantages: tuple[float, ...]) -> DataFrame:
+    """Differences of ratings before each played match for each gain and home advantage: match_id, k, home_adv, diff.
+    A league and a pair of parameters is one group."""
+    cells = F.array(*[F.struct(F.lit(float(k)).alias("k"), F.lit(float(a)).alias("home_adv")) for k in gains for a in advantages])
+    played = matches.where("home_goals is not null and away_goals is not null").select("league", "date", "match_id", "home_team", "away_team", "home_goals", "away_goals", F.explode(cells).alias("c")).select("*", "c.*").drop("c")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        k, home_adv = float(rows.k.iloc[0]), float(rows.home_adv.iloc[0])
+        out = _folded(rows, k, home_adv, True)
+        return pd.DataFrame({"match_id": out.match_id, "k": k, "home_adv": home_adv, "diff": out.home_elo - out.away_elo})
+
+    return played.groupBy("league", "k", "home_adv").applyInPandas(fold, f"match_id {dict(played.dtypes)['match_id']}, k double, home_adv double, diff double")
 
 
 def momentum(matches: DataFrame, window: int = 4) -> DataFrame:
