@@ -168,6 +168,12 @@ def league_snapshot(matches: DataFrame) -> DataFrame:
     return view.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_matches"), F.max("date").alias("last_date"), F.sum("points").alias("points"), F.sum("goals_for").alias("goals_for"), F.sum("goals_against").alias("goals_against"), F.max_by("opponent", last).alias("last_opponent"))
 
 
+def flatten_history(held: DataFrame) -> DataFrame:
+    """From teams with a JSON array of their matches, ``history``: match_id, team, side, xg, points."""
+    each = F.from_json("history", "array<struct<match_id:bigint,h_a:string,xG:double,pts:int>>")
+    return held.select("team", F.explode(each).alias("e")).select("e.match_id", "team", F.col("e.h_a").alias("side"), F.col("e.xG").alias("xg"), F.col("e.pts").alias("points"))
+
+
 def league_teams(matches: DataFrame, since: str, least: int = 6) -> DataFrame:
     """Per league the sorted clubs that play from the day ``since`` on; leagues of fewer than ``least`` are left out."""
     sides = matches.where(F.col("date") >= F.lit(since).cast("date")).select("league", F.explode(F.array("home_team", "away_team")).alias("team"))
