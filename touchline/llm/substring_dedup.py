@@ -35,8 +35,8 @@ from touchline.llm.words import chunks, mixed, powers, word_hashes
 WINDOW = 20
 #: Rounds of pairs, and how many neighbouring symbols are an anchor.
 ROUNDS, SYMBOLS = 2, 3
-#: Most keys that may be broadcast: 32 MB at most.
-BROADCAST_KEYS = 2_000_000
+#: Most keys that may be broadcast, some 30 MB; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 #: Bases of the two halves of a 128-bit hash.
 _BASES = 0x9FB21C651E98DF25, 0xA0761D6478BD642F
 _PAIR_A, _PAIR_B, _RUN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
