@@ -215,3 +215,19 @@ def test_toxicity(spark):
     held_out = [r for r in out if 300 <= r.doc_id < 900]
     assert len(out) == 402 and sum(r.is_toxic == (r.doc_id % 4 == 0) for r in held_out) >= 0.95 * len(held_out)
     assert toxicity.score(docs.limit(0), toxicity.document_chain(docs, labels.limit(0))).count() == 0
+
+
+def test_chain_learns_from_unseen_probabilities(spark, monkeypatch):
+    """A "model" that says which folds it was fitted on: each row's probability must come from the other folds."""
+    fitted = []
+
+    def fit(rows, category):
+        fitted.append(rows)
+        return float(sum(r.fold for r in rows.select("fold").distinct().collect()))
+
+    monkeypatch.setattr(toxicity, "_fit", fit)
+    docs = spark.createDataFrame([(i, f"calm green river {i}") for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    toxicity.document_chain(docs, labels)
+    last = fitted[-1].select("fold", "p_low_quality").distinct().collect()
+    assert {(r.fold, r.p_low_quality) for r in last} == {(k, 3.0 - k) for k in range(3)}

@@ -5,7 +5,8 @@ one bucket and doubles whenever a bucket holds more keys than its capacity, so t
 whatever the hashes look like. Equal texts meet inside their bucket, where Spark's aggregation compares
 whole byte strings: texts whose hashes collide form a chain of several index entries under one key. The
 finished entries are written to the shared folder in order of their keys, one range of buckets per owner
-task, and every document then looks up its entry.
+task. Every document then finds the bucket of its key in the directory and looks there for its entry, among
+those with its key for the one with its text.
 
 Everything is DataFrame expressions. Copies collapse in the map-side part of the aggregation, so one text
 that holds a third of all rows costs no more in the shuffle than any other.
@@ -57,7 +58,7 @@ def _leading(h: Column, bits: int) -> Column:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY) -> tuple[DataFrame, DataFrame]:
     """Index of the texts of ``docs``.
 
-    Returns (entries, index). ``entries`` has a row per document: id, key (the 64-bit hash), text_sha256.
+    Returns (entries, index). ``entries`` has a row per document: id, bucket, key (the 64-bit hash), text_sha256.
     ``index`` has a row per different text: bucket, key, text_sha256, keep_id (the largest id), group_size.
     A null text counts as empty. The directory has at most 2^16 slots; beyond 2^16 x capacity keys the
     buckets grow instead, which Spark's aggregation spills.
@@ -77,7 +78,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = min(max(1, len(set(slots))), shuffle_partitions(spark))
     owner = F.floor(F.col("bucket") * owners / F.lit(1 << depth)).cast("int")
     index = stored(per_text.repartition(owners, owner).sortWithinPartitions("bucket", "key"), "exact-index")
-    entries = rows.select("id", "key", F.sha2("text", 256).alias("text_sha256"))
+    entries = rows.select("id", bucket.alias("bucket"), "key", F.sha2("text", 256).alias("text_sha256"))
     return entries, index
 
 
@@ -90,8 +91,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives an empty result; other columns of ``docs`` are ignored.
     """
     entries, index = build_index(docs, id_col, text_col, capacity)
-    groups = index.where("group_size > 1").select(F.col("key").alias("k"), F.col("text_sha256").alias("s"), "keep_id", "group_size")
-    found = entries.join(groups, (F.col("key") == F.col("k")) & (F.col("text_sha256") == F.col("s")), "left")
+    groups = index.where("group_size > 1").select(F.col("bucket").alias("b"), F.col("key").alias("k"), F.col("text_sha256").alias("s"), "keep_id", "group_size")
+    found = entries.join(groups, (F.col("bucket") == F.col("b")) & (F.col("key") == F.col("k")) & (F.col("text_sha256") == F.col("s")), "left")
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("id")).otherwise(F.col("keep_id"))
     return found.select(
@@ -103,10 +104,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text is also that of a row with a larger id; all columns stay."""
-    gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(text_of(text_col), 256) == F.col("__sha"))
+    i, h = _unused(docs, "__id"), _unused(docs, "__sha")
+    gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias(i), F.col("text_sha256").alias(h)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.sha2(text_of(text_col), 256) == F.col(h))
     return docs.join(gone, same, "left_anti")
 
 
@@ -117,9 +126,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Only rows whose text is given more than once are shuffled. Copies collapse in the map-side part of the
     aggregation.
     """
-    keyed = docs.withColumn("__sha", F.sha2(text_of(text_col), 256))
-    again = keyed.groupBy("__sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__sha")
+    h, n, whole = _unused(docs, "__sha"), _unused(docs, "__n"), _unused(docs, "__row")
+    keyed = docs.withColumn(h, F.sha2(text_of(text_col), 256))
+    again = keyed.groupBy(h).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(h)
     again = stored(again, "repeated-texts")
-    largest = F.max(F.struct(id_col, *[c for c in docs.columns if c not in (id_col, text_col)], text_col)).alias("__row")
-    chosen = keyed.join(again, "__sha", "left_semi").groupBy("__sha").agg(largest).select("__row.*").select(*docs.columns)
-    return keyed.join(again, "__sha", "left_anti").select(*docs.columns).unionByName(chosen)
+    largest = F.max(F.struct(id_col, *[c for c in docs.columns if c not in (id_col, text_col)], text_col)).alias(whole)
+    chosen = keyed.join(again, h, "left_semi").groupBy(h).agg(largest).select(f"{whole}.*").select(*docs.columns)
+    return keyed.join(again, h, "left_anti").select(*docs.columns).unionByName(chosen)

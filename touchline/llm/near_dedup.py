@@ -170,5 +170,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without the rows that are not kept; all columns stay. Ids are taken to be unique."""
-    gone = near_duplicates(docs, id_col, text_col, shingle).where("not kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    other = "__id"
+    while other in docs.columns:
+        other += "_"
+    gone = near_duplicates(docs, id_col, text_col, shingle).where("not kept").select(F.col(id_col).alias(other)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(other), "left_anti")

@@ -124,21 +124,24 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: floa
     """``docs`` with p_<category> for each category (double, 0 to 1) and ``is_toxic`` (boolean: the last
     category's probability reaches ``threshold``). Columns of these names are replaced.
 
-    Null counts as empty; a text without known words gets what the models' constants say. Rows are
-    independent of each other; an empty table gives an empty result.
+    Null counts as empty. A text without known tokens is not toxic, whatever the models' constants say, as nothing
+    tells. Rows are independent of each other; an empty table gives an empty result.
     """
     names = [f"p_{c}" for c in chain.categories]
     kept = [c for c in docs.columns if c not in (*names, "is_toxic")]
     rows = docs.select(F.struct(*kept).alias("__row"), text_of(text_col).alias("text"))
+    known = F.lit(True)
     if chain.vectorizer is not None:
         rows = _counted(_tokens(rows), chain.vectorizer)
+        # The most frequent tokens come first, so this ends early.
+        known = F.exists(vector_to_array("words"), lambda share: share > 0)
     before: list[str] = []
     for category, model in zip(chain.categories, chain.models):
         if not isinstance(model, float):
             rows = _with_features(rows.drop("features"), before)
         rows = _predicted(rows, model, f"p_{category}")
         before.append(f"p_{category}")
-    return rows.select("__row.*", *names, (F.col(names[-1]) >= threshold).alias("is_toxic"))
+    return rows.select("__row.*", *names, ((F.col(names[-1]) >= threshold) & known).alias("is_toxic"))
 
 
 def document_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Chain:
