@@ -107,10 +107,14 @@ def fuzzy_pairs(local: DataFrame, theirs: DataFrame, keys: list[str], least: flo
     return best.select("id", "b.*").where(F.col("score") >= least)
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def similarity(a: Column | str, b: Column | str) -> Column:
     """Ratcliff-Obershelp ratio of two texts, which no built-in function gives; 0 where one is missing or empty."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
+
+    @F.pandas_udf("double")
+    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, s, t).ratio() if s and t else 0.0 for s, t in zip(x, y)], dtype="float64")
+
+    return ratios(a, b)
 
 
 def active_entries(registry: DataFrame, as_of: str, keys: list[str]) -> DataFrame:
