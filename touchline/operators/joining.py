@@ -130,3 +130,16 @@ def unmatched_teams(matches: DataFrame, found: DataFrame, keys: list[str]) -> Da
     inside = matches.crossJoin(F.broadcast(span)).where(F.col("date").between(F.col("lo"), F.col("hi")))  # one row
     teams = inside.join(found.select(*keys), keys, "left_anti").select("league", F.explode(F.array("home_team", "away_team")).alias("team"))
     return teams.groupBy("league").agg(F.array_sort(F.collect_set("team")).alias("teams"))
+
+
+def provider_rows(raw: DataFrame, date: Column, home: Column, away: Column, numbers: dict[str, Column]) -> DataFrame:
+    """A provider's match rows in the layout of matches: date, keys of both clubs, numbers; of one date and pair of clubs the
+    first in the order of ``place``, rows without a date or a club left out."""
+    rows = raw.select(date.alias("date"), home.alias("home_key"), away.alias("away_key"), *[c.alias(n) for n, c in numbers.items()], "place")
+    return keep_first(rows.where("date is not null and home_key <> '' and away_key <> ''"), ["date", "home_key", "away_key"], "place").drop("place")
+
+
+def collected(matches: DataFrame, since: str, until: str, keys: list[str], order: str) -> DataFrame:
+    """Matches of the days ``since`` to ``until``, of repeated keys the last."""
+    inside = F.col("date").between(F.lit(since).cast("date"), F.lit(until).cast("date"))
+    return keep_first(matches.where(inside), keys, order, last=True)

@@ -133,3 +133,15 @@ def league_strategy(rows: DataFrame, models: dict[str, Triplet], market: Triplet
     passing = totals.join(losses, ["league", "model"]).where((F.col("gap") <= most_gap) & (F.col("bets") >= least_bets) & (F.col("good") == 2) & (F.col("roi") > 0))
     best = passing.groupBy("league").agg(F.max_by(F.struct("model", "bets", "profit", "roi"), F.struct("roi", "profit", "bets", "model")).alias("b")).select("league", "b.*")
     return rows.select("league").distinct().join(best, "league", "left").select("league", F.coalesce("model", F.lit("market")).alias("model"), F.coalesce("bets", F.lit(0)).cast("long").alias("bets"), F.coalesce("profit", F.lit(0.0)).alias("profit"), F.coalesce("roi", F.lit(0.0)).alias("roi"))
+
+
+def strategies(bets: DataFrame, edges: dict[str, float]) -> DataFrame:
+    """Totals of the bets whose value is above each strategy's edge: strategy, and the totals."""
+    taken = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(e).alias("edge")) for n, e in edges.items()]), lambda s: F.col("ev") > s["edge"])
+    return bets.withColumn("s", F.explode(taken)).groupBy(F.col("s.name").alias("strategy")).agg(*summary_columns())
+
+
+def report_rows(summary: DataFrame, order: list[str], number: str, digits: int = 3) -> DataFrame:
+    """Rows of the models named in ``order``, in that order: place, model, and ``number`` as text."""
+    place = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("model"))
+    return summary.withColumn("place", place).where("place > 0").select("place", "model", F.format_string(f"%.{digits}f", number).alias("value"))

@@ -167,3 +167,14 @@ def date_scalars(m):
     text = F.expr("case match_id % 5 when 0 then date_format(date, 'dd/MM/yy') when 1 then date_format(date, 'dd/MM/yyyy') when 2 then date_format(date, 'yyyy-MM-dd') when 3 then date_format(date, 'd-M-yyyy') else 'no date' end")
     hour = F.expr("case match_id % 4 when 0 then '20:45' when 1 then ' 9' when 2 then null else '77:10' end")
     return m.select("match_id", parse_date(F.when(F.col("date") >= "2000-01-01", text).otherwise(F.expr("case when match_id % 5 = 4 then 'no date' when match_id % 5 = 2 then date_format(date, 'yyyy-MM-dd') when match_id % 5 = 3 then date_format(date, 'd-M-yyyy') else date_format(date, 'dd/MM/yyyy') end"))).alias("parsed"), kickoff_hour(hour).alias("hour"))
+
+
+@query("select date, 'club ' || home_team as home_key, 'club ' || away_team as away_key, home_xg from (select *, row_number() over (partition by date, home_team, away_team order by match_id) as n from matches where match_id % 9 <> 0 and home_xg is not null) where n = 1")
+def xg_match_rows(m):
+    raw = m.where("home_xg is not null").select(F.when(F.col("match_id") % 9 != 0, F.date_format("date", "yyyy-MM-dd HH:mm:ss")).alias("datetime"), F.concat(F.lit("FC Club "), "home_team").alias("h"), F.concat(F.lit("Club-"), "away_team").alias("a"), F.col("home_xg").cast("string").alias("xG"), F.col("match_id").alias("place"))
+    return joining.provider_rows(raw, parse_date("datetime"), join_key("h"), join_key("a"), {"home_xg": F.col("xG").try_cast("double")})
+
+
+@query("select match_id, league from (select *, row_number() over (partition by league, home_team, away_team order by match_id desc) as n from matches where date between date '1995-07-01' and date '1996-06-30') where n = 1")
+def collected_matches(m):
+    return joining.collected(m, "1995-07-01", "1996-06-30", ["league", "home_team", "away_team"], "match_id").select("match_id", "league")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from touchline.functions import odds as O  # noqa: N812
 from touchline.functions.context import SIDES, context_features, fill_context, weather_severity
 from touchline.operators import asof, prematch, ratings
-from touchline.plans.queries import CELLS, HIST_ALL, MEANS, ORACLES, RATES, RATES_ASOF, TODAY, VIEW, query, r6
+from touchline.plans.queries import CELLS, HIST_ALL, MEANS, ORACLES, RATES, RATES_ASOF, TODAY, VALIDATION, VIEW, query, r6
 from touchline.sources.fixture_sql import CONTEXT_COLUMNS, CONTEXT_ROWS, MORE_COLUMNS, with_matches
 
 CONTEXT = f", ctx as (select match_id, {', '.join(CONTEXT_COLUMNS)} from matches where {CONTEXT_ROWS})"
@@ -123,6 +123,12 @@ ORACLES["elo_day_frozen"] = with_matches(elo_sql(50.0, 80.0, True) + "select mat
 ORACLES["elo_sequential"] = with_matches(elo_sql(40.0, 60.0, False) + "select match_id, round(home_elo, 6) as home_elo, round(away_elo, 6) as away_elo from rated where home_post is not null")
 
 
+@query(elo_sql(50.0, 80.0, True) + f"select match_id, date, round(home_elo, 6) as home_elo, round(away_elo, 6) as away_elo from rated join matches using (match_id) where home_post is not null and {VALIDATION}")
+def validation_rows_with_elo(m):
+    """Ratings run over all matches in order; only the validation season's rows are kept."""
+    return r6(ratings.elo(m, 50.0, 80.0).where(VALIDATION).select("match_id", "date", "home_elo", "away_elo"))
+
+
 MOMENTUM = """, posts as (select m.league, m.date, m.match_id, m.home_team as team, home_post as post from matches m join rated using (match_id) union all select m.league, m.date, m.match_id, m.away_team, away_post from matches m join rated using (match_id)),
  gains as (select league, team, date, match_id, (post - lag(post, 3) over (partition by league, team order by date, match_id)) / 400 as gain from posts where post is not null),
  mdays as (select distinct league, team, date from posts),

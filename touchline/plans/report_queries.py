@@ -192,3 +192,15 @@ def blend_fixed(m):
 @query(SCORED + ", t as (select match_id, pow(ph, 1 / 1.5) as a, pow(pd, 1 / 1.5) as b, pow(pa, 1 / 1.5) as c from s) select match_id, round(a / (a + b + c), 6) as p_home, round(b / (a + b + c), 6) as p_draw, round(c / (a + b + c), 6) as p_away from t")
 def temperature_scaled(m):
     return r6(_priced(m).select("match_id", *[p.alias(f"p_{leg}") for p, leg in zip(O.temperature(_probs(), 1.5), O.LEGS)]))
+
+
+@query(BETS + f", e as (select unnest(['careful', 'usual', 'bold']) as strategy, unnest([0.2, 0.1, 0.05])::double as edge) select strategy, {TOTALS} from bets join e on ev > edge group by strategy")
+def strategy_comparison(m):
+    return reports.strategies(_bets(m), {"careful": 0.2, "usual": 0.1, "bold": 0.05})
+
+
+@query(SCORED + f", q as (select avg(-ln(py)) as market, avg(-ln({_FLAT_Y})) as flat from s) select 1::bigint as place, 'market' as model, printf('%.3f', market) as value from q union all select 2::bigint, 'flat', printf('%.3f', flat) from q")
+def report_rows(m):
+    rows = reports.by_model(_priced(m), {"flat": _flat(), "market": _probs(), "other": _flat()})
+    losses = rows.groupBy("model").agg(metrics.log_loss([F.col(f"p_{leg}") for leg in O.LEGS]).alias("log_loss"))
+    return reports.report_rows(losses, ["market", "flat"], "log_loss")
