@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup, fingerprint, line_dedup, mixing, near_dedup, page_text, piece_codec, substring_dedup, toxicity, warc_zip
+from touchline.llm import exact_dedup, fingerprint, kd_shards, line_dedup, merkle, mixing, near_dedup, page_text, piece_codec, substring_dedup, token_align, toxicity, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,26 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_shards.assign_shards(_table(spark, sf_dir, "documents"), shards=24)
+    return out.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    suspect = F.when(tampered, merkle.leaf_hash(n_chars=F.col("n_chars") + 1))
+    return merkle.prove(_table(spark, sf_dir, "documents"), suspect, with_way=False)
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str, a_file: str | None = None, b_file: str | None = None) -> DataFrame:
+    """``a_file`` is a byte-level BPE, ``b_file`` a SentencePiece model; by default the installed public ones."""
+    if a_file is None or b_file is None:
+        import public_tokenizers
+
+        a_file, b_file = a_file or public_tokenizers.path("byte_bpe_50k.json"), b_file or public_tokenizers.path("piece_bpe_32k.model")
+    return token_align.alignment_report(_table(spark, sf_dir, "documents"), a_file, b_file)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -86,6 +106,9 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_kd_shards": op11_kd_shards,
+    "op12_merkle": op12_merkle,
+    "op13_token_align": op13_token_align,
 }
 
 ORACLES: dict[str, str] = {
@@ -110,6 +133,47 @@ from c group by doc_id""",
 select doc_id, max(doc_id) over t as keep_id, count(*) over t as group_size, doc_id = max(doc_id) over t as kept,
        sha256(coalesce(text, '')) as text_sha256
 from documents window t as (partition by coalesce(text, ''))""",
+    "op12_merkle": """
+with recursive given as (
+  select doc_id, coalesce('=' || lang, '-') as tree, n_chars,
+         coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+         coalesce(strlen(text) || ':' || text, '-') as tail,
+         list_reduce(list_transform(range(length(doc_id::varchar)), lambda k: ascii(substr(doc_id::varchar, k + 1, 1))::bigint),
+                     lambda crc, c: list_reduce(range(8), lambda t, k: xor(t >> 1, 3988292384 * (t & 1)), xor(crc, c)), 4294967295::bigint) as crc
+  from documents),
+leaf as (
+  select doc_id, tree, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+         case when xor(crc, 4294967295) % 7 = 0 then sha256(head || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || tail) end as changed
+  from given),
+bottom as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by tree) as n from leaf),
+up as (
+  select tree, 0 as level, idx, n, leaf as h from bottom
+  union all
+  select tree, min(level) + 1, idx // 2, (min(n) + 1) // 2, sha256(string_agg(h, '' order by idx)) from up where n > 1 group by tree, idx // 2),
+sub as (select tree, h, level, row_number() over (order by tree) - 1 as idx, count(*) over () as n from up where n = 1),
+top as (
+  select 0 as level, idx, n, h from sub
+  union all
+  select min(level) + 1, idx // 2, (min(n) + 1) // 2, sha256(string_agg(h, '' order by idx)) from top where n > 1 group by idx // 2),
+way as (
+  select b.tree, b.idx, u.level, b.idx >> u.level as pos, s.h as sibling
+  from bottom b join up u on u.tree = b.tree and u.idx = b.idx >> u.level and u.n > 1
+  left join up s on s.tree = u.tree and s.level = u.level and s.idx = xor(u.idx, 1)
+  union all
+  select b.tree, b.idx, sub.level + t.level, t.idx, s.h
+  from bottom b join sub on sub.tree = b.tree join top t on t.idx = sub.idx >> t.level and t.n > 1
+  left join top s on s.level = t.level and s.idx = xor(t.idx, 1)),
+listed as (select tree, idx, list({'pos': pos, 'sibling': sibling} order by level) as steps from way group by tree, idx),
+folded as (
+  select b.doc_id, b.leaf, sub.h as subroot, (select h from top where n = 1) as root, coalesce(w.steps, []) as steps,
+         list_reduce(list_transform(coalesce(w.steps, []), lambda s: {'pos': s.pos, 'h': s.sibling}),
+                     lambda x, s: {'pos': 0::bigint, 'h': sha256(case when s.pos % 2 = 1 then coalesce(s.h, '') || x.h else x.h || coalesce(s.h, '') end)},
+                     {'pos': 0::bigint, 'h': coalesce(b.changed, b.leaf)}).h as folded_root
+  from bottom b join sub using (tree) left join listed w on w.tree = b.tree and w.idx = b.idx)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: coalesce(s.sibling, '')), '')) as proof_sha256,
+       folded_root, folded_root = root as verified
+from folded""",
     "op7_mixing": """
 with r as (
   select doc_id, 'domain' || (cast(substr(source, 4) as int) % 3) as domain, lang, source,
