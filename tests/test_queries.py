@@ -1,6 +1,9 @@
 """Every match query against its SQL in DuckDB, and properties that SQL does not show."""
 
+import datetime
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -19,11 +22,16 @@ def duck():
     return con
 
 
+def plain(v) -> str:
+    """Days alike, whether they come as dates or as midnights; arrays as lists."""
+    return str(pd.Timestamp(v).date()) if isinstance(v, (pd.Timestamp, datetime.date)) and pd.Timestamp(v) == pd.Timestamp(v).normalize() else str(list(v) if isinstance(v, np.ndarray) else v)
+
+
 def rows_of(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
     out = []
     for row in df.itertuples(index=False):
-        out.append(tuple(None if pd.isna(v) else round(float(v), 4) if isinstance(v, float) else int(v) if hasattr(v, "__index__") and not isinstance(v, bool) else str(v)[:10] for v in row))
+        out.append(tuple(None if np.ndim(v) == 0 and pd.isna(v) else round(float(v), 6) if isinstance(v, float) else int(v) if hasattr(v, "__index__") and not isinstance(v, bool) else plain(v) for v in row))
     return sorted(out, key=str)
 
 

@@ -79,13 +79,21 @@ def test_tables_that_break_rules(spark):
 def test_league_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.load_league(spark, f"{tmp_path}/none/*.csv")
-    (tmp_path / "a.csv").write_text("Date,HomeTeam,AwayTeam,FTHG,FTAG,PSCH\n01/08/2024,  FC  X ,Y,2,1,1.5\n,Z,Y,1,1,2\n")
+    (tmp_path / "a.csv").write_text("Date,HomeTeam,AwayTeam,FTHG,FTAG,PSCH,PSCD,PSCA\n01/08/2024,  FC  X ,Y,2,1,1.5,3,4\n,Z,Y,1,1,2,3,4\n")
     (tmp_path / "b.csv").write_text("Date,HomeTeam,AwayTeam,FTHG,FTAG,PSCH\n2024-08-01,FC X,Y,9,9,9\n02/08/24,Y,FC X,,,x\n")
     got = sorted((str(r.date), r.home_team, r.home_goals, r.odds_home, r.is_played) for r in files.load_league(spark, f"{tmp_path}/*.csv").collect())
     assert got == [("2024-08-01", "FC X", 2.0, 1.5, True), ("2024-08-02", "Y", None, None, False)]
-    (tmp_path / "a.csv").write_text("Date,HomeTeam\n")
-    with pytest.raises(ValueError, match="AwayTeam"):
-        files.load_league(spark, f"{tmp_path}/a.csv")
+    # Each file by its own header: other columns, other order, a byte order mark, a name given twice or empty, no rows.
+    (tmp_path / "c d.csv").write_text("\ufeffFTAG,FTHG,Date,,HomeTeam,AwayTeam,HS,HS,Avg>2.5,Avg<2.5\n1,4,03/08/2024,q,Y,Z,7,8,2.0,2.0\n")
+    (tmp_path / "e.csv").write_text("AwayTeam,HomeTeam,Date,FTHG,FTAG,HST\n")
+    got = sorted((str(r.date), r.home_team, r.home_goals, r.away_goals, r.home_shots, r.odds_home, r.ou25_over_prob) for r in files.load_league(spark, f"{tmp_path}/*.csv", {"Y": "Why"}).collect())
+    assert got == [("2024-08-01", "FC X", 2.0, 1.0, None, 1.5, None), ("2024-08-02", "Why", None, None, None, None, None), ("2024-08-03", "Why", 4.0, 1.0, 7.0, None, 0.5)]
+    (tmp_path / "f.csv").write_text("Date,HomeTeam,FTHG,FTAG\n")
+    with pytest.raises(ValueError, match="f.csv without AwayTeam"):
+        files.load_league(spark, f"{tmp_path}/*.csv")
+    (tmp_path / "f.csv").write_text("")
+    with pytest.raises(ValueError, match="f.csv without Date, HomeTeam"):
+        files.load_league(spark, f"{tmp_path}/*.csv")
     assert files.read_optional(spark, f"{tmp_path}/none.csv", "a int, b string").columns == ["a", "b"]
 
 

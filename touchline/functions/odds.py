@@ -59,6 +59,17 @@ def consensus(preferred: Triplet | None, books: list[Triplet]) -> Triplet:
     return fallback if preferred is None else choose(given(preferred), preferred, fallback)
 
 
+def mean_of_books(books: list[Triplet]) -> Column:
+    """A struct of the fair odds of the books' mean probabilities, as ``consensus``; null where no book is given. One
+    expression of all legs, for many books."""
+    quotes = F.array(*[F.when(given(b), F.struct(*[(1.0 / o).alias(leg) for o, leg in zip(b, LEGS)])) for b in books])
+    one = lambda q: F.struct(F.lit(1).alias("n"), *[(q[leg] / (q["home"] + q["draw"] + q["away"])).alias(leg) for leg in LEGS])
+    zero = F.struct(F.lit(0).alias("n"), *[F.lit(0.0).alias(leg) for leg in LEGS])
+    added = lambda a, q: F.struct((a["n"] + q["n"]).alias("n"), *[(a[leg] + q[leg]).alias(leg) for leg in LEGS])
+    fair = lambda a: F.when(a["n"] > 0, F.struct(*[((a["home"] + a["draw"] + a["away"]) / a[leg]).alias(leg) for leg in LEGS]))
+    return F.aggregate(F.transform(F.filter(quotes, lambda q: q.isNotNull()), one), zero, added, fair)
+
+
 def over_under(pairs: list[tuple[Column, Column]]) -> tuple[Column, Column, Column]:
     """(probability of over, odds of over, odds of under) from the first pair of which both are given."""
     quotes = []

@@ -27,27 +27,85 @@ def table_query(sql: str | None = None):
 _DATE = "case match_id % 3 when 0 then date_format(date, 'dd/MM/yyyy') when 1 then date_format(date, 'yyyy-MM-dd') else date_format(date, 'd-M-yyyy') end"
 
 
-@query(f"select date, 'club ' || home_team as home_team, 'club ' || away_team as away_team, home_goals, away_goals, home_shots, odds_home, {PLAYED} as is_played from (select *, row_number() over (partition by date, home_team, away_team order by match_id) as n from matches where match_id % 11 <> 0) where n = 1")
+def _sql_given(o: tuple[str, str, str]) -> str:
+    return "(" + " and ".join(f"{x} > 1.0001" for x in o) + ")"
+
+
+def _sql_mean(*books: tuple[str, str, str]) -> list[str]:
+    """SQL of the odds without margin of the books' mean probabilities."""
+    n = " + ".join(f"coalesce({_sql_given(b)}, false)::int" for b in books)
+    legs = [" + ".join(f"case when {_sql_given(b)} then 1 / {b[k]} / (1 / {b[0]} + 1 / {b[1]} + 1 / {b[2]}) else 0 end" for b in books) for k in range(3)]
+    mean = [f"(({leg}) / nullif({n}, 0))" for leg in legs]
+    return [f"(({' + '.join(mean)}) / {m})" for m in mean]
+
+
+def _triple(prefix: str) -> tuple[str, str, str]:
+    return f"{prefix}_home", f"{prefix}_draw", f"{prefix}_away"
+
+
+def _sql_league() -> str:
+    """What must be loaded from three kinds of files: by match_id % 3 = 0 two books, a pair of totals and a few statistics; 1 the closing
+    book, the means of the market, other totals and a line; 2 one book and the rest of the statistics."""
+    open_, close, own = _triple("open_odds"), _triple("close_odds"), _triple("odds")
+    by_kind = {
+        "odds": (_sql_mean(open_, close), [f"case when {_sql_given(close)} then {c} else {b} end" for c, b in zip(close, _sql_mean(own))], _sql_mean(own)),
+        "open_odds": (_sql_mean(open_, close), [f"case when {_sql_given(open_)} then {c} else {b} end" for c, b in zip(open_, _sql_mean(own))], _sql_mean(own)),
+        "close_odds": (["null"] * 3, [f"case when {_sql_given(own)} then {c} else {b} end" for c, b in zip(own, _sql_mean(close))], ["null"] * 3),
+    }
+    picks = [f"round(case match_id % 3 when 0 then {kinds[0][k]} when 1 then {kinds[1][k]} else {kinds[2][k]} end, 6) as {name}_{leg}" for name, kinds in by_kind.items() for k, leg in enumerate(("home", "draw", "away"))]
+    total = "over_odds > 1.0001 and under_odds > 1.0001 and match_id % 3 < 2"
+    columns = {
+        "ou25_over_prob": f"round(case when {total} then 1 / over_odds / (1 / over_odds + 1 / under_odds) end, 6)", "ou25_over_odds": f"case when {total} then over_odds end", "ou25_under_odds": f"case when {total} then under_odds end",
+        "ah_line": "case when match_id % 3 = 1 then ah_line end", "home_shots": "case when match_id % 3 = 0 then home_shots end", "away_shots": "case when match_id % 3 = 0 then away_shots end",
+        "home_corners": "case when match_id % 3 > 0 then home_corners end", "home_reds": "case when match_id % 3 = 2 then home_reds end", "away_fouls": "cast(null as double)",
+    }
+    chosen = "(select *, row_number() over (partition by date, home_team, away_team order by match_id % 3, match_id) as n from matches where match_id % 11 <> 0)"
+    return f"select date, case home_team when 7 then 'The Sevens' else 'club ' || home_team end as home_team, case away_team when 7 then 'The Sevens' else 'club ' || away_team end as away_team, home_goals, away_goals, {', '.join(picks)}, {', '.join(f'{v} as {k}' for k, v in columns.items())}, {PLAYED} as is_played from {chosen} where n = 1"
+
+
+#: The provider's columns of each kind of file, and of what they are made.
+_KINDS = (
+    {"HS": "home_shots", "AS": "away_shots", "B365>2.5": "over_odds", "B365<2.5": "under_odds", **dict(zip(files.BOOKS[0], _triple("open_odds"))), **dict(zip(files.BOOKS[1], _triple("close_odds")))},
+    {"AHh": "ah_line", **dict(zip(files.CLOSING, _triple("close_odds"))), **dict(zip(files.AVERAGE_OPENING, _triple("open_odds"))), **dict(zip(files.AVERAGE_CLOSING, _triple("odds"))), **dict(zip(files.BOOKS[5], _triple("odds"))), "HC": "home_corners", "AvgC>2.5": "over_odds", "AvgC<2.5": "under_odds"},
+    {**dict(zip(files.BOOKS[6], _triple("odds"))), "HR": "home_reds", "HC": "home_corners"},
+)
+_BASE = {"Date": "__d", "HomeTeam": "__h", "AwayTeam": "__a", "FTHG": "home_goals", "FTAG": "away_goals"}
+
+
+def _league_files(m, folder: str) -> None:
+    """Three folders of files, of other columns and in another order each."""
+    raw = m.withColumns({"__d": F.when(F.col("match_id") % 11 == 0, F.lit("soon")).otherwise(F.expr(_DATE)), "__h": F.concat(F.lit("  club  "), "home_team"), "__a": F.concat(F.lit("club "), "away_team")})
+    for k, columns in enumerate(_KINDS):
+        names = list((_BASE | columns).items()) if k != 1 else list((columns | _BASE).items())
+        part = raw.where(F.col("match_id") % 3 == k).repartitionByRange(3, "match_id").sortWithinPartitions("match_id")
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("-" if n.startswith(("PS", "B365")) else "")).alias(n) for n, c in names]
+        files.write_csv(part.select(*cells), f"{folder}/season{k}")
+
+
+@query(_sql_league())
 def csv_league_load(m):
-    spark = m.sparkSession
-    raw = m.withColumn("__d", F.when(F.col("match_id") % 11 == 0, F.lit("soon")).otherwise(F.expr(_DATE)))
-    raw = raw.select(F.col("__d").alias("Date"), F.concat(F.lit("  club  "), "home_team").alias("HomeTeam"), F.concat(F.lit("club "), "away_team").alias("AwayTeam"), F.col("home_goals").alias("FTHG"), F.col("away_goals").alias("FTAG"), F.col("home_shots").alias("HS"), F.coalesce(F.col("odds_home").cast("string"), F.lit("-")).alias("PSCH"), "match_id")
-    path = shared_path(spark, "league")
-    files.write_csv(raw.repartitionByRange(3, "match_id").sortWithinPartitions("match_id").drop("match_id"), path)
-    return files.load_league(spark, path).select("date", "home_team", "away_team", "home_goals", "away_goals", "home_shots", "odds_home", "is_played")
+    path = shared_path(m.sparkSession, "league")
+    _league_files(m, path)
+    loaded = files.load_league(m.sparkSession, f"{path}/season*/*.csv", {"club 7": "The Sevens"})
+    odds = [f"{p}_{leg}" for p in ("odds", "open_odds", "close_odds") for leg in ("home", "draw", "away")]
+    return r6(loaded.select("date", "home_team", "away_team", "home_goals", "away_goals", *odds, "ou25_over_prob", "ou25_over_odds", "ou25_under_odds", "ah_line", "home_shots", "away_shots", "home_corners", "home_reds", "away_fouls", "is_played"))
 
 
-@query("select cast(null as bigint) as player, cast(null as varchar) as name where false")
+@query("select match_id, home_xg, cast(null as varchar) as note from matches where home_xg is not null")
 def optional_csv(m):
-    return files.read_optional(m.sparkSession, shared_path(m.sparkSession, "absent"), "player bigint, name string")
+    """A table that is there, without one of its columns and with one too many, and one that is not."""
+    spark, schema = m.sparkSession, "match_id bigint, home_xg double, note string"
+    path = shared_path(spark, "optional")
+    files.write_csv(m.where("home_xg is not null").select("match_id", F.col("home_xg").alias("HOME_XG"), "league"), path)
+    return files.read_optional(spark, path, schema).unionByName(files.read_optional(spark, f"{path}-absent", schema))
 
 
-@query("select match_id, home_xg, case when match_id % 2 = 1 then away_xg end as away_xg from matches where match_id % 4 < 2")
+@query("select match_id, home_xg, case when match_id % 2 = 1 then away_xg end as away_xg from matches")
 def schema_evolution_union(m):
     spark = m.sparkSession
     path = shared_path(spark, "appended")
-    files.append_rows(m.where("match_id % 4 = 0").select("match_id", "home_xg"), path)
-    files.append_rows(m.where("match_id % 4 = 1").select("match_id", "home_xg", "away_xg"), path)
+    files.append_rows(m.where("match_id % 2 = 0").select("match_id", "home_xg"), path)
+    files.append_rows(m.where("match_id % 2 = 1").select("match_id", "home_xg", "away_xg"), path)
     return files.read_appended(spark, path).select("match_id", "home_xg", "away_xg")
 
 
@@ -69,31 +127,30 @@ def team_locations(m):
     return files.locations(raw)
 
 
-@query("select match_id, home_corners, date from matches where match_id % 2 = 0 union all select -1, 99, date '1990-01-01'")
+@query("select date, 'club ' || home_team as home_team, 'club ' || away_team as away_team, home_goals, true as is_played from (select *, row_number() over (partition by date, home_team, away_team order by match_id) as n from matches where home_goals is not null and away_goals is not null and match_id % 4 <> 1) where n = 1 union all select m.date, 'club ' || m.home_team, 'club ' || m.away_team, 5, true from (select distinct date, home_team, away_team from matches where match_id % 4 = 1) m where not exists (select 1 from matches o where o.date = m.date and o.home_team = m.home_team and o.away_team = m.away_team and o.home_goals is not null and o.away_goals is not null and o.match_id % 4 <> 1)")
 def append_user_match(m):
+    """Rows that a user adds come after those of other files: where both have a match, the user's goes."""
     spark = m.sparkSession
-    path = shared_path(spark, "user-matches")
-    files.append_rows(m.where("match_id % 2 = 0").select("match_id", "home_corners", "date"), path)
-    one = spark.range(1).select(F.lit(-1).cast("bigint").alias("match_id"), F.lit(99.0).alias("home_corners"), F.lit("1990-01-01").cast("date").alias("date"))
-    files.append_rows(one, path)
-    return files.read_appended(spark, path)
+    path = shared_path(spark, "user-league")
+    raw = lambda rows, goals: rows.select(F.date_format("date", "dd/MM/yyyy").alias("Date"), F.concat(F.lit("club "), "home_team").alias("HomeTeam"), F.concat(F.lit("club "), "away_team").alias("AwayTeam"), goals.alias("FTHG"), F.lit(1).alias("FTAG"))
+    played = m.where("home_goals is not null and away_goals is not null and match_id % 4 <> 1")
+    files.write_csv(raw(played.repartitionByRange(3, "match_id").sortWithinPartitions("match_id"), F.col("home_goals")), path)
+    files.append_user_match(spark, path, raw(m.where("match_id % 4 = 1"), F.lit(5)))
+    files.append_user_match(spark, path, raw(m.where("match_id % 4 = 1"), F.lit(6)))
+    return files.load_league(spark, f"{path}/*.csv").select("date", "home_team", "away_team", "home_goals", "is_played")
 
 
-@query("select match_id, p_home from (select match_id, 0.45::double as p_home from matches)")
-def written_predictions(m):
-    path = shared_path(m.sparkSession, "predictions")
-    for _ in range(2):  # the second replaces the first
-        m.select("match_id", F.lit(0.45).alias("p_home")).write.mode("overwrite").parquet(path)
-    return m.sparkSession.read.parquet(path)
+_LINE = "match_id || ';' || home_team || ';' || away_team"
 
 
-@query("select 'region.txt' as name, count(*) > 0 as found from matches")
+@query(f"select league || '-' || year(date) as name, cast(sum(strlen({_LINE}) + 1) as bigint) as size, sha1(string_agg({_LINE} || chr(10), '' order by match_id)) as sha1 from matches group by league, year(date)")
 def data_fingerprint(m):
+    """A file of each league and year, told apart by size and digest."""
     spark = m.sparkSession
     path = shared_path(spark, "fingerprints")
-    m.select(F.col("league").cast("string")).distinct().coalesce(1).write.text(path)
-    found = files.fingerprints(spark, f"{path}/*.txt")
-    return found.agg(F.lit("region.txt").alias("name"), (F.count_if((F.length("sha1") == 40) & (F.col("size") > 0)) > 0).alias("found"))
+    rows = m.select(F.concat_ws("-", "league", F.year("date")).alias("name"), F.concat_ws(";", "match_id", "home_team", "away_team").alias("value"), "match_id")
+    rows.repartition("name").sortWithinPartitions("name", "match_id").select("name", "value").write.partitionBy("name").text(path)
+    return files.fingerprints(spark, f"{path}/*/*.txt").select(F.regexp_extract("path", "name=([^/]*)/", 1).alias("name"), "size", "sha1")
 
 
 @query("select match_id, sha1('{\"a\":' || match_id || ',\"b\":\"x' || league || '\"}') as key from matches")

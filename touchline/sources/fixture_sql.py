@@ -81,7 +81,7 @@ CONTEXT_COLUMNS = (
 )
 CONTEXT_ROWS = "match_id % 4 <> 3"
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def with_matches(body: str) -> str:
