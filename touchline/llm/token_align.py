@@ -16,6 +16,7 @@ import os
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,7 @@ class Aligner:
         ascending, with the number of links of each: pairs (id of A times the size of B, plus id of B), times."""
         lists_a, lists_b = self.encode(texts)
         n_a, n_b = ([len(x) for x in lists] for lists in (lists_a, lists_b))
-        a, b = (np.fromiter((i for ids in lists for i in ids), np.int64) for lists in (lists_a, lists_b))
+        a, b = (np.fromiter(chain.from_iterable(lists), np.int64, sum(n)) for lists, n in ((lists_a, n_a), (lists_b, n_b)))
         from_a, from_b = (np.concatenate([[0], np.cumsum(n)]).astype(np.int64) for n in (n_a, n_b))
         owner_a, owner_b = np.repeat(np.arange(len(a), dtype=np.int32), self.a_lengths[a]), np.repeat(np.arange(len(b), dtype=np.int32), self.b_lengths[b])
         new_a, new_b = np.diff(owner_a, prepend=-1) != 0, np.diff(owner_b, prepend=-1) != 0
