@@ -1,15 +1,18 @@
 """Elo ratings, an ordered fold over each league's matches.
 
-A rating depends on every earlier match of the league, so a league is the unit of parallel work: its matches
-(a few numbers each) go through one grouped-map task, and grids of parameters multiply the groups. A new team
-enters with the mean of the three lowest ratings once five teams are known, before with the initial one.
+A rating depends on every earlier match of the league, so a league is the unit of parallel work: its rows are dealt to
+one task, sorted there, and stream through as Arrow batches. What is carried from row to row is one rating per team, never
+the rows. A grid of parameters is folded in the same pass: a rating is then a vector, with a place for each cell. A new
+team enters with the mean of the three lowest ratings once five teams are known, before with the initial one.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,74 +21,141 @@ from touchline.operators.asof import before_each_day
 INITIAL = 1500.0
 #: Known teams from which on a new one enters by the lowest ratings, and how many of those.
 KNOWN, LOWEST = 5, 3
+#: The weight of a goal difference of 0 to 4 and more.
+MARGINS = (1.0, 1.0, 1.5, 1.75, 2.0)
 
 
-def _entry(ratings: dict) -> float:
-    return sum(sorted(ratings.values())[:LOWEST]) / LOWEST if len(ratings) >= KNOWN else INITIAL
-
-
-def _margin(goals: float) -> float:
-    """The weight of a goal difference."""
-    d = abs(goals)
-    return 1.0 if d <= 1 else 1.5 if d == 2 else 1.75 if d == 3 else 2.0
-
-
-def _update(ratings: dict, home, away, hg: float, ag: float, k: float, home_adv: float) -> None:
-    expected = 1.0 / (1.0 + math.pow(10.0, -(ratings[home] + home_adv - ratings[away]) / 400.0))
-    result = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
-    step = k * _margin(hg - ag) * (result - expected)
-    ratings[home] += step
-    ratings[away] -= step
+class LeagueFold:
+    """Ratings of one league's teams, as vectors over the cells of a grid (``gains`` and ``advantages``, as long as each
+    other), while its matches come by in the order of date and match_id.
 
+    ``by_day``: all matches of a day see the ratings before the day; otherwise each sees those before it.
+    """
 
-def elo(matches: DataFrame, k: float = 50.0, home_adv: float = 80.0, by_day: bool = True, unplayed: bool = False) -> DataFrame:
+    def __init__(self, gains: np.ndarray, advantages: np.ndarray, by_day: bool = True, ratings: dict | None = None):
+        self.gains, self.advantages, self.by_day = gains, advantages, by_day
+        self.ratings: dict = ratings or {}
+        self.day = None
+        #: What teams that played on the present day had before it; None for those that were not known.
+        self.before: dict = {}
+
+    def _entry(self, at_dawn: bool) -> np.ndarray:
+        known = self.ratings
+        if at_dawn:
+            known = {t: self.before.get(t, r) for t, r in known.items()}
+            known = {t: r for t, r in known.items() if r is not None}
+        if len(known) < KNOWN:
+            return np.full(len(self.gains), INITIAL)
+        return np.sort(np.array(list(known.values())), axis=0)[:LOWEST].sum(axis=0) / LOWEST
+
+    def _seen(self, team) -> np.ndarray:
+        found = self.before[team] if self.by_day and team in self.before else self.ratings.get(team)
+        return self._entry(self.by_day) if found is None else found
+
+    def match(self, day, home, away, home_goals: float | None, away_goals: float | None) -> tuple:
+        """(home and away ratings before the match, after it); the latter are None without a result, which changes
+        nothing."""
+        if day != self.day:
+            self.day, self.before = day, {}
+        h, a = self._seen(home), self._seen(away)
+        if home_goals is None or away_goals is None or home_goals != home_goals or away_goals != away_goals:
+            return h, a, None, None
+        entry = None
+        for team in (home, away):
+            if team not in self.ratings:
+                entry = self._entry(False) if entry is None else entry
+                self.before.setdefault(team, None)
+                self.ratings[team] = entry
+            self.before.setdefault(team, self.ratings[team])
+        now_h, now_a = self.ratings[home], self.ratings[away]
+        expected = 1.0 / (1.0 + np.power(10.0, (now_a - now_h - self.advantages) / 400.0))
+        result = 1.0 if home_goals > away_goals else 0.5 if home_goals == away_goals else 0.0
+        step = self.gains * MARGINS[int(min(abs(home_goals - away_goals), 4))] * (result - expected)
+        self.ratings[home], self.ratings[away] = now_h + step, now_a - step
+        return h, a, self.ratings[home], self.ratings[away]
+
+
+def _streamed(matches: DataFrame, gains: list[float], advantages: list[float], by_day: bool, start: DataFrame | None, columns: str, made) -> DataFrame:
+    """``matches`` through one fold a league, as ``columns``. ``made`` turns lists of match_id, league and date and of what
+    ``LeagueFold.match`` gives into the columns after these three. ``start`` (league, team, rating) is what the fold begins with."""
+    rows = matches.select("league", "date", "match_id", "home_team", "away_team", "home_goals", "away_goals", F.lit(None).cast("double").alias("rating"))
+    if start is not None:
+        kinds = dict(rows.dtypes)
+        null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+        rows = start.select("league", null("date"), null("match_id"), F.col("team").alias("home_team"), null("away_team"), null("home_goals"), null("away_goals"), "rating").unionByName(rows)
+    ordered = rows.repartition("league").sortWithinPartitions("league", F.col("date").asc_nulls_first(), F.col("match_id").asc_nulls_first())
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, advantage = np.array(gains, float), np.array(advantages, float)
+        league, own = object(), None
+        for batch in batches:
+            out: list[tuple] = []
+            keep = []
+            for n, (its, day, home, away, hg, ag, rating) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5, 6, 7)))):
+                if own is None or its != league:
+                    league, own = its, LeagueFold(k, advantage, by_day)
+                if rating is not None:
+                    own.ratings[home] = np.full(len(k), rating)
+                    continue
+                keep.append(n)
+                out.append(own.match(day, home, away, hg, ag))
+            kept = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(2), kept.column(0), kept.column(1), *made(out)], names)
+
+    names = [c.split()[0] for c in columns.split(", ")]
+    return ordered.mapInArrow(fold, columns)
+
+
+def elo(matches: DataFrame, k: float = 50.0, home_adv: float = 80.0, by_day: bool = True, unplayed: bool = False, start: DataFrame | None = None) -> DataFrame:
     """Ratings before each played match: match_id, league, date, home_elo, away_elo, and after it
     home_post, away_post.
 
     ``by_day``: all matches of a day see the ratings before the day; otherwise each sees those before it.
-    ``unplayed``: matches without a result too, which change no rating and have none after them.
+    ``unplayed``: matches without a result too, which change no rating and have none after them. ``start``: ratings
+    (league, team, rating) that earlier matches left.
     """
-    played = matches.where("true" if unplayed else "home_goals is not null and away_goals is not null").select("league", "date", "match_id", "home_team", "away_team", "home_goals", "away_goals")
-
-    kinds = dict(played.dtypes)
-    schema = f"league {kinds['league']}, date date, match_id {kinds['match_id']}, home_elo double, away_elo double, home_post double, away_post double"
-    return played.groupBy("league").applyInPandas(lambda rows: _folded(rows, k, home_adv, by_day), schema)
-
-
-def _folded(rows: pd.DataFrame, k: float, home_adv: float, by_day: bool) -> pd.DataFrame:
-    rows = rows.sort_values(["date", "match_id"])
-    ratings: dict = {}
-    out = []
-    for _, day in rows.groupby("date", sort=True):
-        before = dict(ratings)
-        for m in day.itertuples(index=False):
-            seen = before if by_day else ratings
-            entry = _entry(seen)
-            home, away = seen.get(m.home_team, entry), seen.get(m.away_team, entry)
-            if math.isnan(m.home_goals) or math.isnan(m.away_goals):
-                out.append((m.league, m.date, m.match_id, home, away, None, None))
-                continue
-            enter = _entry(ratings)
-            for team in (m.home_team, m.away_team):
-                if team not in ratings:
-                    ratings[team] = enter
-            _update(ratings, m.home_team, m.away_team, m.home_goals, m.away_goals, k, home_adv)
-            out.append((m.league, m.date, m.match_id, home, away, ratings[m.home_team], ratings[m.away_team]))
-    return pd.DataFrame(out, columns=["league", "date", "match_id", "home_elo", "away_elo", "home_post", "away_post"])
+    rows = matches.where("true" if unplayed else "home_goals is not null and away_goals is not null")
+    kinds = dict(rows.dtypes)
+
+    def made(out: list[tuple]) -> list[pa.Array]:
+        return [pa.array([None if r[k] is None else float(r[k][0]) for r in out], pa.float64()) for k in range(4)]
+
+    columns = f"match_id {kinds['match_id']}, league {kinds['league']}, date date, home_elo double, away_elo double, home_post double, away_post double"
+    return _streamed(rows, [k], [home_adv], by_day, start, columns, made)
+
+
+def elo_cells(matches: DataFrame, gains: tuple[float, ...], advantages: tuple[float, ...]) -> DataFrame:
+    """Differences of ratings before each played match for each gain and home advantage: match_id, league, date, diffs (an array,
+    in the order of gains, then of advantages). One pass over the matches, whatever the number of cells."""
+    cells = [(float(k), float(a)) for k in gains for a in advantages]
+    rows = matches.where("home_goals is not null and away_goals is not null")
+    kinds = dict(rows.dtypes)
+
+    def made(out: list[tuple]) -> list[pa.Array]:
+        flat = np.concatenate([h - a for h, a, _, _ in out]) if out else np.zeros(0)
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(cells), pa.int32()), pa.array(flat))]
+
+    columns = f"match_id {kinds['match_id']}, league {kinds['league']}, date date, diffs array<double>"
+    return _streamed(rows, [k for k, _ in cells], [a for _, a in cells], True, None, columns, made)
 
 
 def elo_grid(matches: DataFrame, gains: tuple[float, ...], advantages: tuple[float, ...]) -> DataFrame:
-    """Differences of ratings before each played match for each gain and home advantage: match_id, k, home_adv, diff.
-    A league and a pair of parameters is one group."""
+    """As ``elo_cells``, a row for each match and cell: match_id, k, home_adv, diff."""
     cells = F.array(*[F.struct(F.lit(float(k)).alias("k"), F.lit(float(a)).alias("home_adv")) for k in gains for a in advantages])
-    played = matches.where("home_goals is not null and away_goals is not null").select("league", "date", "match_id", "home_team", "away_team", "home_goals", "away_goals", F.explode(cells).alias("c")).select("*", "c.*").drop("c")
+    each = elo_cells(matches, gains, advantages).select("match_id", F.posexplode("diffs").alias("c", "diff"))
+    return each.select("match_id", F.get(cells, F.col("c")).alias("cell"), "diff").select("match_id", "cell.k", "cell.home_adv", "diff")
+
+
+def latest(rated: DataFrame, matches: DataFrame) -> DataFrame:
+    """league, team, rating of each team after its last match, from what ``elo`` gives of ``matches``."""
+    sides = _posts(rated, matches)
+    return sides.groupBy("league", "team").agg(F.max_by("post", F.struct("date", "match_id")).alias("rating"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        k, home_adv = float(rows.k.iloc[0]), float(rows.home_adv.iloc[0])
-        out = _folded(rows, k, home_adv, True)
-        return pd.DataFrame({"match_id": out.match_id, "k": k, "home_adv": home_adv, "diff": out.home_elo - out.away_elo})
 
-    return played.groupBy("league", "k", "home_adv").applyInPandas(fold, f"match_id {dict(played.dtypes)['match_id']}, k double, home_adv double, diff double")
+def _posts(rated: DataFrame, matches: DataFrame) -> DataFrame:
+    both = rated.join(matches.select("match_id", "home_team", "away_team"), "match_id")
+    sides = [both.select("league", "date", "match_id", F.col(f"{s}_team").alias("team"), F.col(f"{s}_post").alias("post")) for s in ("home", "away")]
+    return sides[0].unionByName(sides[1]).where("post is not null")
 
 
 def momentum(matches: DataFrame, window: int = 4) -> DataFrame:
