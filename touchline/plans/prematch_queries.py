@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from touchline.functions import odds as O  # noqa: N812
 from touchline.functions.context import SIDES, context_features, fill_context, weather_severity
-from touchline.operators import asof, prematch, ratings
+from touchline.operators import asof, prematch, ratings, state
 from touchline.plans.queries import CELLS, HIST_ALL, MEANS, ORACLES, RATES, RATES_ASOF, TODAY, VALIDATION, VIEW, query, r6
 from touchline.sources.fixture_sql import CONTEXT_COLUMNS, CONTEXT_ROWS, MORE_COLUMNS, with_matches
+from touchline.sources.shared import shared_path, stored
 
 CONTEXT = f", ctx as (select match_id, {', '.join(CONTEXT_COLUMNS)} from matches where {CONTEXT_ROWS})"
 _ABSENT = "coalesce({s}_absence_count, case when {s}_injury_count is not null or {s}_suspension_count is not null then coalesce({s}_injury_count, 0) + coalesce({s}_suspension_count, 0) end)"
@@ -224,3 +225,40 @@ def literature_features(m):
     rows = asof.both_sides(m.select("match_id", "league", "date", "home_team", "away_team"), means)
     diff = lambda c: (F.col(f"home_{c}") - F.col(f"away_{c}")).alias(f"{c}_diff")
     return r6(rows.select("match_id", diff("goals_for"), diff("goals_against"), F.col("home_n_recent").alias("home_seen"), F.col("away_n_recent").alias("away_seen")))
+
+
+#: SQL: the day from which on matches come after the state.
+SPLIT = "1996-07-01"
+
+
+@query(COMPONENTS + "select match_id, " + ", ".join(f"round({c}, 6) as {c}" for c in NUMBERS) + f" from comp semi join (select match_id from matches where date >= date '{SPLIT}') using (match_id)")
+def state_resumed(m):
+    """Matches from a day on, from the state that those before it left, written and read again; the history isn't read."""
+    spark, path = m.sparkSession, shared_path(m.sparkSession, "league-state")
+    once = stored(m, "matches")
+    state.advance(once.where(f"date < '{SPLIT}'")).write(path)
+    return r6(prematch.match_components(once.where(f"date >= '{SPLIT}'"), state=state.LeagueState.read(spark, path)))
+
+
+@query(
+    elo_sql(50.0, 80.0, True)
+    + """, v as (select m.league, m.home_team as team, m.away_team as opponent, m.date, m.match_id, true as is_home, home_goals as gf, away_goals as ga, home_post as post from matches m join rated using (match_id) where home_goals is not null and away_goals is not null
+ union all select m.league, m.away_team, m.home_team, m.date, m.match_id, false, away_goals, home_goals, away_post from matches m join rated using (match_id) where home_goals is not null and away_goals is not null),
+ e as (select *, case when gf > ga then 3 when gf = ga then 1 else 0 end as pts, row_number() over (partition by league, team order by date desc, match_id desc) as back, exp(-0.001 * date_diff('day', date, max(date) over (partition by league))) as w from v),
+ l as (select league, sum(w * gf) filter (is_home) / sum(w) filter (is_home) as mh, sum(w * gf) filter (not is_home) / sum(w) filter (not is_home) as ma from e group by league),
+ t as (select league, team, count(*) as n_matches, max(date) as last_date, arg_max(opponent, (date, match_id)) as last_opponent, sum(pts) as points, sum(gf) as goals_for, sum(ga) as goals_against, arg_max(post, (date, match_id)) as rating,
+   sum(pts) filter (back <= 5) / (3.0 * count(*) filter (back <= 5)) as form, coalesce((max(post) filter (back = 1) - max(post) filter (back = 4)) / 400, 0) as momentum, coalesce(sum(w * gf) filter (is_home), 0) as hf, coalesce(sum(w * ga) filter (is_home), 0) as ha, coalesce(sum(w) filter (is_home), 0) as hn,
+   coalesce(sum(w * gf) filter (not is_home), 0) as af, coalesce(sum(w * ga) filter (not is_home), 0) as aa, coalesce(sum(w) filter (not is_home), 0) as an from e group by league, team)
+ select league, team, n_matches, last_date, last_opponent, points::bigint as points, goals_for, goals_against, round(rating, 6) as rating, round(form, 6) as form, round(momentum, 6) as momentum,
+   """
+    + ", ".join(f"round(least(greatest(({g} + 1e-9) / ({m} * {n} + 1e-9), 0.3), 3.0), 6) as {name}" for g, m, n, name in (("hf", "mh", "hn", "home_attack"), ("ha", "ma", "hn", "home_defence"), ("af", "ma", "an", "away_attack"), ("aa", "mh", "an", "away_defence")))
+    + " from t join l using (league)"
+)
+def state_standings(m):
+    """The state after all matches, built season by season, each from the one before."""
+    once, held = stored(m, "matches"), None
+    for since, until in (("1900-01-01", "1994-01-01"), ("1994-01-01", SPLIT), (SPLIT, "2100-01-01")):
+        path = shared_path(m.sparkSession, "league-state")
+        state.advance(once.where(f"date >= '{since}' and date < '{until}'"), held).write(path)
+        held = state.LeagueState.read(m.sparkSession, path)
+    return r6(state.standings(held))
