@@ -10,7 +10,8 @@ it fixes by itself. Equal windows fix the same symbols at the same places.
 1. Each window takes as its anchor, at the highest level that has one, the least of the sequences of three
    neighbouring symbols that it fixes; a window that fixes none takes its own hash. Neighbouring windows share
    anchors, some 5 each.
-2. Spark counts the anchors' names. Windows whose anchor has no other place have no other place either.
+2. Spark counts the anchors' names. Windows whose anchor has no other place have no other place either. Names
+   are shuffled with the documents' ids only; where they stand is found again in the documents that have some.
 3. The windows that are left are told apart by 128 bits: two hashes of their 20 words, each over words that
    are hashed from their bytes in a way of its own. The smallest place of a window is its first, the others
    are repeats.
@@ -145,32 +146,43 @@ def anchors(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return chosen_name[change], place[change], place[until], document[change]
 
 
-def _anchored(rows: DataFrame) -> DataFrame:
-    """From (k, t, text) one row per stretch of windows with one anchor: name, k, t, r (its first and last
-    window, packed)."""
+def _anchored(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """From (keys, text) one row per stretch of windows with one anchor: name and keys."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, raws in chunks(batch.column(2).to_pylist(), lower=False):
-                words, offsets = word_hashes(raws)
-                name, first, last, document = anchors(words, offsets)
-                begin, take = offsets[document], pa.array(document + at)
-                packed = (first - begin) << 32 | (last - begin)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(packed)], ["name", "k", "t", "r"])
+            for at, raws in chunks(batch.column(len(keys)).to_pylist(), lower=False):
+                name, _, _, document = anchors(*word_hashes(raws))
+                take = pa.array(document + at)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *(batch.column(c).take(take) for c in range(len(keys)))], ["name", *keys])
 
-    return rows.mapInArrow(found, "name bigint, k bigint, t bigint, r bigint")
+    return rows.mapInArrow(found, "name bigint, " + ", ".join(f"{c} bigint" for c in keys))
 
 
-def _packed(rows: DataFrame, id_type: str) -> DataFrame:
-    """``rows`` (id, k, t, text) with the text compressed: id, k, t, z."""
+def _windows_of(raws: list[bytes], names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(hash of every word, number of each text's first word, and for each text the first and last windows of the stretches
+    whose anchors are among its ``names``)."""
+    words, offsets = word_hashes(raws)
+    name, first, last, document = anchors(words, offsets)
+    bounds = np.searchsorted(document, np.arange(len(raws) + 1))
+    out = []
+    for i, own in enumerate(names):
+        part = slice(bounds[i], bounds[i + 1])
+        hit = np.isin(name[part].view(np.int64), own)
+        out.append((first[part][hit] - offsets[i], last[part][hit] - offsets[i]))
+    return words, offsets, out
+
+
+def _packed(rows: DataFrame, id_type: str, keys: list[str]) -> DataFrame:
+    """``rows`` (id, keys, text) with the text compressed: id, keys, z."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack, n = zstandard.ZstdCompressor(level=1).compress, len(keys) + 1
         for batch in batches:
-            z = pa.array([pack(x.as_buffer()) for x in batch.column(3)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), z], ["id", "k", "t", "z"])
+            z = pa.array([pack(x.as_buffer()) for x in batch.column(n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), z], ["id", *keys, "z"])
 
-    return rows.mapInArrow(packed, f"id {id_type}, k bigint, t bigint, z binary")
+    return rows.mapInArrow(packed, f"id {id_type}, " + ", ".join(f"{c} bigint" for c in keys) + ", z binary")
 
 
 def _unpacked(column: pa.Array, begin: int, rows: int) -> list[bytes]:
@@ -178,63 +190,54 @@ def _unpacked(column: pa.Array, begin: int, rows: int) -> list[bytes]:
     return [unpack(x.as_buffer()) for x in column.slice(begin, rows)]
 
 
-def _bounds(ranges: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of packed ranges."""
-    packed = ranges.values.to_numpy()
-    return packed >> 32, packed & 0xFFFFFFFF
-
-
-def _hashed(rows: DataFrame) -> DataFrame:
-    """From (k, t, z, ranges) the hash (a, b) of each window in the ranges: a, b, k, t, r (its first word)."""
+def _hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """From (keys, z, names) the hash (a, b) of each window whose anchor is among the names: a, b, keys, r (its first word)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(keys)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
-                raws = _unpacked(batch.column(2), begin, 256)
-                keys, offsets = [], None
-                for kind, base in enumerate(_BASES):
-                    words, offsets = word_hashes(raws, kind)
-                    keys.append(_grams(words, base))
-                found = [_bounds(batch.column(3)[begin + i]) for i in range(len(raws))]
+                raws = _unpacked(batch.column(n), begin, 256)
+                words, offsets, found = _windows_of(raws, [batch.column(n + 1)[begin + i].values.to_numpy() for i in range(len(raws))])
+                hashes = [_grams(words, _BASES[0]), _grams(word_hashes(raws, 1)[0], _BASES[1])]
                 owner = np.repeat(np.arange(len(raws)), [len(f) for f, _ in found])
                 first, last = np.concatenate([f for f, _ in found]), np.concatenate([x for _, x in found])
                 size = last - first + 1
                 place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first - offsets[owner], size)
                 owner = np.repeat(owner, size)
                 take = pa.array(owner + begin)
-                columns = [*(pa.array(x[place].view(np.int64)) for x in keys), batch.column(0).take(take), batch.column(1).take(take), pa.array((place - offsets[owner]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "k", "t", "r"])
+                columns = [*(pa.array(x[place].view(np.int64)) for x in hashes), *(batch.column(c).take(take) for c in range(n)), pa.array((place - offsets[owner]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", *keys, "r"])
 
-    return rows.mapInArrow(hashed, "a bigint, b bigint, k bigint, t bigint, r int")
+    return rows.mapInArrow(hashed, "a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in keys) + ", r int")
 
 
 def _cut(rows: DataFrame, id_type: str) -> DataFrame:
-    """From (id, z, ranges, firsts, copy) the result: words covered by repeats are left out."""
+    """From (id, z, names, firsts, copy) the result: words covered by repeats are left out."""
+
+    def covered(raw: bytes, n: int, names: np.ndarray, firsts: pa.ListScalar) -> np.ndarray:
+        repeats = np.zeros(n, bool)
+        for first, last in zip(*_windows_of([raw], [names])[2][0]):
+            repeats[first : last + 1] = True
+        if firsts.is_valid:
+            repeats[firsts.values.to_numpy()] = False
+        at, steps = np.flatnonzero(repeats), np.zeros(n + 1, np.int32)
+        steps[at] += 1
+        steps[at + WINDOW] -= 1
+        return np.cumsum(steps[:n]) > 0
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 n_words, n_removed, texts = [], [], []
-                for text, ranges, firsts, copy in zip(_unpacked(part.column(1), 0, 256), part.column(2), part.column(3), part.column(4)):
+                for text, names, firsts, copy in zip(_unpacked(part.column(1), 0, 256), part.column(2), part.column(3), part.column(4)):
                     words = text.split()
                     n = len(words)
-                    covered = None
                     if copy.as_py():
-                        covered = np.full(n, n >= WINDOW)
-                    elif ranges.is_valid:
-                        steps = np.zeros(n + 1, np.int32)
-                        repeats = np.zeros(n, bool)
-                        for first, last in zip(*_bounds(ranges)):
-                            repeats[first : last + 1] = True
-                        if firsts.is_valid:
-                            repeats[firsts.values.to_numpy()] = False
-                        at = np.flatnonzero(repeats)
-                        steps[at] += 1
-                        steps[at + WINDOW] -= 1
-                        covered = np.cumsum(steps[:n]) > 0
-                    if covered is not None:
-                        words = [w for w, c in zip(words, covered.tolist()) if not c]
+                        words = words if n < WINDOW else []
+                    elif names.is_valid:
+                        words = [w for w, c in zip(words, covered(text, n, names.values.to_numpy(), firsts).tolist()) if not c]
                     n_words.append(n)
                     n_removed.append(n - len(words))
                     texts.append(b" ".join(words).decode())
@@ -259,26 +262,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     light = stored(rows.select("k", "h", "h2"), "text-hashes")
     # Where no id stands on two texts, the texts' hashes are not needed to tell documents apart.
     one_text = light.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").isEmpty()
-    rows, light = (df.withColumn("t", F.lit(0).cast("bigint") if one_text else F.col("h")) for df in (rows, light))
-    smallest = light.groupBy("h", "h2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "h2", "rep")
-    copies = stored(light.join(smallest, ["h", "h2"]).where("k <> rep").select("k", "t").distinct(), "copies")
+    rows, light = (df.withColumnRenamed("h", "t") if not one_text else df for df in (rows.withColumn("__h", F.col("h")), light.withColumn("__h", F.col("h"))))
+    keys = ["k"] if one_text else ["k", "t"]
+    smallest = light.groupBy("__h", "h2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("__h", "h2", "rep")
+    copies = stored(light.join(smallest, ["__h", "h2"]).where("k <> rep").select(*keys).distinct(), "copies")
 
     # Copies are left out where they are few enough to be known to every task; else they are at the end, and
     # only make more windows to be looked at.
     few_copies = copies.count() <= BROADCAST_KEYS // 2
-    fresh = rows.select("k", "t", "text")
-    place = _anchored(fresh.join(F.broadcast(copies), ["k", "t"], "left_anti") if few_copies else fresh)
+    fresh = rows.select(*keys, "text")
+    place = _anchored(fresh.join(F.broadcast(copies), keys, "left_anti").select(*keys, "text") if few_copies else fresh, keys)
     repeated = stored(place.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "repeated-names")
     repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated
-    ranges = place.join(repeated, "name", "left_semi").groupBy("k", "t").agg(F.collect_set("r").alias("ranges"))
-    ranges = stored(ranges if few_copies else ranges.join(copies, ["k", "t"], "left_anti"), "ranges")
+    named = place.join(repeated, "name", "left_semi").groupBy(*keys).agg(F.collect_set("name").alias("names"))
+    named = stored(named if few_copies else named.join(copies, keys, "left_anti"), "names")
 
     id_type = dict(rows.dtypes)["id"]
-    texts = _packed(rows.select("id", "k", "t", "text"), id_type)
-    windows = _hashed(texts.join(ranges, ["k", "t"]).select("k", "t", "z", "ranges"))
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("k", "t", "r")).alias("f")).select("f.k", "f.t", "f.r")
-    firsts = stored(first.groupBy("k", "t").agg(F.collect_set("r").alias("firsts")), "firsts")
-    verdict = ranges.join(firsts, ["k", "t"], "left")
-    marked = texts.join(verdict, ["k", "t"], "left").join(copies.withColumn("copy", F.lit(True)), ["k", "t"], "left")
-    out = _cut(marked.select("id", "z", "ranges", "firsts", F.coalesce("copy", F.lit(False)).alias("copy")), id_type)
+    texts = _packed(rows.select("id", *keys, "text"), id_type, keys)
+    windows = _hashed(texts.join(named, keys).select(*keys, "z", "names"), keys)
+    first = windows.groupBy("a", "b").agg(F.min(F.struct(*keys, "r")).alias("f")).select("f.*")
+    firsts = stored(first.groupBy(*keys).agg(F.collect_set("r").alias("firsts")), "firsts")
+    verdict = named.join(firsts, keys, "left")
+    marked = texts.join(verdict, keys, "left").join(copies.withColumn("copy", F.lit(True)), keys, "left")
+    out = _cut(marked.select("id", "z", "names", "firsts", F.coalesce("copy", F.lit(False)).alias("copy")), id_type)
     return out.withColumnRenamed("id", id_col)
