@@ -100,13 +100,13 @@ def context_flags(m):
     return c.select("match_id", context_features(c)["lineup_available"].alias("lineup_available"))
 
 
-def elo_sql(k: float, home_adv: float, by_day: bool) -> str:
+def elo_sql(k: float, home_adv: float, by_day: bool, of: str = "true") -> str:
     """``rated``: ratings before each match, and after those played, by a fold over each league's matches that
     carries two maps, the ratings at the start of the day and now."""
     entry = lambda m: f"case when cardinality({m}) >= 5 then list_sum(list_sort(map_values({m}))[1:3]) / 3 else cast(1500 as double) end"
     seen = "case when f.d = o.date then f.day else f.run end" if by_day else "f.run"
     get = lambda m, key, other: f"coalesce(map_extract({m}, {key})[1], {other})"
-    return f""", ordered as (select match_id, league, date, home_team as h, away_team as a, home_goals as hg, away_goals as ag, row_number() over (partition by league order by date, match_id) as n from matches),
+    return f""", ordered as (select match_id, league, date, home_team as h, away_team as a, home_goals as hg, away_goals as ag, row_number() over (partition by league order by date, match_id) as n from matches where {of}),
  fold as (
   select distinct league, cast(0 as bigint) as n, cast(null as date) as d, map(cast([] as int[]), cast([] as double[])) as day, map(cast([] as int[]), cast([] as double[])) as run,
     cast(null as bigint) as match_id, cast(null as double) as home_elo, cast(null as double) as away_elo, cast(null as double) as home_post, cast(null as double) as away_post from ordered

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from touchline.functions import validation as V  # noqa: N812
 from touchline.functions.columns import clip01, is_close, safe_logit, sigmoid
+from touchline.plans.prematch_queries import elo_sql
 from touchline.plans.queries import ORACLES, PLAYED, QUERIES, query, r6
 from touchline.sources import files
-from touchline.sources.shared import shared_path
-from touchline.streaming import replay
+from touchline.sources.shared import shared_path, stored
+from touchline.streaming import ratings_stream, replay
 
 
 def table_query(sql: str | None = None):
@@ -209,3 +210,23 @@ def stream_daily_counts(spark, sf_dir):
 def stream_running_totals(spark, sf_dir):
     after = replay.ended(replay.running_totals(replay.events_stream(spark, sf_dir)), "append", "running-totals")
     return r6(after.groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "n").alias("s")).select("user_id", "s.n", F.round("s.total", 4).alias("total")))
+
+
+_LATE = "match_id % 97 = 0 and month(date) <= 9 and year(date) < 1998"
+_IN_TIME = f"home_goals is not null and away_goals is not null and not ({_LATE})"
+
+
+@query(elo_sql(50.0, 80.0, True, _IN_TIME) + f"select match_id, date, round(home_elo, 6) as home_elo, round(away_elo, 6) as away_elo, false as is_late from rated join matches using (match_id) union all select match_id, date, null, null, true from matches where home_goals is not null and away_goals is not null and {_LATE}")
+def streaming_ratings(m):
+    """Matches in a file a year, one file a batch, some of them a year late, and at the end rows that only move time on."""
+    spark, folder = m.sparkSession, shared_path(m.sparkSession, "match-stream")
+    columns = ["match_id", "league", "date", "home_team", "away_team", "home_goals", "away_goals"]
+    once = stored(m.where("home_goals is not null and away_goals is not null").select(*columns, F.expr(f"year(date) + int({_LATE})").alias("arrives")), "matches")
+    for year in range(*once.agg(F.min("arrives"), F.max("arrives") + 1).first()):
+        once.where(F.col("arrives") == year).select(*columns).coalesce(1).write.mode("append").parquet(folder)
+    tick = once.agg(F.date_add(F.max("date"), 90).alias("date")).select(*[F.col(c) if c == "date" else F.lit(None).cast(t).alias(c) for c, t in once.select(*columns).dtypes])
+    for _ in range(2):  # the first moves the watermark on, the second sets off a batch that sees it
+        tick.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(once.select(*columns).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = replay.ended(ratings_stream.rated_stream(stream), "append", "rated-stream", {ratings_stream.STATE_STORE: ratings_stream.ROCKS_DB})
+    return r6(out.select("match_id", "date", "home_elo", "away_elo", "is_late"))

@@ -20,20 +20,32 @@ def events_stream(spark: SparkSession, folder: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def ended(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over what is there, and read its last output (of ``complete``) or all of it (of ``append``)."""
+def ended(df: DataFrame, mode: str, name: str, conf: dict[str, str] | None = None) -> DataFrame:
+    """Run a stream over what is there, and read its last output (of ``complete``) or all of it (of ``append``), ``conf`` being
+    set meanwhile.
+
+    A batch's folder bears its number, so that one written again after a failure takes the place of the first try.
+    """
     spark = df.sparkSession
     path, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
-    df.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    before = {c: spark.conf.get(c, None) for c in conf or {}}
+    for c, value in (conf or {}).items():
+        spark.conf.set(c, value)
+    try:
+        df.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for c, value in before.items():
+            spark.conf.unset(c) if value is None else spark.conf.set(c, value)
+    return spark.read.schema(df.schema).parquet(path if mode == "complete" else f"{path}/batch=*")
 
 
 def daily_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Events and their values by day and type; rows later than ``late`` behind the latest are dropped in append mode."""
+    """Events and their values by day and type. In append mode a day is given once the latest time is ``late`` past its
+    end, and rows that come after that are dropped; in complete mode no row is."""
     day = F.window("ts", "1 day").alias("w")
     counted = stream.withWatermark("ts", late).groupBy(day, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return counted.select(F.col("w.start").cast("date").alias("day"), "event_type", "n", "total")
