@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.odds import LEGS
@@ -87,22 +88,61 @@ def named_sets(columns: dict[str, list[str]]) -> dict[str, list[str]]:
     return out | {f"no_{g}": [c for c in every if c not in cols] for g, cols in columns.items()}
 
 
-def cross_fitted_isotonic(rows: DataFrame, folds: int = 5) -> DataFrame:
-    """``rows`` (match_id, y, p_home, p_draw, p_away) with each outcome's probability recalibrated by an isotonic regression fitted
-    on the other folds, made to sum to 1. An outcome that a fit has never seen keeps its probability."""
-    folded = rows.withColumn("__fold", F.pmod(F.xxhash64("match_id"), F.lit(folds)))
-    parts = None
-    for k in range(folds):
-        fitted, held = folded.where(F.col("__fold") != k), folded.where(F.col("__fold") == k)
-        for j, c in enumerate(P):
-            known = fitted.select((F.col("y") == j).cast("double").alias("label"), F.col(c).alias("x"))
-            if known.where("label = 1").isEmpty():
-                continue
-            model = IsotonicRegression(featuresCol="x", labelCol="label", predictionCol="__new").fit(known)
-            held = model.transform(held.withColumn("x", F.col(c))).withColumn(c, F.col("__new")).drop("x", "__new")
-        parts = held if parts is None else parts.unionByName(held)
-    total = F.greatest(F.col(P[0]) + F.col(P[1]) + F.col(P[2]), F.lit(1e-12))
-    return parts.select(*[c for c in rows.columns if c not in P], *[(F.greatest(F.col(c), F.lit(0.0)) / total).alias(c) for c in P])
+def pooled(x: np.ndarray, total: np.ndarray, n: np.ndarray) -> list[tuple[float, float, float]]:
+    """Isotonic regression by pooling adjacent violators: (first x, last x, mean) of each block. ``x`` ascends; ``total`` and ``n``
+    are what the labels at it sum to, and how many they are."""
+    blocks: list[list[float]] = []
+    for a, t, k in zip(x.tolist(), total.tolist(), n.tolist()):
+        blocks.append([a, a, t, k])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            last = blocks.pop()
+            blocks[-1][1], blocks[-1][2], blocks[-1][3] = last[1], blocks[-1][2] + last[2], blocks[-1][3] + last[3]
+    return [(a, b, t / k) for a, b, t, k in blocks]
+
+
+def cross_fitted_isotonic(rows: DataFrame, folds: int = 5, seed: int = 20260602, group: str | None = None) -> DataFrame:
+    """``rows`` (match_id, y, p_home, p_draw, p_away, and ``group``, such as a league) with each outcome's probability recalibrated by
+    an isotonic regression fitted on the other folds of its group, made to sum to 1.
+
+    Folds are stratified: the matches of each outcome are dealt in turn, in the order of a hash of match_id and ``seed``. A group
+    has as many folds as its rarest outcome has matches, ``folds`` at most; with fewer than two it stays as it is, as does a row
+    whose three new values are 0. Between two blocks a line runs; beyond the first and last value, these hold.
+
+    Labels are summed by probability before they meet; then one task has a group and outcome and fits all folds.
+    """
+    own = rows.withColumn("__g", F.col(group).cast("string") if group else F.lit("all"))
+    per = Window.partitionBy("__g", "y").orderBy(F.xxhash64(F.lit(seed), "match_id"), "match_id")
+    counts = own.where("y is not null").groupBy("__g", "y").agg(F.count(F.lit(1)).alias("n")).groupBy("__g").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("outcomes"))
+    splits = counts.select("__g", F.when(F.col("outcomes") == 3, F.least("least", F.lit(folds))).otherwise(0).cast("int").alias("__s"))
+    folded = own.join(splits, "__g", "left").withColumn("__fold", F.when((F.col("__s") >= 2) & F.col("y").isNotNull(), (F.row_number().over(per) - 1) % F.col("__s")))
+    each = F.inline(F.array(*[F.struct(F.lit(j).alias("outcome"), F.col(c).alias("x"), (F.col("y") == j).cast("double").alias("hit")) for j, c in enumerate(P)]))
+    sums = folded.where("__fold is not null").select("__g", "__s", "__fold", each).groupBy("__g", "__s", "__fold", "outcome", "x").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n"))
+
+    def fit(held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for k in range(int(held["__s"].iloc[0])):
+            known = held[held["__fold"] != k].groupby("x", sort=True)[["hits", "n"]].sum()
+            blocks = pooled(known.index.to_numpy(), known.hits.to_numpy(), known.n.to_numpy())
+            ends = [(x, v) for a, b, v in blocks for x in ((a, b) if a < b else (a,))]
+            lines = [(float("-inf"), ends[0][0], ends[0][1], ends[0][1]), *((*p, *q) for p, q in zip(ends, ends[1:])), (ends[-1][0], float("inf"), ends[-1][1], ends[-1][1])]
+            lines = [lines[0], *((x0, x1, v0, v1) for x0, v0, x1, v1 in lines[1:-1]), lines[-1]]
+            out.append((held["__g"].iloc[0], k, int(held.outcome.iloc[0]), [dict(zip(("x0", "x1", "v0", "v1"), map(float, line))) for line in lines]))
+        return pd.DataFrame(out, columns=["__g", "__fold", "outcome", "lines"])
+
+    fits = sums.groupBy("__g", "outcome").applyInPandas(fit, "__g string, __fold int, outcome int, lines array<struct<x0:double,x1:double,v0:double,v1:double>>")
+    wide = fits.groupBy("__g", "__fold").agg(*[F.first(F.when(F.col("outcome") == j, F.col("lines")), ignorenulls=True).alias(f"__l{j}") for j in range(3)])
+    joined = folded.join(wide, ["__g", "__fold"], "left")
+
+    def value(j: int, c: str) -> Column:
+        x, at = F.col(c), F.get(F.filter(f"__l{j}", lambda s: (F.col(c) >= s["x0"]) & (F.col(c) <= s["x1"])), F.lit(0))
+        flat = at["v0"] == at["v1"]
+        return F.when(flat, at["v0"]).otherwise(at["v0"] + (at["v1"] - at["v0"]) * ((x - at["x0"]) / (at["x1"] - at["x0"])))
+
+    new = joined.withColumns({f"__n{j}": value(j, c) for j, c in enumerate(P)})
+    total = F.col("__n0") + F.col("__n1") + F.col("__n2")
+    kept = F.col("__fold").isNull() | F.coalesce(total < 1e-15, F.lit(True))
+    old = F.col(P[0]) + F.col(P[1]) + F.col(P[2])
+    return new.select(*[c for c in rows.columns if c not in P], *[F.when(F.col("__fold").isNull(), F.col(c)).when(kept, F.col(c) / old).otherwise(F.col(f"__n{j}") / total).alias(c) for j, c in enumerate(P)])
 
 
 def step_scaler(sequences: DataFrame, features: list[str]) -> DataFrame:

@@ -124,7 +124,7 @@ def elo(matches: DataFrame, k: float = 50.0, home_adv: float = 80.0, by_day: boo
     return _streamed(rows, [k], [home_adv], by_day, start, columns, made)
 
 
-def elo_cells(matches: DataFrame, gains: tuple[float, ...], advantages: tuple[float, ...]) -> DataFrame:
+def elo_cells(matches: DataFrame, gains: tuple[float, ...], advantages: tuple[float, ...], by_day: bool = True) -> DataFrame:
     """Differences of ratings before each played match for each gain and home advantage: match_id, league, date, diffs (an array,
     in the order of gains, then of advantages). One pass over the matches, whatever the number of cells."""
     cells = [(float(k), float(a)) for k in gains for a in advantages]
@@ -136,7 +136,7 @@ def elo_cells(matches: DataFrame, gains: tuple[float, ...], advantages: tuple[fl
         return [pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(cells), pa.int32()), pa.array(flat))]
 
     columns = f"match_id {kinds['match_id']}, league {kinds['league']}, date date, diffs array<double>"
-    return _streamed(rows, [k for k, _ in cells], [a for _, a in cells], True, None, columns, made)
+    return _streamed(rows, [k for k, _ in cells], [a for _, a in cells], by_day, None, columns, made)
 
 
 def elo_grid(matches: DataFrame, gains: tuple[float, ...], advantages: tuple[float, ...]) -> DataFrame:

@@ -65,12 +65,6 @@ def feature_subsets(m):
     return r6(m.sparkSession.createDataFrame(models.subset_losses(early, late, models.named_sets(GROUPS)), "features string, width int, log_loss double"))
 
 
-@query(None)
-def isotonic_out_of_fold(m):
-    rows = _priced(m).select("match_id", "y", *[F.col(c).alias(p) for c, p in zip(("ph", "pd", "pa"), models.P)])
-    return r6(models.cross_fitted_isotonic(rows))
-
-
 _FEATURES = list(STEPS)
 
 

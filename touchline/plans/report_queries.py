@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.functions import odds as O  # noqa: N812
-from touchline.operators import metrics, reports, tuning
+from touchline.operators import metrics, reports, search, tuning
 from touchline.plans.queries import BETS, FAIR, MODEL, SCORED, TEST, TOTALS, VALIDATION, _bets, _priced, _probs, query, r6
 
 _FLAT_Y = "case y when 0 then 0.45 when 1 then 0.27 else 0.28 end"
@@ -164,12 +164,7 @@ def mlp_gate(m):
 
 @query(None)
 def league_params(m):
-    return r6(tuning.league_params(m, gains=(40, 60), advantages=(60, 100), betas=(0.10, 0.12)))
-
-
-@query(None)
-def bootstrap_bounds(m):
-    return r6(tuning.bootstrap(_bets(m).withColumn("model", F.lit("flat"))))
+    return r6(search.league_params(m, VALIDATION))
 
 
 _Z = "ln(greatest(least({p}, 1 - 1e-12), 1e-12) / (1 - greatest(least({p}, 1 - 1e-12), 1e-12)))"
