@@ -1,6 +1,6 @@
 """Canonical exact digests of documents.
 
-A text is brought to a canonical form (Unicode NFKC, lower case, white space folded to single spaces) and
+A text is brought to a canonical form (Unicode NFKC, full case folding, white space folded to single spaces) and
 hashed to 128 bits by two xxhash64. Documents with equal hashes are grouped and their canonical bytes
 compared; where a bucket turns out to hold different texts, their fingerprints are told apart.
 
@@ -163,9 +163,29 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike(_QUICK.replace("[", "[^")) & text.rlike(odd), fixed).otherwise(text)
 
 
+@cache
+def _folds() -> dict[str, str]:
+    """Of the characters that NFKC leaves, those in lower case that full case folding still changes, such as a sharp s or a
+    final sigma: some fifty, each with what it becomes."""
+    found = {}
+    for c in map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]):
+        folded = c.casefold().lower()
+        if folded != c.lower() and unicodedata.normalize("NFKC", c) == c and unicodedata.normalize("NFKC", folded) != c.lower():
+            found[c.lower()] = unicodedata.normalize("NFKC", folded)
+    return found
+
+
+def folded(text: Column) -> Column:
+    """Full case folding of text in NFKC."""
+    out = F.lower(text)
+    for c, becomes in _folds().items():
+        out = F.replace(out, F.lit(c), F.lit(becomes))
+    return out
+
+
 def canonical(text: Column) -> Column:
-    """NFKC, lower case, each run of white space one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(nfkc(text)), _SPACE, " "), "  +", " "))
+    """NFKC, case folding, each run of white space one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(nfkc(text)), _SPACE, " "), "  +", " "))
 
 
 def _hex(pair: list[Column] | tuple[Column, Column]) -> Column:
