@@ -131,6 +131,15 @@ def test_the_pages_beside_decide(spark):
     assert {len(t) for t in texts([(k, f"http://h/a/{k}", own[0][2]) for k in range(1, 5)]).values()} == {5}
 
 
+def test_copies_without_an_article(spark):
+    """Pages of which the nearest has every line keep them; names of classes don't hide an article, nor does a form around it."""
+    plain = "<div class='nav'>Menu</div><p>First words</p><p>Licensed under CC BY.</p>"
+    rows = [(1, "http://h/a/one", plain), (2, "http://h/a/two", plain), (3, "http://g/x/1", plain), (4, "http://g/x/2", plain.replace("First", "Other"))]
+    rows += [(5, "http://f/1", '<form><nav>M</nav><article class="related-work"><div class="header">Head</div><p>Text</p><article class="comment">No</article></article></form><form><p>q</form>')]
+    out = {r.page_id: r.text for r in page_text.extract_text(spark.createDataFrame([(*r, "p", "t") for r in rows], PAGES)).collect()}
+    assert out == {1: "First words\n\nLicensed under CC BY.", 2: "First words\n\nLicensed under CC BY.", 3: "First words", 4: "Other words", 5: "Head\n\nText"}
+
+
 def test_deep_markup(spark):
     deep = "<div>" * 3000 + "<nav>Menu entry</nav>" + "<b><i>" * 3000 + "text" + "</div>" * 3000 + "<article><p>" + "<b>" * 100 + "One<p>Two</article><p>out"
     assert [t for s, t in page_text.page_lines(deep) if s == page_text.ARTICLE] == ["One", "Two"]

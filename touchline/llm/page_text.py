@@ -11,7 +11,8 @@ Two things are settled by the markup, as differencing can't: a menu or advert th
 goes although it is not shared, and where a page has an article or main element, its text is the text. Within an
 article, lines at its beginning or end go that both pages beside it share (the nearest and the one on the other
 side), unless one of the two shares half of the article or more, which is then a copy. A line in the midst of an
-article stays: sentences and licence lines recur there.
+article stays: sentences and licence lines recur there. A page without an article of which the nearest has every
+line is a copy too, and keeps them.
 
 Only hashes of lines are sent to partners; the texts are shuffled once.
 """
@@ -34,6 +35,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|aria-hidden\s*=\s*[\"']?true", re.I)
+_FORM_END, _ARTICLE_START = re.compile(r"</form\s*>", re.I), re.compile(r"<(?:article|main)(?=[\s>/])", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _SPACED = frozenset("br td th".split())
@@ -50,14 +52,16 @@ _NO_ARTICLE_NAMES = frozenset(
 MARKED, PLAIN, ARTICLE = 0, 1, 2
 
 
-def _marks(name: str, attributes: str) -> bool:
-    """Whether an element says that it holds no article text."""
+def _marks(name: str, attributes: str, within_article: bool = False) -> bool:
+    """Whether an element says that it holds no article text. Names of classes say nothing of an article itself, only of
+    one within another, such as a comment's; and a header within an article is its own."""
     if name in _NO_ARTICLE:
         return True
     if not attributes or name in ("html", "body", "main"):
         return False
     if _HIDDEN.search(attributes):
         return True
+    named = name != "article" or within_article
     for kind, value in _ATTRIBUTE.findall(attributes):
         words = re.findall(r"[a-z0-9]+", value.lower())
         # A page "with-sidebar" or "no-comments" is no sidebar.
@@ -65,7 +69,7 @@ def _marks(name: str, attributes: str) -> bool:
         if kind.lower() == "role":
             if _NO_ARTICLE_ROLES.intersection(words):
                 return True
-        elif _NO_ARTICLE_NAMES.intersection(words) or "header" in words and name not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        elif named and (_NO_ARTICLE_NAMES.intersection(words) or "header" in words and not within_article and name not in ("h1", "h2", "h3", "h4", "h5", "h6")):
             return True
     return False
 
@@ -95,6 +99,15 @@ def page_lines(markup: str) -> list[tuple[int, str]]:
             blocks.pop()
         return name
 
+    forms_end = True
+
+    def form_around_article(begin: int) -> bool:
+        """Whether a form that begins here holds an article, as where a page's whole body is one form."""
+        nonlocal forms_end
+        closing = _FORM_END.search(markup, begin) if forms_end else None
+        forms_end = closing is not None
+        return closing is not None and _ARTICLE_START.search(markup, begin, closing.start()) is not None
+
     at, end = 0, len(markup)
     while at < end:
         token = _TOKEN.match(markup, at)
@@ -138,7 +151,8 @@ def page_lines(markup: str) -> list[tuple[int, str]]:
         state = states[-1]
         if state != MARKED:
             page_header = name == "header" and state != ARTICLE
-            if page_header or _marks(name, token[3]):
+            around = name == "form" and form_around_article(at)
+            if page_header or not around and _marks(name, token[3], state == ARTICLE):
                 if held:
                     flush()
                 state = MARKED
@@ -326,6 +340,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     if other.is_valid and any(k in common for k in article[:1] + article[-1:]):
                         gone |= shared_article_lines(article, [len(lines[k]) for k in article], common, set(common_lines(own, other.as_py())))
                 least = ARTICLE if ARTICLE in state else PLAIN
+                if least == PLAIN and gone.issuperset(k for k, s in enumerate(state) if s == PLAIN):
+                    gone = set()  # the nearest page has all of this one: a copy
                 texts.append("\n\n".join(t for k, (s, t) in enumerate(zip(state, lines)) if s >= least and k not in gone))
                 shared.append(len(gone))
                 marked.append(sum(s < least for k, s in enumerate(state) if k not in gone))
