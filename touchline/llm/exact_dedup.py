@@ -76,8 +76,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("bucket", "key", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
     owners = min(max(1, len(set(slots))), shuffle_partitions(spark))
-    owner = F.floor(F.col("bucket") * owners / F.lit(1 << depth)).cast("int")
-    index = stored(per_text.repartition(owners, owner).sortWithinPartitions("bucket", "key"), "exact-index")
+    index = stored(per_text.repartitionByRange(owners, "bucket", "key").sortWithinPartitions("bucket", "key"), "exact-index")
     entries = rows.select("id", bucket.alias("bucket"), "key", F.sha2("text", 256).alias("text_sha256"))
     return entries, index
 
