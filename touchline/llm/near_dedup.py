@@ -8,7 +8,8 @@
    signatures, then confirmed on the full sets, and linked classes merged into components.
 4. Only where a bucket of three or more still spans several components can a link have been missed. There,
    classes outside the bucket's largest component meet all classes of other components, in blocks; the join
-   itself compares signatures and sets, so no list of all pairs exists.
+   itself compares signatures and sets, so no list of all pairs exists. Two classes that share several buckets are
+   compared in the first of them only.
 5. Components come from alternating large-star and small-star steps.
 """
 
@@ -141,16 +142,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = labelled.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     spanning = stored(counted.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1"), "spanning")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_rows = labelled.where("v <> u").join(spanning, "bucket").join(sized.select(F.col("id").alias("v"), "n", "signature"), "v").select("bucket", "main", "v", "c", "n", "signature", blocks.alias("blocks"))
+    signs = sized.select(F.col("id").alias("v"), "n", "signature", bands.alias("every_bucket"))
+    open_rows = labelled.where("v <> u").join(spanning, "bucket").join(signs, "v").select("bucket", "main", "v", "c", "n", "signature", "every_bucket", blocks.alias("blocks"))
     open_rows = stored(open_rows, "spanning-members")
     sets = stored(_sets(representatives.join(open_rows.select(F.col("v").alias("id")).distinct(), "id", "left_semi"), shingle).dropDuplicates(["id"]), "shingle-sets")
     held = open_rows.join(sets.withColumnRenamed("id", "v"), "v")
-    side = lambda s: [F.col(c).alias(f"{c[0]}{s}") for c in ("c", "n")] + [F.col("v").alias(s), F.col("signature").alias(f"s{s}"), F.col("shingles").alias(f"w{s}")]
+    side = lambda s: [F.col(c).alias(f"{c[0]}{s}") for c in ("c", "n")] + [F.col("v").alias(s), F.col("signature").alias(f"s{s}"), F.col("every_bucket").alias(f"e{s}"), F.col("shingles").alias(f"w{s}")]
     left = held.where("c <> main").select(F.col("bucket").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("kx"), *side("x"))
     right = held.select(F.col("bucket").alias("by"), F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("ky"), F.col("main").alias("my"), *side("y"))
     once = (F.col("cy") == F.col("my")) | (F.col("x") < F.col("y"))
     # Compared in full within the join, so that pairs which only look alike are never written.
-    alike = _similar_sizes("nx", "ny") & _agreeing("sx", "sy") & _similar_sets("wx", "wy")
+    in_band = lambda b: F.when(F.get("ex", F.lit(b)) == F.get("ey", F.lit(b)), F.get("ex", F.lit(b)))
+    here = F.coalesce(*[in_band(b) for b in range(BANDS)]) == F.col("bx")
+    alike = _similar_sizes("nx", "ny") & here & _agreeing("sx", "sy") & _similar_sets("wx", "wy")
     met = left.join(right, (F.col("bx") == F.col("by")) & (F.col("kx") == F.col("ky")) & (F.col("cx") != F.col("cy")) & once & alike)
     late = stored(met.select(F.greatest("x", "y").alias("v"), F.least("x", "y").alias("u")).distinct(), "late-links")
     if late.isEmpty():
