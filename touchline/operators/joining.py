@@ -143,3 +143,22 @@ def collected(matches: DataFrame, since: str, until: str, keys: list[str], order
     """Matches of the days ``since`` to ``until``, of repeated keys the last."""
     inside = F.col("date").between(F.lit(since).cast("date"), F.lit(until).cast("date"))
     return keep_first(matches.where(inside), keys, order, last=True)
+
+
+def hourly_weather(held: DataFrame, payload: Column | str) -> DataFrame:
+    """From JSON whose ``hourly`` holds arrays beside each other (time, temperature_2m, wind_speed_10m, precipitation) a row an hour:
+    the other columns of ``held``, date, kickoff_hour, temperature_c, wind_kph, precipitation_mm, weather_available (0 or 1).
+
+    Arrays may be missing or of unequal length: what is not there is null. Hours without a time that can be read are left
+    out, as are payloads without times. A value that is no number is null.
+    """
+    names = {"temperature_2m": "temperature_c", "wind_speed_10m": "wind_kph", "precipitation": "precipitation_mm"}
+    kind = "hourly struct<time:array<string>," + ",".join(f"{c}:array<string>" for c in names) + ">"
+    column = F.col(payload) if isinstance(payload, str) else payload
+    read = held.withColumn("__h", F.from_json(column, kind)["hourly"])
+    each = F.explode(F.arrays_zip(*[F.coalesce(F.col(f"__h.{c}"), F.array().cast("array<string>")).alias(c) for c in ("time", *names)]))
+    rows = read.withColumn("__e", each).withColumn("__t", F.try_to_timestamp(F.regexp_replace("__e.time", "T", " ")))
+    values = {n: finite(F.col(f"__e.{c}").try_cast("double")) for c, n in names.items()}
+    known = F.coalesce(*values.values()).isNotNull().cast("int")
+    kept = [c for c in held.columns if not (isinstance(payload, str) and c == payload)]
+    return rows.where("__t is not null").select(*kept, F.to_date("__t").alias("date"), F.hour("__t").alias("kickoff_hour"), *[v.alias(n) for n, v in values.items()], known.alias("weather_available"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from touchline.functions import odds as O  # noqa: N812
 from touchline.functions.context import SIDES, context_features, fill_context, weather_severity
-from touchline.operators import asof, prematch, ratings, state
-from touchline.plans.queries import CELLS, HIST_ALL, MEANS, ORACLES, RATES, RATES_ASOF, TODAY, VALIDATION, VIEW, query, r6
+from touchline.operators import asof, prematch, ratings, runtime, state
+from touchline.plans.queries import CELLS, HIST_ALL, MEANS, ORACLES, RATES, RATES_ASOF, TEST, TODAY, VALIDATION, VIEW, query, r6
 from touchline.sources.fixture_sql import CONTEXT_COLUMNS, CONTEXT_ROWS, MORE_COLUMNS, with_matches
 from touchline.sources.shared import shared_path, stored
 
@@ -262,3 +262,20 @@ def state_standings(m):
         state.advance(once.where(f"date >= '{since}' and date < '{until}'"), held).write(path)
         held = state.LeagueState.read(m.sparkSession, path)
     return r6(state.standings(held))
+
+
+@query(
+    _BLOCK
+    + "select -1 - match_id as match_id, "
+    + ", ".join(f"round(case when ok then 1 / {o} / inv end, 6) as market_{leg}" for leg, o in zip(O.LEGS, ("oh", "od", "oa")))
+    + ", "
+    + ", ".join(f"round(cast({c} as double), 6) as {c}" for c in (*NUMBERS, *EXTRA_NAMES))
+    + f" from cl join comp using (match_id) join extra using (match_id) semi join (select match_id from matches where {TEST}) using (match_id)"
+)
+def fixture_blocks(m):
+    """Fixtures that are no matches, with the days, clubs, odds and context of the test season's matches: what the matches get."""
+    rows = m.selectExpr("*", *MORE_COLUMNS)
+    own = lambda df: df.withColumn("match_id", -1 - F.col("match_id"))
+    context = fill_context(_context(m))
+    block = runtime.fixture_block(own(rows.where(TEST)), rows, context.unionByName(own(context)))
+    return r6(block.select("match_id", *[f"market_{leg}" for leg in O.LEGS], *NUMBERS, *EXTRA_NAMES))
