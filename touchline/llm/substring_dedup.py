@@ -36,6 +36,8 @@ from touchline.llm.words import chunks, mixed, powers, word_hashes
 WINDOW = 20
 #: Rounds of pairs, and how many neighbouring symbols are an anchor.
 ROUNDS, SYMBOLS = 2, 3
+#: Bytes of text whose windows are looked at together.
+RUN_BYTES = 1 << 19
 #: Most keys that may be broadcast, some 30 MB; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Bases of the two halves of a 128-bit hash.
@@ -185,9 +187,19 @@ def _packed(rows: DataFrame, id_type: str, keys: list[str]) -> DataFrame:
     return rows.mapInArrow(packed, f"id {id_type}, " + ", ".join(f"{c} bigint" for c in keys) + ", z binary")
 
 
-def _unpacked(column: pa.Array, begin: int, rows: int) -> list[bytes]:
+def _unpacked(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first text, texts) of runs of some ``RUN_BYTES``; a longer text makes a run of its own."""
     unpack = zstandard.ZstdDecompressor().decompress
-    return [unpack(x.as_buffer()) for x in column.slice(begin, rows)]
+    first, held, size = 0, [], 0
+    for k, x in enumerate(column):
+        raw = unpack(x.as_buffer())
+        if held and size + len(raw) > RUN_BYTES:
+            yield first, held
+            first, held, size = k, [], 0
+        held.append(raw)
+        size += len(raw)
+    if held:
+        yield first, held
 
 
 def _hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -196,8 +208,7 @@ def _hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(keys)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                raws = _unpacked(batch.column(n), begin, 256)
+            for begin, raws in _unpacked(batch.column(n)):
                 words, offsets, found = _windows_of(raws, [batch.column(n + 1)[begin + i].values.to_numpy() for i in range(len(raws))])
                 hashes = [_grams(words, _BASES[0]), _grams(word_hashes(raws, 1)[0], _BASES[1])]
                 owner = np.repeat(np.arange(len(raws)), [len(f) for f, _ in found])
@@ -215,9 +226,9 @@ def _hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _cut(rows: DataFrame, id_type: str) -> DataFrame:
     """From (id, z, names, firsts, copy) the result: words covered by repeats are left out."""
 
-    def covered(raw: bytes, n: int, names: np.ndarray, firsts: pa.ListScalar) -> np.ndarray:
+    def covered(n: int, ranges: tuple[np.ndarray, np.ndarray], firsts: pa.ListScalar) -> np.ndarray:
         repeats = np.zeros(n, bool)
-        for first, last in zip(*_windows_of([raw], [names])[2][0]):
+        for first, last in zip(*ranges):
             repeats[first : last + 1] = True
         if firsts.is_valid:
             repeats[firsts.values.to_numpy()] = False
@@ -228,16 +239,19 @@ def _cut(rows: DataFrame, id_type: str) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for begin, raws in _unpacked(batch.column(1)):
+                part = batch.slice(begin, len(raws))
+                copies, names, firsts = part.column(4).to_pylist(), part.column(2), part.column(3)
+                looked = [k for k in range(len(raws)) if not copies[k] and names[k].is_valid]
+                ranges = dict(zip(looked, _windows_of([raws[k] for k in looked], [names[k].values.to_numpy() for k in looked])[2])) if looked else {}
                 n_words, n_removed, texts = [], [], []
-                for text, names, firsts, copy in zip(_unpacked(part.column(1), 0, 256), part.column(2), part.column(3), part.column(4)):
+                for k, text in enumerate(raws):
                     words = text.split()
                     n = len(words)
-                    if copy.as_py():
+                    if copies[k]:
                         words = words if n < WINDOW else []
-                    elif names.is_valid:
-                        words = [w for w, c in zip(words, covered(text, n, names.values.to_numpy(), firsts).tolist()) if not c]
+                    elif k in ranges:
+                        words = [w for w, c in zip(words, covered(n, ranges[k], firsts[k]).tolist()) if not c]
                     n_words.append(n)
                     n_removed.append(n - len(words))
                     texts.append(b" ".join(words).decode())
