@@ -1,7 +1,7 @@
 """Learned models of the outcome over the pre-match vector, with Spark ML, and their choice by log loss.
 
 As in the base pipeline, models are fitted on the validation season: on its early half to choose by its late half, then on
-all of it. Forests stand for boosted trees, which Spark has for two classes only; the network is Spark's perceptron.
+all of it. Boosted trees are three ensembles, one against the others; the network is Spark's perceptron.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +44,44 @@ def fit_forest(rows: DataFrame, names: list[str], trees: int = 40, depth: int =
     return _pipeline(names, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7), scaled=False).fit(rows)
 
 
+class Boosted:
+    """Boosted trees for three outcomes: an ensemble for each against the others, their probabilities made to sum to 1."""
+
+    def __init__(self, assembled: PipelineModel, models: list):
+        self.assembled, self.models = assembled, models
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        out = self.assembled.transform(rows)
+        for k, m in enumerate(self.models):
+            out = m.transform(out).withColumn(f"__b{k}", F.get(vector_to_array(f"__q{k}"), F.lit(1)))
+        total = F.greatest(F.col("__b0") + F.col("__b1") + F.col("__b2"), F.lit(1e-12))
+        return out.withColumn("__p", array_to_vector(F.array(*[F.col(f"__b{k}") / total for k in range(3)])))
+
+
+def fit_boosted(rows: DataFrame, names: list[str], rate: float = 0.1, depth: int = 2, trees: int = 20) -> Boosted:
+    """Gradient-boosted trees by Spark ML, which has them for two classes; an outcome that no row has gets no probability."""
+    assembled = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="__raw", handleInvalid="keep")]).fit(rows)
+    held = assembled.transform(rows).select("__raw", "y").persist()
+    models = []
+    for k in range(3):
+        label = held.withColumn("__y", (F.col("y") == k).cast("double"))
+        gbt = GBTClassifier(featuresCol="__raw", labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=7, subsamplingRate=1.0)
+        models.append(gbt.fit(label).setProbabilityCol(f"__q{k}").setRawPredictionCol(f"__v{k}").setPredictionCol(f"__o{k}"))
+    held.unpersist()
+    return Boosted(assembled, models)
+
+
+#: Learning rates and depths that are tried.
+BOOSTED_CELLS = ((0.05, 2), (0.1, 2), (0.1, 3))
+
+
+def best_boosted(early: DataFrame, late: DataFrame, names: list[str], cells: tuple[tuple[float, int], ...] = BOOSTED_CELLS, trees: int = 20) -> tuple[float, int, float]:
+    """(rate, depth, log loss on the late half) of the least loss, of equal ones the first."""
+    losses = [(loss_of(predict(late, fit_boosted(early, names, rate, depth, trees))), k) for k, (rate, depth) in enumerate(cells)]
+    loss, k = min(losses)
+    return (*cells[k], loss)
+
+
 def fit_network(rows: DataFrame, names: list[str], hidden: int = 16) -> PipelineModel:
     return _pipeline(names, MultilayerPerceptronClassifier(layers=[len(names), hidden, 3], maxIter=60, seed=7)).fit(rows)
 
@@ -56,7 +94,7 @@ def fit_balanced(rows: DataFrame, names: list[str]) -> PipelineModel:
     return _pipeline(names, LogisticRegression(family="multinomial", weightCol="__w", maxIter=60), imputed=True).fit(weighed)
 
 
-def predict(rows: DataFrame, model: PipelineModel) -> DataFrame:
+def predict(rows: DataFrame, model: PipelineModel | Boosted) -> DataFrame:
     """``rows`` with p_home, p_draw, p_away."""
     scored = model.transform(rows)
     each = vector_to_array("__p")
@@ -79,15 +117,6 @@ def subset_losses(early: DataFrame, late: DataFrame, subsets: dict[str, list[str
     return sorted(((name, len(names), loss_of(predict(late, fit(early, names)))) for name, names in subsets.items()), key=lambda x: (x[2], x[0]))
 
 
-def named_sets(columns: dict[str, list[str]]) -> dict[str, list[str]]:
-    """Sets for choice and ablation from groups of columns: all, each group beside the market, all but each group."""
-    every = [c for group in columns.values() for c in group]
-    market = columns.get("market", [])
-    out = {"all_features": every, "market_only": market}
-    out |= {f"market_plus_{g}": market + cols for g, cols in columns.items() if g != "market"}
-    return out | {f"no_{g}": [c for c in every if c not in cols] for g, cols in columns.items()}
-
-
 def pooled(x: np.ndarray, total: np.ndarray, n: np.ndarray) -> list[tuple[float, float, float]]:
     """Isotonic regression by pooling adjacent violators: (first x, last x, mean) of each block. ``x`` ascends; ``total`` and ``n``
     are what the labels at it sum to, and how many they are."""

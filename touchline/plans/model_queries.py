@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.functions import odds as O  # noqa: N812
-from touchline.operators import asof, betting, metrics, models
-from touchline.plans.queries import HIST_ALL, STEPS, TEST, VALIDATION, _priced, query, r6
+from touchline.functions.context import fill_context
+from touchline.operators import asof, betting, feature_sets, metrics, models, prematch
+from touchline.plans.prematch_queries import _context
+from touchline.plans.queries import HIST_ALL, STEPS, TEST, VALIDATION, query, r6
 from touchline.sources.fixture_sql import MORE_COLUMNS
+from touchline.sources.shared import stored
 
-GROUPS = {"market": ["market_home", "market_draw", "market_away"], "form": ["home_form", "away_form", "home_rest", "away_rest"], "goals": ["home_goals_for", "away_goals_for", "home_goals_against", "away_goals_against"]}
-EVERY = [c for g in GROUPS.values() for c in g]
+EVERY = feature_sets.EVERY
 
 
 def _vectors(m):
-    """Priced matches with y and the features of ``GROUPS``."""
-    known = asof.fixture_means(m, 5, ("goals",)).select("league", "team", "date", "form", "rest", "goals_for", "goals_against")
-    rows = asof.both_sides(_priced(m).select("match_id", "date", "league", "home_team", "away_team", "y", "ph", "pd", "pa"), known)
-    return rows.withColumnsRenamed({"ph": "market_home", "pd": "market_draw", "pa": "market_away"}).select("match_id", "date", "y", *EVERY)
+    """Played matches with a market: y and the 89 features, written once."""
+    block = prematch.matchday_block(m.selectExpr("*", *MORE_COLUMNS), fill_context(_context(m)))
+    rows = feature_sets.with_logits(block).where("y is not null and market_home is not null and (" + VALIDATION + " or " + TEST + ")")
+    return stored(rows.select("match_id", "date", "y", *[f"market_{leg}" for leg in O.LEGS], *EVERY), "vectors")
 
 
 def _halves(m):
@@ -53,16 +55,35 @@ def literature_models(m):
     return r6(m.sparkSession.createDataFrame(found, "model string, log_loss double"))
 
 
+@query(None)
+def boosted_probs(m):
+    """Rate and depth chosen on the late half of the validation season, then a fit on all of it."""
+    early, late = _halves(m)
+    rate, depth, _ = models.best_boosted(early, late, EVERY)
+    return _tested(m, lambda rows, names: models.fit_boosted(rows, names, rate, depth))
+
+
 @query(None)
 def penalty_choice(m):
     early, late = _halves(m)
-    return r6(m.sparkSession.createDataFrame([models.best_penalty(early, late, EVERY, models.PENALTIES[::3])], "c double, log_loss double"))
+    return r6(m.sparkSession.createDataFrame([models.best_penalty(early, late, EVERY)], "c double, log_loss double"))
+
+
+def _losses_of(m, names):
+    early, late = _halves(m)
+    found = models.subset_losses(early, late, {n: feature_sets.feature_set(n) for n in names})
+    return r6(m.sparkSession.createDataFrame(found, "features string, width int, log_loss double"))
 
 
 @query(None)
 def feature_subsets(m):
-    early, late = _halves(m)
-    return r6(m.sparkSession.createDataFrame(models.subset_losses(early, late, models.named_sets(GROUPS)), "features string, width int, log_loss double"))
+    """The sets that a learned model chooses among, by the loss of a logistic model."""
+    return _losses_of(m, feature_sets.CANDIDATES)
+
+
+@query(None)
+def feature_ablations(m):
+    return _losses_of(m, feature_sets.ABLATIONS)
 
 
 _FEATURES = list(STEPS)
@@ -106,5 +127,5 @@ def literature_quality(m):
     """Log loss and accuracy of the balanced model on the test season, beside the market's."""
     rows = _vectors(m)
     scored = models.predict(rows.where(TEST), models.fit_balanced(rows.where(VALIDATION), EVERY))
-    own, market = [F.col(c) for c in models.P], [F.col(c) for c in GROUPS["market"]]
+    own, market = [F.col(c) for c in models.P], O.legs("market")
     return r6(scored.agg(metrics.log_loss(own).alias("log_loss"), metrics.accuracy(own).alias("accuracy"), metrics.log_loss(market).alias("market_log_loss")))
