@@ -14,9 +14,11 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import bisect_column, shuffle_partitions, stored, text_of, wide_hash
@@ -163,6 +165,19 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike(_QUICK.replace("[", "[^")) & text.rlike(odd), fixed).otherwise(text)
 
 
+@contextmanager
+def short_plans(spark: SparkSession, most: int = 1 << 16) -> Iterator[None]:
+    """Meanwhile plans are described by ``most`` characters: those that hold the Unicode tables come to megabytes each, and the
+    driver keeps descriptions of many."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @cache
 def _folds() -> dict[str, str]:
     """Of the characters that NFKC leaves, those in lower case that full case folding still changes, such as a sharp s or a
@@ -176,11 +191,17 @@ def _folds() -> dict[str, str]:
 
 
 def folded(text: Column) -> Column:
-    """Full case folding of text in NFKC."""
-    out = F.lower(text)
+    """Full case folding of text in NFKC. Characters that become two are told their second first (an iota, nearly always),
+    so that all that is left is one for one."""
+    singles, seconds = {}, {}
     for c, becomes in _folds().items():
-        out = F.replace(out, F.lit(c), F.lit(becomes))
-    return out
+        singles[c] = becomes[0]
+        if len(becomes) > 1:
+            seconds.setdefault(becomes[1:], []).append(c)
+    out = F.lower(text)
+    for second, chars in seconds.items():
+        out = F.regexp_replace(out, f"([{''.join(chars)}])", f"$1{second}")
+    return F.translate(out, "".join(singles), "".join(singles.values()))
 
 
 def canonical(text: Column) -> Column:
@@ -257,8 +278,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     as empty, and the empty text has a fingerprint like any other. Rows repeated stay repeated; an empty
     table gives an empty result; other columns are ignored.
     """
-    light = stored(_keyed(docs, id_col, text_col).drop("text"), "fingerprints")
-    mixed = mixed_buckets(docs, light, id_col, text_col)
+    with short_plans(docs.sparkSession):
+        light = stored(_keyed(docs, id_col, text_col).drop("text"), "fingerprints")
+        mixed = mixed_buckets(docs, light, id_col, text_col)
     return _resolved(light, mixed, "a", "b", "sha", "fingerprint").select(F.col("id").alias(id_col), "fingerprint")
 
 
@@ -313,20 +335,21 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     next one. Nulls, repeats and empty tables: see ``fingerprints``.
     """
     ea, eb = wide_hash(F.col("canon"))
-    light = stored(
-        edited_documents(docs, id_col, text_col)
-        .withColumn("canon", canonical(F.col("edited")))
-        .select(
-            "id", "h",
-            F.length("text").cast("long").alias("n_chars"),
-            F.sha2("edited", 256).alias("edited_sha256"),
-            "a", "b", "sha",
-            ea.alias("ea"), eb.alias("eb"), F.sha2("canon", 256).alias("esha"),
-            F.col("next.id").alias("nid"), F.col("next.h").alias("nh"), F.col("next.a").alias("na"), F.col("next.b").alias("nb"), F.col("next.sha").alias("nsha"),
-        ),
-        "fingerprints",
-    )
-    mixed = mixed_buckets(docs, light, id_col, text_col, edits=True)
+    with short_plans(docs.sparkSession):
+        light = stored(
+            edited_documents(docs, id_col, text_col)
+            .withColumn("canon", canonical(F.col("edited")))
+            .select(
+                "id", "h",
+                F.length("text").cast("long").alias("n_chars"),
+                F.sha2("edited", 256).alias("edited_sha256"),
+                "a", "b", "sha",
+                ea.alias("ea"), eb.alias("eb"), F.sha2("canon", 256).alias("esha"),
+                F.col("next.id").alias("nid"), F.col("next.h").alias("nh"), F.col("next.a").alias("na"), F.col("next.b").alias("nb"), F.col("next.sha").alias("nsha"),
+            ),
+            "fingerprints",
+        )
+        mixed = mixed_buckets(docs, light, id_col, text_col, edits=True)
     for a, b, sha, out in (("a", "b", "sha", "fingerprint"), ("ea", "eb", "esha", "edited_fingerprint"), ("na", "nb", "nsha", "next_fingerprint")):
         light = _resolved(light, mixed, a, b, sha, out)
     same = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
