@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,13 +67,22 @@ def squeeze(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(x), r"\s+", " "))
 
 
-#: Latin letters with marks, and what each is without them.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-_BARE = "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY"
+@cache
+def _bare_letters() -> dict[str, str]:
+    """Letters that are another one with marks, by Unicode's decompositions, such as an s with a caron; not those with a stroke,
+    which have none."""
+    found = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        bare = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]
+        if len(bare) == 1 and bare[0] != c:
+            found[c] = bare[0]
+    return found
 
 
 def without_marks(x: Column | str) -> Column:
-    return F.translate(col(x), _MARKED, _BARE)
+    """Letters without their marks, whether the marks are part of them or follow them."""
+    letters = _bare_letters()
+    return F.translate(F.regexp_replace(col(x), r"\p{Mn}+", ""), "".join(letters), "".join(letters.values()))
 
 
 #: Words that say what kind of club a name stands for.

@@ -153,7 +153,7 @@ def distinct_opponents(m):
     return view.groupBy("league", "team").agg(F.collect_list("opponent").alias("all")).select("league", "team", F.size(F.array_distinct("all")).cast("long").alias("n_opponents"), F.aggregate(F.array_distinct("all"), F.lit(0).cast("long"), lambda a, x: a + x).alias("opponents"))
 
 
-_TEXT = "case match_id % 5 when 0 then '  Atl\u00e9tico   Club ' when 1 then 'M\u00fcnchen & Co' when 2 then 'Real\tOviedo' when 3 then 'AC  S\u00e3o Jo\u00e3o' else '12-3' end"
+_TEXT = "case match_id % 5 when 0 then '  Atl\u00e9tico   Club ' when 1 then 'M\u00fcnchen & Co' when 2 then 'Real\tOviedo' when 3 then 'AC  S\u00e3o Jo\u00e3o, \u0160ibenik, Gy\u0151r, Be\u015fikta\u015f, \u0141\u00f3d\u017a, e\u0301' else '12-3' end"
 
 
 @query(f", t as (select match_id, {_TEXT} as x from matches) select match_id, trim(regexp_replace(x, '\\s+', ' ', 'g')) as squeezed, strip_accents(x) as bare, trim(regexp_replace(regexp_replace(replace(lower(x), '&', 'and'), '\\b(fc|cf|afc|ssc|ac|as|sc|sv|vfb|borussia)\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as key, contains(lower(x), 'club') as has_club, try_cast(nullif(regexp_extract(x, '(\\d+)\\s*-\\s*(\\d+)', 1), '') as int) as score, case when x = '12-3' then 'twelve' else x end as alias from t")
