@@ -9,6 +9,8 @@ from touchline.functions.columns import clip, col, first_max
 from touchline.functions.odds import Triplet, probability_of, safe, temperature
 
 EPS = 1e-15
+#: Why a correction is not accepted.
+TOO_LITTLE, LOST_IN_A_FOLD = "insufficient_late_validation_improvement", "failed_chronological_fold_gate"
 
 
 def log_loss(probs: Triplet, y: Column | str = "y") -> Column:
@@ -97,7 +99,7 @@ def accept_correction(losses: DataFrame, least_gain: float = 0.0005, least_fold_
     best = gains.where("fold is null").agg(F.min(F.struct("loss", "alpha", "market")).alias("b")).select("b.*")
     folds = gains.where("fold is not null").groupBy("alpha").agg(F.min((F.col("loss") <= F.col("market") - least_fold_gain).cast("int")).alias("held"))
     enough, held = F.col("loss") < F.col("market") - least_gain, F.coalesce("held", F.lit(1)) == 1
-    reason = F.when(~enough, "insufficient_late_validation_improvement").when(~held, "failed_chronological_fold_gate")
+    reason = F.when(~enough, TOO_LITTLE).when(~held, LOST_IN_A_FOLD)
     accepted = enough & held
     return best.join(folds, "alpha", "left").select(F.col("alpha").alias("best_alpha"), F.when(accepted, F.col("alpha")).otherwise(0.0).alias("alpha"), F.when(accepted, F.col("loss")).otherwise(F.col("market")).alias("loss"), F.col("market").alias("market_loss"), accepted.alias("accepted"), reason.alias("reason"))
 
