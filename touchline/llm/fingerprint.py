@@ -49,7 +49,7 @@ def _ranges(code_points: set[int] | list[int]) -> list[tuple[int, int]]:
 #: Hangul: first code points of leading, vowel and trailing letters and of the syllables, and how many there are.
 _L, _V, _T, _S, _N_L, _N_V, _N_T = 0x1100, 0x1161, 0x11A7, 0xAC00, 19, 21, 28
 #: Small maps that a table is spread over, as a map is searched from its beginning.
-_SPREAD = 2048
+_SPREAD = 512
 
 
 def _number(chars: str) -> int:
@@ -167,15 +167,17 @@ def nfkc(text: Column) -> Column:
 
 @contextmanager
 def short_plans(spark: SparkSession, most: int = 1 << 16) -> Iterator[None]:
-    """Meanwhile plans are described by ``most`` characters: those that hold the Unicode tables come to megabytes each, and the
-    driver keeps descriptions of many."""
-    name = "spark.sql.maxPlanStringLength"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(most))
+    """Meanwhile plans are described by ``most`` characters and not planned anew after each stage, with a description each
+    time: those that hold the Unicode tables come to megabytes each."""
+    meant = {"spark.sql.maxPlanStringLength": str(most), "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in meant}
+    for name, value in meant.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 @cache
@@ -280,7 +282,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     with short_plans(docs.sparkSession):
         light = stored(_keyed(docs, id_col, text_col).drop("text"), "fingerprints")
-        mixed = mixed_buckets(docs, light, id_col, text_col)
+    mixed = mixed_buckets(docs, light, id_col, text_col)
     return _resolved(light, mixed, "a", "b", "sha", "fingerprint").select(F.col("id").alias(id_col), "fingerprint")
 
 
@@ -349,7 +351,7 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             ),
             "fingerprints",
         )
-        mixed = mixed_buckets(docs, light, id_col, text_col, edits=True)
+    mixed = mixed_buckets(docs, light, id_col, text_col, edits=True)
     for a, b, sha, out in (("a", "b", "sha", "fingerprint"), ("ea", "eb", "esha", "edited_fingerprint"), ("na", "nb", "nsha", "next_fingerprint")):
         light = _resolved(light, mixed, a, b, sha, out)
     same = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
