@@ -31,20 +31,17 @@ def small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Of ``edges`` (u, v), one row per node that has an edge to another: id, component (its least node).
 
-    Both steps are repeated, each round written to the shared folder, until the links stay the same: all
-    are stars then.
+    Both steps are repeated, each round written to the shared folder, until all links are stars: no node has two links
+    to lesser ones, and none with such a link is the lesser one of another.
     """
     edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
+    def are_stars(df: DataFrame) -> bool:
+        ends = df.select(F.inline(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+        nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return not nodes.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]
 
-    before = mark(edges)
-    while before[0]:
+    while not are_stars(edges):
         edges = stored(small_star(large_star(edges)), "links")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
