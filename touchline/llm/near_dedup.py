@@ -152,8 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = held.select(F.col("bucket").alias("by"), F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("ky"), F.col("main").alias("my"), *side("y"))
     once = (F.col("cy") == F.col("my")) | (F.col("x") < F.col("y"))
     # Compared in full within the join, so that pairs which only look alike are never written.
-    in_band = lambda b: F.when(F.get("ex", F.lit(b)) == F.get("ey", F.lit(b)), F.get("ex", F.lit(b)))
-    here = F.coalesce(*[in_band(b) for b in range(BANDS)]) == F.col("bx")
+    here = F.get(F.array_intersect("ex", "ey"), F.lit(0)) == F.col("bx")  # the first bucket that both are in
     alike = _similar_sizes("nx", "ny") & here & _agreeing("sx", "sy") & _similar_sets("wx", "wy")
     met = left.join(right, (F.col("bx") == F.col("by")) & (F.col("kx") == F.col("ky")) & (F.col("cx") != F.col("cy")) & once & alike)
     late = stored(met.select(F.greatest("x", "y").alias("v"), F.least("x", "y").alias("u")).distinct(), "late-links")
