@@ -28,7 +28,7 @@ def two_teams(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["player_window_strength"])
+@pytest.mark.parametrize("name", ["player_window_strength", "runtime_diagnostics"])
 def test_strengths_of_two_teams(spark, two_teams, name):
     con = duckdb.connect()
     for table in TABLES:
