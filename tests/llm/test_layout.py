@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +243,25 @@ def test_groups_are_given(spark):
     files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     r = token_align.align_documents(table(spark, [(1, "abc def", None, None, None)]), *files).first()
     assert hashlib.sha256(r.groups.encode()).hexdigest() == r.groups_sha256 and sum(r.times) == r.n_links and r.groups.count(";") == r.n_groups - 1
+
+
+def test_words_are_encoded_once():
+    """Both libraries see a repeated word once, and what is put together is what they make of the whole text."""
+    own = token_align.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    seen = []
+    library = own.b
+
+    class Counted:
+        def encode(self, texts, num_threads):
+            seen.extend(texts)
+            return library.encode(texts, num_threads=num_threads)
+
+    own.b = Counted()
+    texts = ["alpha beta " * 1000 + "alpha", "beta alpha", "", "end  ", "end ", "a \n b\u180e c", "x\r y\u2581z w", " ", "it's  two\u00a0 three\t four"]
+    a, b = own.encode(texts)
+    assert sum(map(len, seen)) < 200
+    for k, text in enumerate(texts):
+        whole_a, whole_b = own.a.encode(" " + text, add_special_tokens=False).ids if text else [], library.encode(text)
+        if b"".join(own.b_bytes[i] for i in whole_b) != b" " + text.encode():
+            whole_a = whole_b = []
+        assert [np.frombuffer(x, np.int64).tolist() for x in (a[k], b[k])] == [whole_a, whole_b], text

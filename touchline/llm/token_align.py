@@ -5,6 +5,10 @@ it (``np.repeat`` of token numbers over token lengths). Where either array chang
 such pair is a link between two tokens whose bytes overlap. Where both change at once, both tokenizers begin a token:
 a cut, and what lies between two cuts is a group. A batch of texts is one stretch of bytes, as texts begin at cuts.
 
+Neither tokenizer has a token across the place between a character that is no white space and a space: A's pattern ends
+what it merges there, and no piece of B reaches from the one to the other, so no merge does. Texts are cut there, both
+libraries encode the words, and each worker keeps a bounded memory of the ids of words it has seen.
+
 How common a pair of ids is (in how many documents it is linked) is counted by Spark. Every document has its distinct
 pairs with the number of their links; pairs of one document only don't come into the table of counts, and the greatest
 count of an id of A is at most one row per id of the vocabulary.
@@ -12,7 +16,10 @@ count of an id of A is at most one row per id of the vocabulary.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
@@ -31,6 +38,14 @@ ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 20
 #: Pairs of counts, of some 30 bytes each as Spark keeps them, up to which their table is broadcast.
 BROADCAST_PAIRS = 2_000_000
 SPACE_MARK = "▁"
+#: Words that a worker remembers, of some 350 bytes each, and the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
+#: New words that A encodes as one text.
+WORDS_AT_ONCE = 500
+#: From a space to before the next one that follows a character which is no white space; a last single space stays.
+WORD = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*(?: \Z)?")
+#: What no word may be cut out of: to some libraries U+180E is white space.
+UNCUT = "\u180e"
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -63,25 +78,78 @@ class Aligner:
         self.a_lengths, self.b_lengths = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
         # What follows an id in the text of the groups: more of its kind, the other kind, or the next group.
         n, m = len(self.a_bytes), len(self.b_bytes)
+        self.cuts = self._cuts(pieces)
+        self.a_of: dict[str, bytes] = {}
+        self.b_of: dict[str, bytes] = {}
+        self.odd: set[str] = set()
         self.written = [f"{i}{end}" for ids, end in ((n, ","), (n, "|"), (m, ","), (m, ";")) for i in range(ids)]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids by A and by B; none for an empty text, nor for one whose tokens don't give its bytes back."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
+    def _cuts(self, pieces: list[str]) -> bool:
+        """Whether texts may be cut into words. Other models than those described encode whole texts."""
+        a = json.loads(self.a.to_str())
+        before = a["pre_tokenizer"] or {}
+        plain = a["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        return plain and all(t["special"] for t in a["added_tokens"]) and not any(re.search(f"[^ {SPACE_MARK}][ {SPACE_MARK}]", p) for p in pieces)
+
+    def _ids_of_a(self, spaced: list[str]) -> list[list[int]]:
+        """Ids by A of texts that begin with a space. Those that a space may follow are encoded many as one, and their ids told apart
+        by the bytes: what A spends on each text is more than what it spends on a word."""
+        alone = [k for k, t in enumerate(spaced) if not self.cuts or t[-1].isspace() or UNCUT in t]
+        apart = set(alone)
+        joined = [k for k in range(len(spaced)) if k not in apart]
+        out: list[list[int]] = [[]] * len(spaced)
+        runs = [joined[k : k + WORDS_AT_ONCE] for k in range(0, len(joined), WORDS_AT_ONCE)]
+        for run, e in zip(runs, self.a.encode_batch_fast(["".join([spaced[k] for k in run]) for run in runs], add_special_tokens=False)):
+            ids, ends = e.ids, np.cumsum([len(spaced[k].encode()) for k in run])
+            token_ends = np.cumsum(self.a_lengths[ids])
+            to = np.searchsorted(token_ends, ends) + 1
+            if token_ends[-1:] != ends[-1:] or to[-1] != len(ids) or not np.array_equal(token_ends[to - 1], ends):  # some bytes have no token
+                alone += run
+                continue
+            at = 0
+            for k, end in zip(run, to.tolist()):
+                out[k], at = ids[at:end], end
+        for k, e in zip(alone, self.a.encode_batch_fast([spaced[k] for k in alone], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
+
+    def _encoded(self, spaced: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """Ids by A and by B of texts that begin with a space, as 64-bit integers in native order, and whether the tokens of both
+        give the text's bytes back."""
+        a = self._ids_of_a(spaced)
+        b = self.b.encode([t[1:] for t in spaced], num_threads=1)
         a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        for k, text in enumerate(texts):
-            raw = b" " + text.encode()
-            if not text or b"".join(map(a_of, a[k])) != raw or b"".join(map(b_of, b[k])) != raw:
-                a[k], b[k] = [], []
-        return a, b
+        return [(array("q", x).tobytes(), array("q", y).tobytes(), b"".join(map(a_of, x)) == t.encode() == b"".join(map(b_of, y))) for t, x, y in zip(spaced, a, b)]
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids by A and by B, as 64-bit integers in native order; none for an empty text, nor for one whose tokens don't give its
+        bytes back."""
+        if len(self.a_of) > REMEMBERED:
+            self.a_of.clear(), self.b_of.clear(), self.odd.clear()
+        words = [WORD.findall(" " + t) if t and self.cuts and UNCUT not in t else [" " + t] if t else [] for t in texts]
+        a_of, b_of, odd = self.a_of, self.b_of, self.odd
+        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in a_of]
+        for w, (a, b, same) in zip(new, self._encoded(new)):
+            a_of[w], b_of[w] = a, b
+            if not same:
+                odd.add(w)
+        out_a, out_b = ([b"".join(map(ids.__getitem__, own)) for own in words] for ids in (a_of, b_of))
+        # Where a word's bytes aren't given back, the whole text decides.
+        for k in [k for k, own in enumerate(words) if odd and not odd.isdisjoint(own)]:
+            a, b, same = self._encoded([" " + texts[k]])[0]
+            out_a[k], out_b[k] = (a, b) if same else (b"", b"")
+        for w in new:
+            if len(w) > LONGEST:
+                del a_of[w], b_of[w]
+                odd.discard(w)
+        return out_a, out_b
 
     def align(self, texts: list[str]) -> dict[str, list]:
         """For each text n_a, n_b, n_groups, n_links, groups (decimal ids, as in `a1,a2|b1;a3|b2`), and its distinct pairs,
         ascending, with the number of links of each: pairs (id of A times the size of B, plus id of B), times."""
-        lists_a, lists_b = self.encode(texts)
-        n_a, n_b = ([len(x) for x in lists] for lists in (lists_a, lists_b))
-        a, b = (np.fromiter(chain.from_iterable(lists), np.int64, sum(n)) for lists, n in ((lists_a, n_a), (lists_b, n_b)))
+        ids_a, ids_b = self.encode(texts)
+        n_a, n_b = ([len(x) // 8 for x in ids] for ids in (ids_a, ids_b))
+        a, b = (np.frombuffer(b"".join(ids), np.int64) for ids in (ids_a, ids_b))
         from_a, from_b = (np.concatenate([[0], np.cumsum(n)]).astype(np.int64) for n in (n_a, n_b))
         owner_a, owner_b = np.repeat(np.arange(len(a), dtype=np.int32), self.a_lengths[a]), np.repeat(np.arange(len(b), dtype=np.int32), self.b_lengths[b])
         new_a, new_b = np.diff(owner_a, prepend=-1) != 0, np.diff(owner_b, prepend=-1) != 0
