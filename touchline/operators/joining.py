@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import finite, is_close
+from touchline.sources.shared import stored
 
 
 def keep_first(rows: DataFrame, keys: list[str], *order: Column | str, last: bool = False) -> DataFrame:
@@ -100,11 +101,27 @@ def fuzzy_pairs(local: DataFrame, theirs: DataFrame, keys: list[str], least: flo
 
     The score is the mean of the two sides' similarities; of equal ones the smaller other_id, and none below ``least``.
     Both have id, home, away. Rows meet within a key only, such as a league's day.
+
+    Each pair of names is compared once, however many rows bear it. For a home name and one of their away names only the best
+    of their home names counts, so rows are not compared with all rows of their key: the best score first, then who has it.
     """
-    other = theirs.select(*keys, F.col("id").alias("other_id"), F.col("home").alias("__h"), F.col("away").alias("__a"))
-    scored = local.join(other, keys).select("id", "other_id", ((similarity("home", "__h") + similarity("away", "__a")) / 2).alias("score"))
-    best = scored.groupBy("id").agg(F.max_by(F.struct("other_id", "score"), F.struct("score", -F.col("other_id"))).alias("b"))
-    return best.select("id", "b.*").where(F.col("score") >= least)
+    named = lambda c: F.coalesce(F.col(c), F.lit(""))  # noqa: E731  a missing name is like none, as an empty one
+    mine = local.select(*keys, "id", named("home").alias("home"), named("away").alias("away"))
+    pairs = stored(mine.select(*keys, "home", "away").distinct(), "fuzzy-mine")
+    other = stored(theirs.groupBy(*keys, named("home").alias("__h"), named("away").alias("__a")).agg(F.min("id").alias("other_id")), "fuzzy-theirs")
+
+    def alike(name: str, their: str, score: str) -> DataFrame:
+        met = pairs.select(*keys, name).distinct().join(other.select(*keys, their).distinct(), keys).select(name, their).distinct()
+        return stored(met.select(name, their, similarity(name, their).alias(score)), "fuzzy-names")
+
+    by_home, by_away = alike("home", "__h", "__sh"), alike("away", "__a", "__sa")
+    through = pairs.select(*keys, "home").distinct().join(other, keys).join(by_home, ["home", "__h"]).groupBy(*keys, "home", "__a").agg(F.max("__sh").alias("__best"))
+    scored = pairs.join(stored(through, "fuzzy-through"), [*keys, "home"]).join(by_away, ["away", "__a"]).withColumn("__s", (F.col("__best") + F.col("__sa")) / 2)
+    top = scored.groupBy(*keys, "home", "away").agg(F.max("__s").alias("score")).where(F.col("score") >= least)
+    ways = scored.join(top, [*keys, "home", "away"]).where("__s = score").join(other, [*keys, "__a"]).join(by_home, ["home", "__h"]).where("__sh = __best")
+    found = ways.groupBy(*keys, "home", "away").agg(F.min("other_id").alias("other_id"), F.max("score").alias("score"))
+    best = mine.join(found, [*keys, "home", "away"]).groupBy("id").agg(F.max_by(F.struct("other_id", "score"), F.struct("score", -F.col("other_id"))).alias("b"))
+    return best.select("id", "b.*")
 
 
 def similarity(a: Column | str, b: Column | str) -> Column:

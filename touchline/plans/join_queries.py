@@ -8,6 +8,7 @@ from touchline.functions.columns import alias_of, flag, join_key, kickoff_hour,
 from touchline.functions.context import first_existing, pick_number
 from touchline.operators import asof, betting, joining
 from touchline.plans.queries import PLAYED, TEST, VALIDATION, VIEW, XG, _played, _xg_rows, query, r6
+from touchline.sources.shared import stored
 
 KEYS = ["date", "league", "home_team", "away_team"]
 
@@ -99,6 +100,7 @@ def weather_by_hour(m):
 
 @query(None)
 def fuzzy_fixture_match(m):
+    m = stored(m.select("date", "league", "match_id", "home_team", "away_team"), "fixtures")
     name = lambda c, cut: F.concat(F.lit("club "), F.when(F.col("match_id") % 3 == 0, F.reverse(F.col(c).cast("string"))).otherwise(F.col(c).cast("string")), F.lit(cut))
     local = m.select("date", "league", F.col("match_id").alias("id"), F.concat(F.lit("Club "), "home_team").alias("home"), F.concat(F.lit("Club "), "away_team").alias("away"))
     theirs = m.select("date", "league", (F.col("match_id") + 1_000_000).alias("id"), name("home_team", " fc").alias("home"), name("away_team", "").alias("away"))
