@@ -7,6 +7,7 @@ all of it. Boosted trees are three ensembles, one against the others; the networ
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from touchline.functions.odds import LEGS
 from touchline.operators import metrics
@@ -24,6 +26,14 @@ P = [f"p_{leg}" for leg in LEGS]
 #: Inverse strengths of the logistic model's penalty that are tried.
 PENALTIES = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 Fit = Callable[[DataFrame, list[str]], PipelineModel]
+#: Fits that run at a time: each is many small jobs, one after the other, which leave most cores idle.
+AT_ONCE = 6
+
+
+def _each(rows: DataFrame, make: Callable, cases: list) -> list:
+    """What ``make`` gives for each case, in order, a few at a time."""
+    with ThreadPool(min(AT_ONCE, max(len(cases), 1))) as pool:
+        return pool.map(inheritable_thread_target(rows.sparkSession)(make), cases, chunksize=1)
 
 
 def _pipeline(names: list[str], classifier, scaled: bool = True, imputed: bool = False) -> Pipeline:
@@ -62,11 +72,14 @@ def fit_boosted(rows: DataFrame, names: list[str], rate: float = 0.1, depth: int
     """Gradient-boosted trees by Spark ML, which has them for two classes; an outcome that no row has gets no probability."""
     assembled = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="__raw", handleInvalid="keep")]).fit(rows)
     held = assembled.transform(rows).select("__raw", "y").persist()
-    models = []
-    for k in range(3):
+
+    def one(k: int):
         label = held.withColumn("__y", (F.col("y") == k).cast("double"))
         gbt = GBTClassifier(featuresCol="__raw", labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=7, subsamplingRate=1.0)
-        models.append(gbt.fit(label).setProbabilityCol(f"__q{k}").setRawPredictionCol(f"__v{k}").setPredictionCol(f"__o{k}"))
+        return gbt.fit(label).setProbabilityCol(f"__q{k}").setRawPredictionCol(f"__v{k}").setPredictionCol(f"__o{k}")
+
+    held.count()  # kept once, before three fits ask for it
+    models = _each(held, one, [0, 1, 2])
     held.unpersist()
     return Boosted(assembled, models)
 
@@ -107,14 +120,15 @@ def loss_of(scored: DataFrame) -> float:
 
 def best_penalty(early: DataFrame, late: DataFrame, names: list[str], grid: tuple[float, ...] = PENALTIES) -> tuple[float, float]:
     """(penalty, log loss on the late half) of the least loss, of equal ones the first."""
-    losses = [(loss_of(predict(late, fit_logistic(early, names, c))), k, c) for k, c in enumerate(grid)]
-    loss, _, c = min(losses)
+    losses = _each(early, lambda c: loss_of(predict(late, fit_logistic(early, names, c))), list(grid))
+    loss, _, c = min((loss, k, c) for k, (loss, c) in enumerate(zip(losses, grid)))
     return c, loss
 
 
 def subset_losses(early: DataFrame, late: DataFrame, subsets: dict[str, list[str]], fit: Fit = fit_logistic) -> list[tuple[str, int, float]]:
     """(name, width, log loss on the late half) of each named set of features, the least loss first."""
-    return sorted(((name, len(names), loss_of(predict(late, fit(early, names)))) for name, names in subsets.items()), key=lambda x: (x[2], x[0]))
+    losses = _each(early, lambda names: loss_of(predict(late, fit(early, names))), list(subsets.values()))
+    return sorted(((name, len(names), loss) for (name, names), loss in zip(subsets.items(), losses)), key=lambda x: (x[2], x[0]))
 
 
 def pooled(x: np.ndarray, total: np.ndarray, n: np.ndarray) -> list[tuple[float, float, float]]:
