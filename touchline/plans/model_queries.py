@@ -22,29 +22,41 @@ def _vectors(m):
     return stored(rows.select("match_id", "date", "y", *[f"market_{leg}" for leg in O.LEGS], *EVERY), "vectors")
 
 
-def _halves(m):
-    halved = betting.half_split(_vectors(m).where(VALIDATION)).cache()
+#: Rows that a task of a fit has: a fit is hundreds of jobs over the same rows, so a task for fewer takes longer to start than to run.
+PER_TASK = 50_000
+
+
+def _packed(rows, n):
+    """``rows`` (``n`` of them) kept in as many partitions as they fill."""
+    held = rows.repartition(max(-(-n // PER_TASK), 1), "match_id").cache()
+    held.count()  # kept once, before several fits ask for it
+    return held
+
+
+def _halves(rows):
+    season = rows.where(VALIDATION)
+    halved = _packed(betting.half_split(season), season.count())
     return halved.where("half = 'early'").drop("half"), halved.where("half = 'late'").drop("half")
 
 
-def _tested(m, fit):
-    rows = _vectors(m)
-    return r6(models.predict(rows.where(TEST), fit(rows.where(VALIDATION), EVERY)).select("match_id", "y", *models.P))
+def _tested(rows, fit):
+    season = rows.where(VALIDATION)
+    return r6(models.predict(rows.where(TEST), fit(_packed(season, season.count()), EVERY)).select("match_id", "y", *models.P))
 
 
 @query(None)
 def logreg_probs(m):
-    return _tested(m, models.fit_logistic)
+    return _tested(_vectors(m), models.fit_logistic)
 
 
 @query(None)
 def forest_probs(m):
-    return _tested(m, models.fit_forest)
+    return _tested(_vectors(m), models.fit_forest)
 
 
 @query(None)
 def network_probs(m):
-    return _tested(m, models.fit_network)
+    return _tested(_vectors(m), models.fit_network)
 
 
 @query(None)
@@ -58,19 +70,20 @@ def literature_models(m):
 @query(None)
 def boosted_probs(m):
     """Rate and depth chosen on the late half of the validation season, then a fit on all of it."""
-    early, late = _halves(m)
+    rows = _vectors(m)
+    early, late = _halves(rows)
     rate, depth, _ = models.best_boosted(early, late, EVERY)
-    return _tested(m, lambda rows, names: models.fit_boosted(rows, names, rate, depth))
+    return _tested(rows, lambda rows, names: models.fit_boosted(rows, names, rate, depth))
 
 
 @query(None)
 def penalty_choice(m):
-    early, late = _halves(m)
+    early, late = _halves(_vectors(m))
     return r6(m.sparkSession.createDataFrame([models.best_penalty(early, late, EVERY)], "c double, log_loss double"))
 
 
 def _losses_of(m, names):
-    early, late = _halves(m)
+    early, late = _halves(_vectors(m))
     found = models.subset_losses(early, late, {n: feature_sets.feature_set(n) for n in names})
     return r6(m.sparkSession.createDataFrame(found, "features string, width int, log_loss double"))
 
